@@ -4,8 +4,8 @@ Texts are dealt to chunks by a hash of id and text, so a chunk holds about as mu
 source or group of copies as any other. Each chunk sends its distinct keys with their counts,
 sorted and packed, to key ranges ("buckets"); a bucket adds the counts up and answers every
 chunk with one byte a key. So a key crosses the network once a chunk however hot it is, and
-neither a chunk nor a bucket grows with the number of copies of anything. The number of chunks
-and buckets follows spark.sql.shuffle.partitions.
+neither a chunk nor a bucket grows with the number of copies of anything. There are as many
+chunks and buckets as spark.sql.shuffle.partitions, so it also sets what a task holds at once.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def grade(counts: np.ndarray) -> np.ndarray:
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(chunk, id, text); null texts stay and have no keys."""
-    n = 4 * shuffle_partitions(docs.sparkSession)
+    n = shuffle_partitions(docs.sparkSession)
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).alias("chunk"),
         F.col(id_col).alias("id"),
@@ -50,7 +50,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def replies(chunks: DataFrame, keys: Keys) -> DataFrame:
     """(chunk, bucket, grades): for the chunk's distinct keys in the bucket, in ascending order."""
-    n = 4 * shuffle_partitions(chunks.sparkSession)
+    n = shuffle_partitions(chunks.sparkSession)
     bounds = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
