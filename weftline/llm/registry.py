@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op4_packing
+from .quality import op5_quality_rules
+from .sharding import op3_sharding
 from .substring_dedup import op10_substring_dedup
+from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
