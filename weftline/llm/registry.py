@@ -11,10 +11,12 @@ from .packing import op4_packing
 from .quality import op5_quality_rules
 from .sharding import op3_sharding
 from .substring_dedup import op10_substring_dedup
+from .suffix_dedup import op2_suffix_dedup
 from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
