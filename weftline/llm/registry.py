@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op7_decontamination
 from .near_dup import op8_near_dup_join
 from .packing import op4_packing
 from .quality import op5_quality_rules
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op8_near_dup_join": op8_near_dup_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
