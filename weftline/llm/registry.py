@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op7_decontamination
 from .near_dup import op8_near_dup_join
 from .packing import op4_packing
+from .pii import op6_pii
 from .quality import op5_quality_rules
 from .sharding import op3_sharding
 from .substring_dedup import op10_substring_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_near_dup_join": op8_near_dup_join,
     "op10_substring_dedup": op10_substring_dedup,
