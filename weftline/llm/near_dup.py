@@ -3,13 +3,12 @@
 A document is its set of distinct shingles. Two sets can reach the threshold only if they share one of
 the first few shingles in an order common to all; the rarest come first. Counts of all shingles
 come from ``multiplicity``, and a document too few of whose shingles occur elsewhere is alone.
-Equal sets are one class; classes with equal size and prefix are one group. Group pairs are
-filtered, expanded to members and verified on the whole sets.
-
-So that a family of near copies is not compared pair by pair, rounds first compare each member
-with one other that shares prefix shingles but is in another component; what is then linked
-needs no more comparing. At the end, every pair of members of different components that passes
-the filters is verified. So components are exact, up to chance collisions of 64-bit hashes.
+Equal sets are one class; classes with equal size and prefix are one group. Groups that share
+prefix shingles make up families. A family, or each two parts of a large one, is a unit of bounded
+size: there group pairs are filtered, expanded to members and verified on the whole sets, and
+what comes out is each member with the smallest one it is joined to, not all pairs. So a family of
+near copies costs rows in proportion to its size. Links are exact, up to chance collisions of
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .multiplicity import Grades, chunked, with_grades
-from .workspace import cut
+from .workspace import cut, shuffle_partitions
 
 SETS = "id long, n_shingles long, node long, lone int, keys binary"
 
@@ -79,91 +78,174 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     return with_grades(chunked(docs, id_col, text_col), keys, work, SETS)
 
 
-def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """node, n, group, tokens, place of the first token: the shared shingles of the prefix."""
+def prefix_size(n: int, lone: int, percent: int) -> int:
+    """How many of the shared shingles belong to the prefix: those found nowhere else come before them."""
+    return max(0, n - least_shared(n, percent) + 1 - lone)
+
+
+def _groups(classes: DataFrame, percent: int) -> DataFrame:
+    """node, group (hash of size and prefix), tokens (the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups, tokens = [], []
             for n, lone, keys in zip(*(batch.column(c).to_pylist() for c in ("n", "lone", "keys")), strict=True):
-                head = np.frombuffer(keys, dtype=np.int64)[: max(0, n - least_shared(n, percent) + 1 - lone)]
+                head = np.frombuffer(keys, dtype=np.int64)[: prefix_size(n, lone, percent)]
                 groups.append(int.from_bytes(hashlib.blake2b(b"%d %d " % (n, lone) + head.tobytes(), digest_size=8).digest(), "little", signed=True))
                 tokens.append(head)
-            yield pa.record_batch({
-                "node": batch.column("node"), "n": batch.column("n"), "lone": batch.column("lone"),
-                "group": pa.array(groups, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64())),
-            })
-
-    return classes.select("node", "n", "lone", "keys").mapInArrow(run, "node long, n long, lone int, group long, tokens array<long>")
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold, with their numbers of shared shingles."""
+            yield pa.record_batch({"node": batch.column("node"), "group": pa.array(groups, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+
+    return classes.select("node", "n", "lone", "keys").mapInArrow(run, "node long, group long, tokens array<long>")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense: float = 0.02) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right. Shingles that many of both sides have
+    are counted by matrix products, the others pair by pair."""
+    shape = len(left), len(right)
+    _, tokens = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut_ = sum(map(len, left))
+    rows, cols = np.repeat(np.arange(shape[0]), list(map(len, left))), np.repeat(np.arange(shape[1]), list(map(len, right)))
+    n = int(tokens.max()) + 1 if len(tokens) else 0
+    a, b = tokens[:cut_], tokens[cut_:]
+    in_a, in_b = np.bincount(a, minlength=n), np.bincount(b, minlength=n)
+    pairs = in_a * in_b
+    heavy = np.flatnonzero(pairs > dense * shape[0] * shape[1])
+    out = np.zeros(shape, dtype=np.int64)
+    place = np.full(n, -1)
+    place[heavy] = np.arange(len(heavy))
+    for low in range(0, len(heavy), 4096):
+        width = min(4096, len(heavy) - low)
+        sides = []
+        for t, r, size in ((place[a], rows, shape[0]), (place[b], cols, shape[1])):
+            here = (t >= low) & (t < low + width)
+            m = np.zeros((size, width), dtype=np.float32)
+            m[r[here], t[here] - low] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    light = (pairs > 0) & (place < 0)
+    keep_a, keep_b = light[a], light[b]
+    a, rows, b, cols = a[keep_a], rows[keep_a], b[keep_b], cols[keep_b]
+    order = np.argsort(b, kind="stable")
+    b, cols = b[order], cols[order]
+    first = np.searchsorted(b, np.arange(n))
+    for low in range(0, len(a), 1 << 16):
+        t, r = a[low : low + (1 << 16)], rows[low : low + (1 << 16)]
+        times = in_b[t]
+        end = np.cumsum(times)
+        at = np.arange(end[-1] if len(end) else 0) - np.repeat(end - times, times) + np.repeat(first[t], times)
+        out += np.bincount(np.repeat(r, times) * shape[1] + cols[at], minlength=shape[0] * shape[1]).reshape(shape)
+    return out
+
+
+def linked(n: np.ndarray, m: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * shared >= percent * (n[:, None] + m[None, :] - shared)
+
+
+def verified_links(members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that join the members (node, group, n, lone, keys, side) just as all links between the sides do.
+
+    Group pairs that differ too much in size, share no prefix shingle or can't share enough are left out; the members
+    of the others are verified on their whole sets.
+    """
+    sides = [[x for x in members if x[5] in (k, None)] for k in (0, 1)]
+    groups = [{x[1]: x for x in side} for side in sides]
+    heads = [[x[4][: prefix_size(x[2], x[3], percent)] for x in g.values()] for g in groups]
+    size = [np.array([x[2] for x in g.values()]) for g in groups]
+    shared = overlaps(*heads)
+    n, m = size[0][:, None], size[1][None, :]
+    # what both share up to where the first prefix ends is in both prefixes; beyond it lies the rest of that set
+    rest = [size[k] - np.array([len(h) + x[3] for h, x in zip(heads[k], groups[k].values(), strict=True)]) for k in (0, 1)]
+    rest = np.maximum(rest[0][:, None], rest[1][None, :])
+    ok = (shared > 0) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * (shared + rest) >= percent * (n + m))
+    place = [{g: i for i, g in enumerate(x)} for x in groups]
+    at = [np.array([place[k][x[1]] for x in side]) for k, side in enumerate(sides)]
+    keys = [[x[4] for x in side] for side in sides]
+    own = [np.array([x[2] for x in side]) for side in sides]
+    use = [ok.any(axis=1 - k)[at[k]] for k in (0, 1)]
+    picked = [np.flatnonzero(u) for u in use]
+    if not len(picked[0]) or not len(picked[1]):
+        return []
+    real = overlaps(*([keys[k][i] for i in picked[k]] for k in (0, 1)))
+    links = linked(own[0][picked[0]], own[1][picked[1]], real, percent) & ok[at[0][picked[0]][:, None], at[1][picked[1]][None, :]]
+    nodes = [np.array([sides[k][i][0] for i in picked[k]]) for k in (0, 1)]
+    return spanning(nodes[0], nodes[1], links)
+
+
+def spanning(left: np.ndarray, right: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """A few of the links' consequences: each node with the smallest one that the links join it to."""
+    most = np.iinfo(np.int64).max
+    low, high = left.copy(), right.copy()
+    while True:
+        was = low, high
+        high = np.minimum(high, np.where(links, low[:, None], most).min(axis=0))
+        low = np.minimum(low, np.where(links, high[None, :], most).min(axis=1))
+        if (low == was[0]).all() and (high == was[1]).all():
+            break
+    pairs = zip(np.concatenate([left, right]).tolist(), np.concatenate([low, high]).tolist(), strict=True)
+    return sorted({(a, b) for a, b in pairs if a != b})
+
+
+def linked_sets(classes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20, most_members: int = 1024) -> DataFrame:
+    """(node, comp): components of classes (node, n, lone, keys) at a Jaccard similarity of ``percent`` or more.
+
+    Groups that share prefix shingles, directly or through others, are a family; links never leave one. A family is one
+    unit of work up to ``most_tokens`` shingles and ``most_members`` members. A larger one is split by sizes (of steps in which
+    the threshold spans one) and by hash, and each two parts near in size are a unit.
+    """
+    by_node = cut(_groups(classes, percent))
+    postings = by_node.dropDuplicates(["group"]).select("group", F.explode("tokens").alias("token"))
+    leads = postings.groupBy("token").agg(F.min("group").alias("lead"), F.max("group").alias("last")).where("lead < last").select("token", "lead")
+    edges = postings.join(leads, "token").where("group != lead").select("group", "lead").distinct()
+    families = components(edges, "group", "lead").select(F.col("node").alias("group"), F.col("component").alias("family"))
+    several = by_node.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    placed = by_node.select("node", "group").join(families, "group", "left").join(several.withColumn("several", F.lit(True)), "group", "left")
+    placed = placed.where(F.col("family").isNotNull() | F.col("several")).select("node", "group", F.coalesce("family", "group").alias("family"))
+
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    sized = cut(placed.join(classes.select("node", "n", F.octet_length("keys").alias("bytes")), "node").withColumn("step", step))
+    parts_of = lambda: F.greatest(F.ceil(F.sum("bytes") / (8 * most_tokens)), F.ceil(F.count("*") / most_members)).cast("int")
+    whole = sized.groupBy("family").agg(parts_of().alias("all_parts"))
+    steps = cut(sized.groupBy("family", "step").agg(parts_of().alias("parts")).join(whole, "family"))
+    near = steps.select("family", "step", "parts", "all_parts")
+    for name, shift in (("above", 1), ("below", -1)):
+        near = near.join(steps.select("family", (F.col("step") - shift).alias("step"), F.col("parts").alias(name)), ["family", "step"], "left")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    units = lambda low, low_part, high, high_part, side: F.struct(F.concat_ws(":", "family", low, low_part, high, high_part).alias("unit"), side.alias("side"))
+    none = F.lit(None).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    step_, up, down = F.col("step"), F.col("step") + 1, F.col("step") - 1
+    mine = F.transform(upto(F.col("parts")), lambda k: units(step_, F.least(part, k), step_, F.greatest(part, k), F.when(part < k, 0).when(part > k, 1).otherwise(none)))
+    higher = F.transform(upto(F.coalesce("above", F.lit(0))), lambda k: units(step_, part, up, k, F.lit(0)))
+    lower = F.transform(upto(F.coalesce("below", F.lit(0))), lambda k: units(down, k, step_, part, F.lit(1)))
+    alone = F.array(F.struct(F.col("family").cast("string").alias("unit"), none.alias("side")))
+    sent = sized.join(near, ["family", "step"]).select("node", "group", F.explode(F.when(F.col("all_parts") <= 1, alone).otherwise(F.concat(mine, higher, lower))).alias("to"))
+    full = sent.join(classes.select("node", "n", "lone", "keys"), "node").select("to.unit", "node", "group", "n", "lone", "keys", "to.side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[int, int]] = []
+        unit, members = None, []
         for batch in batches:
-            shared = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)) for x, y in zip(batch.column("a_keys"), batch.column("b_keys"), strict=True)]
-            shared = np.array(shared, dtype=np.int64)
-            union = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy() - shared
-            ok = pa.array(100 * shared >= percent * union)
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "shared": pa.array(shared)}).filter(ok)
-
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("keys").alias(f"{x}_keys"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "a_n", "b_n", "a_keys", "b_keys").mapInArrow(run, "a long, b long, shared long")
-
-
-def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
-    """``state`` (node, group, comp) after its components are joined along ``links`` (a, b)."""
-    at = lambda x: state.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-    ends = links.join(at("a"), "a").join(at("b"), "b").select("a_comp", "b_comp")
-    now = components(ends, "a_comp", "b_comp").select(F.col("node").alias("comp"), F.col("component").alias("now"))
-    return cut(state.join(now, "comp", "left").select("node", "group", F.coalesce("now", "comp").alias("comp")))
-
-
-def _fits(n: str, m: str, percent: int) -> F.Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
-def linked_sets(classes: DataFrame, percent: int = 75, rounds: int = 2) -> DataFrame:
-    """(node, comp): components of classes (node, n, lone, keys) at a Jaccard similarity of ``percent`` or more."""
-    prefixes = cut(_prefixes(classes, percent))
-    groups = prefixes.groupBy("group").agg(F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("tokens").alias("tokens"))
-    postings = groups.select("group", "n", F.posexplode("tokens").alias("at", "token"), "lone").select("token", "group", "n", (F.col("at") + F.col("lone")).alias("place"))
-    several = postings.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    postings = cut(postings.join(several, "token"))
-    state = cut(prefixes.select("node", "group", F.col("node").alias("comp")))
-    # members of a group with its first one
-    own = prefixes.groupBy("group").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi").select("group", "b")
-    pairs = prefixes.select("group", F.col("node").alias("a")).join(own, "group").where("a != b").select("a", "b")
-
-    for turn in range(rounds):
-        leads = state.groupBy("group", "comp").agg(F.min("node").alias("lead"))
-        rows = postings.join(leads, "group").select("token", "n", "comp", "lead")
-        ends = rows.groupBy("token").agg(F.min(F.struct("comp", "lead", "n")).alias("lo"), F.max(F.struct("comp", "lead", "n")).alias("hi")).where("lo.comp < hi.comp")
-        other = rows.join(ends, "token").select("lead", "n", F.when(F.col("comp") == F.col("lo.comp"), F.col("hi")).otherwise(F.col("lo")).alias("to")).where(_fits("n", "to.n", percent))
-        best = other.groupBy("lead", F.col("to.lead").alias("b")).count().groupBy(F.col("lead").alias("a")).agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        links = _verified(best.select("a", "b").union(pairs) if turn == 0 else best.select("a", "b"), classes, percent)
-        state = _merged(state, cut(links.select("a", "b")))
-
-    # every pair that is left: group pairs by shared prefix shingles, filtered by how many more can be shared
-    spread = cut(state.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
-    rows = postings.join(spread, "group")
-    mixed = rows.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("token")
-    rows = rows.join(mixed, "token")
-    g, h = rows.alias("g"), rows.alias("h")
-    apart = (F.col("g.lo") != F.col("h.lo")) | (F.col("g.lo") != F.col("g.hi")) | (F.col("h.lo") != F.col("h.hi"))
-    met = g.join(h, (F.col("g.token") == F.col("h.token")) & (F.col("g.group") < F.col("h.group")) & _fits("g.n", "h.n", percent) & apart)
-    met = met.groupBy(F.col("g.group").alias("g"), F.col("h.group").alias("h"), F.col("g.n").alias("gn"), F.col("h.n").alias("hn")).agg(
-        F.count("*").alias("shared"), F.min("g.place").alias("g0"), F.min("h.place").alias("h0"), F.max("g.place").alias("g1"), F.max("h.place").alias("h1")
-    )
-    need = F.ceil(percent * (F.col("gn") + F.col("hn")) / (100 + percent) - 1e-9)
-    met = met.where((F.least(F.col("gn") - F.col("g0"), F.col("hn") - F.col("h0")) >= need) & (F.col("shared") + F.least(F.col("gn") - F.col("g1"), F.col("hn") - F.col("h1")) - 1 >= need))
-    within = spread.where("lo < hi").select(F.col("group").alias("g"), F.col("group").alias("h"))
-    member = lambda x: state.select(F.col("group").alias(x), F.col("node").alias(f"{x}_node"), F.col("comp").alias(f"{x}_comp"))
-    left = met.select("g", "h").union(within).join(member("g"), "g").join(member("h"), "h").where("g_comp != h_comp and (g != h or g_node < h_node)")
-    links = _verified(left.select(F.col("g_node").alias("a"), F.col("h_node").alias("b")), classes, percent)
-    return _merged(state, cut(links.select("a", "b"))).select("node", "comp")
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "group", "n", "lone", "keys", "side")), strict=True):
+                if row[0] != unit:
+                    made += verified_links(members, percent) if len(members) > 1 else []
+                    unit, members = row[0], []
+                members.append((*row[1:5], np.frombuffer(row[5], dtype=np.int64), row[6]))
+            if len(made) > 10_000:
+                yield _links(made)
+                made = []
+        made += verified_links(members, percent) if len(members) > 1 else []
+        yield _links(made)
+
+    # a unit's rows lie together
+    together = full.repartition(shuffle_partitions(classes.sparkSession), "unit").sortWithinPartitions("unit")
+    links = cut(together.mapInArrow(run, "a long, b long"))
+    found = components(links)
+    return classes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True) if rows else ((), ())
+    return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
