@@ -9,9 +9,12 @@ product is cut to fill the sequence. Nothing is shuffled, and a task holds one p
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +29,95 @@ PIECES = pa.schema([
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids array<int>"
 
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others are numbered from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LEVEL = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
+#: Words of plain Latin-1 characters split like this once in lower case, as the tokenizer's own pattern does.
+PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
+PIECES_OF = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+#: Control characters, and what could begin a special token.
+ODD = re.compile(rb"[\x00-\x1f\x7f]|<\|")
+#: Stands between words; no id has a third or fourth byte.
+GAP = b"\xff" * 4
+
+
 class WordTokens:
-    """Token ids of texts by a tokenizer whose ids never depend on what lies beyond white space:
-    words seen before come from a table of bounded size."""
+    """Token ids of texts by a word-ended byte-level BPE, whose ids never depend on what lies beyond white space.
 
-    def __init__(self, path: str, words: int = 400_000, longest: int = 64):
+    Words seen before come from a table of bounded size. New words of plain characters are split to pieces here, and the
+    pieces go to the tokenizer's model without its normalizer; all other words go to the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.longest = Tokenizer.from_file(path), words, longest
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.plain = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        #: Whether an id ends a piece.
+        self.final = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+        self.final[[i for x, i in spec["model"]["vocab"].items() if x.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.pieces: dict[str, bytes] = {}
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        mapped = [x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LEVEL) for x in pieces]
+        out: list[bytes] = []
+        groups = [mapped[i : i + 1000] for i in range(0, len(mapped), 1000)]
+        for group, found in zip(groups, self.model.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = [0, *((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _split(self, words: list[bytes]) -> list[str]:
+        """The pieces of plain words, in order, with a space between words."""
+        return PIECES_OF.findall(b" ".join(words).decode().lower())
+
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain = [w for w in words if (w.isascii() or PLAIN.fullmatch(w.decode()))] if self.plain else []
+        if ODD.search(b" ".join(plain)):
+            plain = [w for w in plain if not ODD.search(w)]
+        flat = self._split(plain)
+        own = set(flat).difference(self.pieces)
+        if len(self.pieces) + len(own) > self.most:
+            self.pieces.clear()
+            own = set(flat)
+        self.pieces[" "] = GAP
+        own.discard(" ")
+        new = list(own)
+        self.pieces.update(zip(new, self._of_pieces(new), strict=True))
+        out = dict(zip(plain, b"".join(map(self.pieces.__getitem__, flat)).split(GAP), strict=True)) if plain else {}
+        others = [w for w in words if w not in out]
+        found = self.whole.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        return out | {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(others, found, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
         split = [x.split() for x in texts]
         known = self.known
-        looked = [list(map(known.get, x)) for x in split]
-        new = {w for x, ids in zip(split, looked, strict=True) if None in ids for w, i in zip(x, ids, strict=True) if i is None}
-        if new:
-            if len(known) + len(new) > self.words:
-                known.clear()
-            new = sorted(new)
-            fresh = dict(zip(new, self._ids(new), strict=True))
-            known.update((w, i) for w, i in fresh.items() if len(w) <= self.longest)
-            looked = [[fresh.get(w) if i is None else i for w, i in zip(x, ids, strict=True)] if None in ids else ids for x, ids in zip(split, looked, strict=True)]
-        return [b"".join(x) for x in looked]
+        words = set().union(*split)
+        old = words.intersection(known)
+        # few enough to be looked up fast
+        near = dict(zip(old, map(known.__getitem__, old), strict=True))
+        fresh = self._ids(list(words.difference(old)))
+        near |= fresh
+        if len(known) + len(fresh) > self.most:
+            known.clear()
+            known.update((w, near[w]) for w in old)
+        known.update(fresh if max(map(len, fresh), default=0) <= self.longest else {w: x for w, x in fresh.items() if len(w) <= self.longest})
+        get = near.__getitem__
+        return [b"".join(map(get, own)) for own in split]
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a worker."""
+    return WordTokens(path)
 
 
 @dataclass
@@ -188,7 +252,7 @@ def pack(
         raise ValueError("limits start at 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(tokenizer)
+        coder = word_tokens(tokenizer)
         packer = Packer(tokens, segments, loss, pool, TaskContext.get().partitionId() << 40, with_ids)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:

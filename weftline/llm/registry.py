@@ -14,6 +14,7 @@ from .quality import op5_quality_rules
 from .sharding import op3_sharding
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .token_counts import op9_token_counts
 from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op8_near_dup_join": op8_near_dup_join,
+    "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
