@@ -83,19 +83,23 @@ def prefix_size(n: int, lone: int, percent: int) -> int:
     return max(0, n - least_shared(n, percent) + 1 - lone)
 
 
-def _groups(classes: DataFrame, percent: int) -> DataFrame:
-    """node, group (hash of size and prefix), tokens (the prefix)."""
+def _groups(nodes: DataFrame, percent: int) -> DataFrame:
+    """id, node, n, bytes, group (hash of size and prefix), tokens (the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, tokens = [], []
+            groups, tokens, sizes = [], [], []
             for n, lone, keys in zip(*(batch.column(c).to_pylist() for c in ("n", "lone", "keys")), strict=True):
                 head = np.frombuffer(keys, dtype=np.int64)[: prefix_size(n, lone, percent)]
                 groups.append(int.from_bytes(hashlib.blake2b(b"%d %d " % (n, lone) + head.tobytes(), digest_size=8).digest(), "little", signed=True))
                 tokens.append(head)
-            yield pa.record_batch({"node": batch.column("node"), "group": pa.array(groups, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+                sizes.append(len(keys))
+            yield pa.record_batch({
+                "id": batch.column("id"), "node": batch.column("node"), "n": batch.column("n"), "bytes": pa.array(sizes, pa.int64()),
+                "group": pa.array(groups, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64())),
+            })
 
-    return classes.select("node", "n", "lone", "keys").mapInArrow(run, "node long, group long, tokens array<long>")
+    return nodes.select("id", "node", "n", "lone", "keys").mapInArrow(run, "id long, node long, n long, bytes long, group long, tokens array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense: float = 0.02) -> np.ndarray:
@@ -128,8 +132,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense: float = 0.0
     order = np.argsort(b, kind="stable")
     b, cols = b[order], cols[order]
     first = np.searchsorted(b, np.arange(n))
-    for low in range(0, len(a), 1 << 16):
-        t, r = a[low : low + (1 << 16)], rows[low : low + (1 << 16)]
+    # about a million pairs at a time
+    steps = np.searchsorted(np.cumsum(in_b[a]), np.arange(0, int(in_b[a].sum()) + 1, 1 << 20))
+    for low, high in zip(steps, [*steps[1:], len(a)], strict=True):
+        t, r = a[low:high], rows[low:high]
         times = in_b[t]
         end = np.cumsum(times)
         at = np.arange(end[-1] if len(end) else 0) - np.repeat(end - times, times) + np.repeat(first[t], times)
@@ -185,24 +191,26 @@ def spanning(left: np.ndarray, right: np.ndarray, links: np.ndarray) -> list[tup
     return sorted({(a, b) for a, b in pairs if a != b})
 
 
-def linked_sets(classes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20, most_members: int = 1024) -> DataFrame:
-    """(node, comp): components of classes (node, n, lone, keys) at a Jaccard similarity of ``percent`` or more.
+def linked_sets(nodes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20, most_members: int = 1024) -> DataFrame:
+    """(node, low, comp) of sets (id, node, n, lone, keys), of which equal ones share a node: the smallest id of a node, and
+    the components of nodes at a Jaccard similarity of ``percent`` or more.
 
     Groups that share prefix shingles, directly or through others, are a family; links never leave one. A family is one
     unit of work up to ``most_tokens`` shingles and ``most_members`` members. A larger one is split by sizes (of steps in which
     the threshold spans one) and by hash, and each two parts near in size are a unit.
     """
-    by_node = cut(_groups(classes, percent))
-    postings = by_node.dropDuplicates(["group"]).select("group", F.explode("tokens").alias("token"))
+    first = lambda c: F.first(c).alias(c)
+    by_node = cut(_groups(nodes, percent).groupBy("node").agg(F.min("id").alias("low"), *map(first, ("n", "bytes", "group", "tokens"))))
+    postings = by_node.groupBy("group").agg(first("tokens")).select("group", F.explode("tokens").alias("token"))
     leads = postings.groupBy("token").agg(F.min("group").alias("lead"), F.max("group").alias("last")).where("lead < last").select("token", "lead")
     edges = postings.join(leads, "token").where("group != lead").select("group", "lead").distinct()
     families = components(edges, "group", "lead").select(F.col("node").alias("group"), F.col("component").alias("family"))
-    several = by_node.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    placed = by_node.select("node", "group").join(families, "group", "left").join(several.withColumn("several", F.lit(True)), "group", "left")
-    placed = placed.where(F.col("family").isNotNull() | F.col("several")).select("node", "group", F.coalesce("family", "group").alias("family"))
+    several = by_node.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select("group", F.lit(True).alias("several"))
+    placed = by_node.select("node", "low", "group", "n", "bytes").join(families, "group", "left").join(several, "group", "left")
+    placed = placed.where(F.col("family").isNotNull() | F.col("several"))
 
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    sized = cut(placed.join(classes.select("node", "n", F.octet_length("keys").alias("bytes")), "node").withColumn("step", step))
+    sized = cut(placed.select("node", "low", "group", F.coalesce("family", "group").alias("family"), "bytes", step.alias("step")))
     parts_of = lambda: F.greatest(F.ceil(F.sum("bytes") / (8 * most_tokens)), F.ceil(F.count("*") / most_members)).cast("int")
     whole = sized.groupBy("family").agg(parts_of().alias("all_parts"))
     steps = cut(sized.groupBy("family", "step").agg(parts_of().alias("parts")).join(whole, "family"))
@@ -218,8 +226,9 @@ def linked_sets(classes: DataFrame, percent: int = 75, most_tokens: int = 1 << 2
     higher = F.transform(upto(F.coalesce("above", F.lit(0))), lambda k: units(step_, part, up, k, F.lit(0)))
     lower = F.transform(upto(F.coalesce("below", F.lit(0))), lambda k: units(down, k, step_, part, F.lit(1)))
     alone = F.array(F.struct(F.col("family").cast("string").alias("unit"), none.alias("side")))
-    sent = sized.join(near, ["family", "step"]).select("node", "group", F.explode(F.when(F.col("all_parts") <= 1, alone).otherwise(F.concat(mine, higher, lower))).alias("to"))
-    full = sent.join(classes.select("node", "n", "lone", "keys"), "node").select("to.unit", "node", "group", "n", "lone", "keys", "to.side")
+    sent = sized.join(near, ["family", "step"]).select("node", "low", "group", F.explode(F.when(F.col("all_parts") <= 1, alone).otherwise(F.concat(mine, higher, lower))).alias("to"))
+    # one row of each node brings its keys
+    full = nodes.select("node", F.col("id").alias("low"), "n", "lone", "keys").join(sent, ["node", "low"]).select("to.unit", "node", "group", "n", "lone", "keys", "to.side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple[int, int]] = []
@@ -237,10 +246,10 @@ def linked_sets(classes: DataFrame, percent: int = 75, most_tokens: int = 1 << 2
         yield _links(made)
 
     # a unit's rows lie together
-    together = full.repartition(shuffle_partitions(classes.sparkSession), "unit").sortWithinPartitions("unit")
+    together = full.repartition(shuffle_partitions(nodes.sparkSession), "unit").sortWithinPartitions("unit")
     links = cut(together.mapInArrow(run, "a long, b long"))
     found = components(links)
-    return classes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    return by_node.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("comp"))
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -258,9 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sets = cut(_sets(docs, id_col, text_col, width, percent))
     nodes = sets.where("node is not null and id is not null")
-    classes = cut(nodes.groupBy("node").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n"), F.first("lone").alias("lone"), F.first("keys").alias("keys")))
-    found = linked_sets(classes.select("node", "n", "lone", "keys"), percent)
-    lows = found.join(classes.select("node", "low"), "node")
+    lows = linked_sets(nodes.select("id", "node", F.col("n_shingles").alias("n"), "lone", "keys"), percent)
     lowest = lows.groupBy("comp").agg(F.min("low").alias("component"))
     by_node = lows.join(lowest, "comp").select("node", "low", "component")
     by_id = nodes.select("id", "node").join(by_node, "node").groupBy("id").agg(F.min("low").alias("class"), F.min("component").alias("component"))
