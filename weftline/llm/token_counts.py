@@ -57,7 +57,8 @@ class TokenRollup:
         """Apply a batch; False if it was applied before."""
         if batch in self.committed():
             return False
-        changes = changes.select(F.col("doc_id").cast("long"), "op", "version", "source", "lang", F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"), "seq")
+        # read several times below
+        changes = cut(changes.select(F.col("doc_id").cast("long"), "op", "version", "source", "lang", F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"), "seq"))
         unnamed = changes.where("doc_id is null and op != 'delete'").select("doc_id", "version", "source", "lang", "tokens")
         last = F.max_by(F.struct("op", "source", "lang", "tokens"), F.struct("seq", "op", "tokens")).alias("last")
         latest = changes.where("doc_id is not null").groupBy("doc_id", "version").agg(last).select("doc_id", "version", "last.*")
@@ -86,8 +87,8 @@ def bpe_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
         coder = word_tokens(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 ids = coder.encode(part.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist())
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "tokens": pa.array([len(x) // 4 for x in ids], pa.int64())})
 
