@@ -73,7 +73,7 @@ def last_state(entries: DataFrame) -> DataFrame:
     )
 
 
-def current_state(entries: DataFrame, cwd: str | None = None) -> DataFrame:
+def current_state(entries: DataFrame, cwd: str | None = None, calls: DataFrame | None = None) -> DataFrame:
     """session_id, current_state: the end of the session, line by line."""
     state = last_state(entries)
     weak = F.col("user.notified") | _thin(F.col("user.text"))
@@ -85,7 +85,7 @@ def current_state(entries: DataFrame, cwd: str | None = None) -> DataFrame:
         F.concat(head("Last assistant reply", "reply"), T.one_turn(F.col("reply.text"), P.STATE_ASSISTANT_TOKENS)),
     ))
     bounds = state.select("session_id", F.col("reply.at").alias("reply_at"), F.col("user.at").alias("user_at"))
-    calls = tool_calls(entries).withColumn("entry", F.struct(*ORDER)).join(bounds, "session_id")
+    calls = (tool_calls(entries) if calls is None else calls).withColumn("entry", F.struct(*ORDER)).join(bounds, "session_id")
     after = F.when(F.col("reply_at").isNotNull(), F.col("entry") >= F.col("reply_at")).otherwise(F.col("user_at").isNull() | (F.col("entry") > F.col("user_at")))
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("entry"), F.desc("pos")))
     last = with_shell_features(calls.where(after).withColumn("back", back).where(F.col("back") <= P.STATE_TOOLS))

@@ -58,9 +58,9 @@ def indexed(entries: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     return joined.withColumn("index", (number + F.coalesce("_base", F.lit(0))).cast("long")).drop("_base")
 
 
-def without_noise(entries: DataFrame) -> DataFrame:
+def without_noise(entries: DataFrame, tools: list[str] = P.NOISE_TOOLS) -> DataFrame:
     """Without bookkeeping calls, and without entries that they leave empty."""
-    kept = F.filter("tools", lambda t: ~t["name"].isin(P.NOISE_TOOLS) & ~t["name"].endswith("__recall"))
+    kept = F.filter("tools", lambda t: ~t["name"].isin(tools) & ~t["name"].endswith("__recall"))
     return entries.withColumn("tools", kept).where((F.col("text") != "") | (F.size("tools") > 0))
 
 

@@ -171,10 +171,12 @@ def user_reports(entries: DataFrame) -> DataFrame:
     return first_unseen(told).select("session_id", F.struct(*ORDER, F.lit(1 << 30).alias("pos")).alias("at"), "line")
 
 
-def outstanding(entries: DataFrame) -> DataFrame:
-    """session_id, outstanding: open errors and reports of the last entries, at most five, in order."""
+def outstanding(entries: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """session_id, outstanding: open errors and reports of the last entries, at most five, in order. ``calls`` are those of
+    all entries, where they are at hand."""
     recent = F.row_number().over(Window.partitionBy("session_id").orderBy(*(F.desc(c) for c in ORDER)))
     tail = entries.withColumn("_back", recent).where(F.col("_back") <= P.OUTSTANDING_WINDOW).drop("_back")
-    both = open_errors(tool_calls(tail)).unionByName(user_reports(tail))
+    recent_calls = tool_calls(tail) if calls is None else calls.join(tail.select("session_id", *ORDER), ["session_id", *ORDER], "left_semi")
+    both = open_errors(recent_calls).unionByName(user_reports(tail))
     once = both.groupBy("session_id", F.lower("line").alias("_key")).agg(F.min_by("line", "at").alias("line"), F.min("at").alias("at"))
     return _last(once, P.OUTSTANDING_MAX, "outstanding")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.shell import with_shell_features
+from ..sources.checkpoints import cut
 from . import brief as B
 from . import sections as S
 from .entries import tool_calls, without_noise
@@ -18,14 +20,15 @@ RECALL_NOTE = "What came before has been condensed into the summary above. Exact
 
 def build_sections(entries: DataFrame, cwd: str | None = None) -> DataFrame:
     """One row a session: goals, files, commits, outstanding, preferences, current_state, brief."""
-    clean = without_noise(entries)
-    calls = tool_calls(clean)
-    goals = S.goals(clean)
-    parts = [goals, S.files(S.file_status(calls, cwd)), S.commits(calls), S.outstanding(clean), S.without_goals(S.preferences(clean), goals), B.current_state(clean, cwd), B.brief(clean)]
+    # read by every section
+    clean = cut(without_noise(entries))
+    calls = cut(with_shell_features(tool_calls(clean)))
+    goals = cut(S.goals(clean))
+    parts = [goals, S.files(S.file_status(calls, cwd)), S.commits(calls), S.outstanding(clean, calls), S.without_goals(S.preferences(clean), goals), B.current_state(clean, cwd, calls), B.brief(clean)]
     out = clean.select("session_id").distinct()
     for part in parts:
         out = out.join(part, "session_id", "left")
-    return out.select("session_id", F.coalesce("files", F.expr(FILES)).alias("files"), *(F.coalesce(c, F.expr(T.EMPTY)).alias(c) for c in LISTS))
+    return cut(out).select("session_id", F.coalesce("files", F.expr(FILES)).alias("files"), *(F.coalesce(c, F.expr(T.EMPTY)).alias(c) for c in LISTS))
 
 
 def merge_list(before: Column, after: Column, most: int) -> Column:

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import history, memory, stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = history.QUERIES | memory.QUERIES | stream.QUERIES
+ORACLE_SQL: dict[str, str] = history.ORACLE_SQL | memory.ORACLE_SQL | stream.ORACLE_SQL

@@ -1,0 +1,15 @@
+"""Lineage cuts in the folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the folder of ``spark.checkpoint.dir``; where that is unset (tests), in a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
