@@ -193,11 +193,11 @@ SELECT CAST(user_id AS STRING) AS session_id, count(*) AS n_calls, CAST(sum(CASE
   CAST(sum(event_id % 100) AS BIGINT) AS tokens_out, CAST(sum(event_id % 50) AS BIGINT) AS ms, max(event_id) AS last_cycle, round(sum(event_id % 50) / greatest(1, count(*)), 6) AS ms_per_call FROM events GROUP BY user_id
 """
 #: Retention is asked about at this time, in milliseconds.
-NOW = 1_706_486_400_000
+NOW = 1_706_616_000_000
 
 
 def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("mtime_ms"))
+    files = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), (1000 * F.unix_seconds(F.col("ts").cast("timestamp"))).alias("mtime_ms"))
     return C.stale_sessions(files.select("session_id"), files, NOW, days=0.5, name=None)
 
 
@@ -205,7 +205,7 @@ def stale_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stale(spark, sf_dir)
 
 
-STALE_SQL = f"SELECT CAST(user_id AS STRING) AS session_id, max(epoch_ms(ts)) AS newest_ms FROM events GROUP BY user_id HAVING max(epoch_ms(ts)) < {NOW} - 43200000"
+STALE_SQL = f"SELECT CAST(user_id AS STRING) AS session_id, 1000 * CAST(floor(epoch(max(ts))) AS BIGINT) AS newest_ms FROM events GROUP BY user_id HAVING 1000 * CAST(floor(epoch(max(ts))) AS BIGINT) < {NOW} - 43200000"
 
 
 def retained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,11 @@ def _folder(spark: SparkSession, label: str) -> str:
 
 
 def _source(spark: SparkSession, rows: DataFrame, order: str, folder: str, files: int = 3) -> DataFrame:
-    """``rows`` as a stream of ``files`` files, in order of a column."""
-    rows.repartitionByRange(files, order).write.parquet(f"{folder}/in")
+    """``rows`` as a stream of ``files`` batches, in order of a column."""
+    place = F.col(order).cast("double")
+    bounds = [float("-inf"), *rows.select(place.alias("place")).approxQuantile("place", [i / files for i in range(1, files)], 0.01), float("inf")]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        rows.where((place > low) & (place <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
@@ -66,13 +69,13 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     closing = rows.agg(F.lit("end").alias("session_id"), (F.max("at") + F.expr("interval 40 days")).alias("at"))
     out = J.idle_sessions(_source(spark, rows.union(closing), "at", folder), days=1, lateness="1 hour")
     out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").where("session_id != 'end'").select("session_id", F.unix_millis("last_at").alias("last_ms"), "n_messages")
+    return spark.read.parquet(f"{folder}/out").where("session_id != 'end'").select("session_id", F.unix_seconds("last_at").alias("last_s"), "n_messages")
 
 
 SESSIONS_SQL = """
 WITH e AS (SELECT CAST(user_id AS STRING) AS session_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS opens FROM events),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e)
-SELECT session_id, epoch_ms(max(ts)) AS last_ms, count(*) AS n_messages FROM s GROUP BY session_id, k
+SELECT session_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS n_messages FROM s GROUP BY session_id, k
 """
 
 
