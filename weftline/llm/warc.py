@@ -108,7 +108,7 @@ class ArchiveWriter:
         self.size += 8 + len(words)
         waiting, self.waiting, self.held = self.waiting, [], 0
         for data in waiting:
-            self.put(data)
+            self.add(data)  # waits again if the archive is full by then
 
     def put(self, data: bytes) -> None:
         frame = self.packer.compress(data)
@@ -116,15 +116,19 @@ class ArchiveWriter:
         self.size += len(frame)
         self.count += 1
         if self.size >= self.most:
-            self.close()
+            self.end()
+
+    def end(self) -> None:
+        self.out.close()
+        self.done.append((self.path, self.count, self.size))
+        self.out = None
 
     def close(self) -> None:
-        if self.out is None and self.waiting:
-            self.open()
-        if self.out is not None:
-            self.out.close()
-            self.done.append((self.path, self.count, self.size))
-            self.out = None
+        while self.out is not None or self.waiting:
+            if self.out is None:
+                self.open()
+            else:
+                self.end()
 
 
 def write_archives(
