@@ -17,10 +17,11 @@ from ..sources.archive import append_entries
 
 
 def archive_stream(messages: DataFrame, path: str, checkpoint: str):
-    """Append the unseen entries of each micro-batch to the archive, numbered on."""
+    """Append the unseen entries of each micro-batch to the archive, numbered on. A batch is a message list of its own for ids
+    of messages without calls, so one that comes again changes nothing and equal beginnings of two batches both stay."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        append_entries(E.to_entries(rows), path)
+        append_entries(E.to_entries(rows.withColumn("window_id", F.lit(batch_id)), ids_per_window=True), path)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
