@@ -26,6 +26,8 @@ from .components import components
 from .multiplicity import Grades, chunked, with_grades
 from .workspace import cut, shuffle_partitions
 
+#: Tasks among which the rows of one family and size are dealt.
+SALTS = 32
 SETS = "id long, n_shingles long, node long, lone int, keys binary"
 
 
@@ -210,11 +212,13 @@ def linked_sets(nodes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20,
     placed = placed.where(F.col("family").isNotNull() | F.col("several"))
 
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    sized = cut(placed.select("node", "low", "group", F.coalesce("family", "group").alias("family"), "bytes", step.alias("step")))
+    # a large family's rows meet its sizes in several tasks
+    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")
+    sized = cut(placed.select("node", "low", "group", F.coalesce("family", "group").alias("family"), "bytes", step.alias("step"), salt.alias("salt")))
     parts_of = lambda: F.greatest(F.ceil(F.sum("bytes") / (8 * most_tokens)), F.ceil(F.count("*") / most_members)).cast("int")
     whole = sized.groupBy("family").agg(parts_of().alias("all_parts"))
     steps = cut(sized.groupBy("family", "step").agg(parts_of().alias("parts")).join(whole, "family"))
-    near = steps.select("family", "step", "parts", "all_parts")
+    near = steps.where("all_parts > 1").select("family", "step", "parts")
     for name, shift in (("above", 1), ("below", -1)):
         near = near.join(steps.select("family", (F.col("step") - shift).alias("step"), F.col("parts").alias(name)), ["family", "step"], "left")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -226,7 +230,8 @@ def linked_sets(nodes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20,
     higher = F.transform(upto(F.coalesce("above", F.lit(0))), lambda k: units(step_, part, up, k, F.lit(0)))
     lower = F.transform(upto(F.coalesce("below", F.lit(0))), lambda k: units(down, k, step_, part, F.lit(1)))
     alone = F.array(F.struct(F.col("family").cast("string").alias("unit"), none.alias("side")))
-    sent = sized.join(near, ["family", "step"]).select("node", "low", "group", F.explode(F.when(F.col("all_parts") <= 1, alone).otherwise(F.concat(mine, higher, lower))).alias("to"))
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sent = sized.join(near, ["family", "step", "salt"], "left").select("node", "low", "group", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(mine, higher, lower))).alias("to"))
     # one row of each node brings its keys
     full = nodes.select("node", F.col("id").alias("low"), "n", "lone", "keys").join(sent, ["node", "low"]).select("to.unit", "node", "group", "n", "lone", "keys", "to.side")
 
