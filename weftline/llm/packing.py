@@ -32,23 +32,21 @@ SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, los
 #: The byte-level alphabet: printable bytes stand for themselves, the others are numbered from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LEVEL = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
-#: Words of plain Latin-1 characters split like this once in lower case, as the tokenizer's own pattern does.
-PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
-PIECES_OF = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-#: Control characters, and what could begin a special token.
-ODD = re.compile(rb"[\x00-\x1f\x7f]|<\|")
-#: Stands between words; no id has a third or fourth byte.
-GAP = b"\xff" * 4
+#: Texts of plain Latin-1 characters split to pieces like this once in lower case, as the tokenizer's own pattern does
+#: (what begins a piece tells its kind, so the order of kinds is free). Texts of the bytes in COMMON are plain.
+PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+COMMON = bytes([*range(9, 14), *range(32, 127), 0xC3, *range(0x80, 0xC0)])
+PIECES_OF = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
 class WordTokens:
     """Token ids of texts by a word-ended byte-level BPE, whose ids never depend on what lies beyond white space.
 
-    Words seen before come from a table of bounded size. New words of plain characters are split to pieces here, and the
-    pieces go to the tokenizer's model without its normalizer; all other words go to the whole tokenizer.
+    Plain texts are split to pieces here. Pieces seen before come from a table of bounded size, new ones go to the
+    tokenizer's model without its normalizer. All other texts go to the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -59,10 +57,9 @@ class WordTokens:
         #: Whether an id ends a piece.
         self.final = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
         self.final[[i for x, i in spec["model"]["vocab"].items() if x.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece."""
         mapped = [x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LEVEL) for x in pieces]
         out: list[bytes] = []
@@ -72,46 +69,33 @@ class WordTokens:
             cuts = [0, *((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()]
             data = ids.tobytes()
             out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(cuts) != len(group) + 1:
+                raise ValueError(f"{len(group)} pieces, {len(cuts) - 1} ends")
         return out
 
-    def _split(self, words: list[bytes]) -> list[str]:
-        """The pieces of plain words, in order, with a space between words."""
-        return PIECES_OF.findall(b" ".join(words).decode().lower())
-
-    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if (w.isascii() or PLAIN.fullmatch(w.decode()))] if self.plain else []
-        if ODD.search(b" ".join(plain)):
-            plain = [w for w in plain if not ODD.search(w)]
-        flat = self._split(plain)
-        own = set(flat).difference(self.pieces)
-        if len(self.pieces) + len(own) > self.most:
-            self.pieces.clear()
-            own = set(flat)
-        self.pieces[" "] = GAP
-        own.discard(" ")
-        new = list(own)
-        self.pieces.update(zip(new, self._of_pieces(new), strict=True))
-        out = dict(zip(plain, b"".join(map(self.pieces.__getitem__, flat)).split(GAP), strict=True)) if plain else {}
-        others = [w for w in words if w not in out]
-        found = self.whole.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
-        return out | {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(others, found, strict=True)}
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        split = [x.split() for x in texts]
-        known = self.known
-        words = set().union(*split)
-        old = words.intersection(known)
-        # few enough to be looked up fast
-        near = dict(zip(old, map(known.__getitem__, old), strict=True))
-        fresh = self._ids(list(words.difference(old)))
+        split = [self._pieces(x) for x in texts]
+        pieces = set().union(*filter(None, split))
+        # what this batch has, few enough to be looked up fast
+        near = dict(zip(pieces, map(self.known.get, pieces), strict=True))
+        new = [x for x, ids in near.items() if ids is None]
+        fresh = dict(zip(new, self._ids(new), strict=True))
         near |= fresh
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            known.update((w, near[w]) for w in old)
-        known.update(fresh if max(map(len, fresh), default=0) <= self.longest else {w: x for w, x in fresh.items() if len(w) <= self.longest})
+        if len(self.known) + len(fresh) > self.most:
+            self.known = {x: near[x] for x in pieces.difference(new)}
+        self.known.update((x, i) for x, i in fresh.items() if len(x) <= self.longest)
+        others = [x.decode() for x, own in zip(texts, split, strict=True) if own is None]
+        whole = iter(self.whole.encode_batch_fast(others, add_special_tokens=False) if others else [])
         get = near.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        return [b"".join(map(get, own)) if own is not None else np.array(next(whole).ids, dtype="<u4").tobytes() for own in split]
+
+    def _pieces(self, text: bytes) -> list[str] | None:
+        """None if the text isn't plain."""
+        if not self.plain or b"<|" in text:
+            return None
+        decoded = text.decode()
+        return PIECES_OF.findall(decoded.lower()) if not text.translate(None, COMMON) or PLAIN.fullmatch(decoded) else None
 
 
 @lru_cache(maxsize=1)
@@ -256,8 +240,8 @@ def pack(
         packer = Packer(tokens, segments, loss, pool, TaskContext.get().partitionId() << 40, with_ids)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 texts, prompts = (coder.encode(part.column(c).cast(pa.large_binary()).fill_null(b"").to_pylist()) for c in ("text", "prompt"))
                 for key, text, prompt in zip(part.column("id").to_pylist(), texts, prompts, strict=True):
                     packer.add(Example(key, np.frombuffer(prompt + text + end, dtype="<u4"), len(prompt) // 4))
