@@ -92,6 +92,7 @@ COMMIT_MESSAGES = [java(p) for p in (
 )]
 COMMIT_HASH = r"\[[^\]\s]+(?: \(root-commit\))? ([0-9a-f]{7,12})\]"
 TASK_OUTPUT = r"/tasks/[^/]+\.output\z"
-HARNESS_PATH = r"^/(?:Users|home)/[^/]+/\.claude/"
+#: Files in a hidden folder of a user's home belong to a host, not to the work.
+HARNESS_PATH = r"^/(?:Users|home)/[^/]+/\.[A-Za-z0-9_-]+/"
 NOTIFICATION = java(r"^\s*<task-notification>")
 SKILL_BLOCK = r"<skill[^>]*name=\"([^\"]+)\"[\s\S]*?</skill>"
