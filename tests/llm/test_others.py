@@ -208,6 +208,25 @@ def test_leaks_are_those_of_all_windows(spark):
     assert decontamination.leaks(frame.limit(0), bench).count() == 0 and decontamination.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_best_window_may_lie_between_places(spark):
+    item, noise, long = shared(60, 50), shared(400, 99), shared(200, 51)
+    docs = [
+        (1, noise[:2] + item[2:30] + noise[2:6] + item[30:58] + noise[6:8]), (2, noise[:100] + item[2:30] + noise[2:6] + item[30:58] + noise[200:300]),
+        (3, noise[:30] + long[10:100] + noise[40:60] + long[100:190] + noise[70:90]), (4, noise[:90] + item[2:30] + noise[2:8] + item[32:58]), (5, noise),
+    ]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id long, text string")
+    want = {}
+    for i, w in docs:
+        for k, own in ((1, item), (2, long)):
+            bag = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
+            shares = [sum(tuple(w[j : j + 5]) in bag for j in range(s, s + len(own) - 4)) for s in range(max(1, len(w) - len(own) + 1))]
+            if max(shares) / (2 * len(bag) - max(shares)) >= 0.75:
+                want[i, k] = max(shares)
+    assert set(want) == {(1, 1), (2, 1), (3, 2)}
+    assert {(r.doc_id, r.item_id): r.shared for r in decontamination.leaks(frame, bench).collect()} == want
+
+
 def test_blocks_meet_within_the_radius(spark):
     rng = np.random.default_rng(4)
     rows = []

@@ -3,7 +3,9 @@
 Documents and items are sequences of lower-case words and the bags of their word shingles. A match has
 at least ``percent`` of an item's shingles, so a document without a stretch that dense in benchmark
 shingles is dropped row by row, against a bit table of fixed size. In the others, windows of
-an item's length are laid where a shared shingle would be in place. SimHash fingerprints of
+an item's length are laid where a shared shingle would be in place, and where one is the first of
+enough of them for a match: moved right to its first shared shingle (or the end of the document),
+a window loses none, so the best one is among them. SimHash fingerprints of
 windows and items meet by blocks: with ``radius + 1`` blocks, two fingerprints within ``radius``
 have at least one block in common. Candidates are verified by the exact weighted Jaccard
 similarity of the shingle bags (each shingle weighs as often as it occurs).
@@ -102,8 +104,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     met = seen.join(own, "hash").select("row", "size", "item_id", "length", "n", "place", "at")
     pairs = met.groupBy("row", "item_id").agg(F.count_distinct("place").alias("found"), F.first("n").alias("n")).where(100 * F.col("found") >= percent * F.col("n"))
     met = met.join(pairs.select("row", "item_id"), ["row", "item_id"], "left_semi")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("size") - F.col("length")))
-    windows = met.select("row", "length", start.alias("start")).distinct()
+    met = met.groupBy("row", "item_id", "size", "length", "n").agg(F.array_sort(F.collect_set("at")).alias("at"), F.collect_set(F.col("at") - F.col("place")).alias("placed"))
+    held = F.least("size", "length") - (width - 1)
+    # so many of a window's ``held`` shingles are shared in any match
+    met = met.withColumn("held", held).withColumn("need", F.greatest(F.lit(1), F.ceil(percent * (F.col("held") + F.col("n")) / (100 + percent)).cast("int")))
+    room = F.greatest(F.lit(0), F.size("at") - (F.col("need") - 1))
+    firsts = F.zip_with(F.slice("at", F.lit(1), room), F.slice("at", F.col("need"), room), lambda a, b: F.when(b - a < F.col("held"), a))
+    starts = F.explode(F.concat("placed", F.filter(firsts, lambda a: a.isNotNull())))
+    windows = met.select("row", "length", "size", starts.alias("start"))
+    windows = windows.select("row", "length", F.greatest(F.lit(0), F.least(F.col("start"), F.col("size") - F.col("length"))).alias("start")).distinct()
 
     bags = windows.join(dense.select("row", "hashes"), "row").select("row", "length", "start", F.explode(F.slice("hashes", F.col("start") + 1, F.col("length") - (width - 1))).alias("hash"))
     bags = cut(bags.groupBy("row", "length", "start", "hash").agg(F.count("*").alias("weight")))
