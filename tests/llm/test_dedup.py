@@ -14,7 +14,7 @@ from weftline.llm.near_dup import linked_sets, near_duplicates, overlaps, spanni
 from weftline.llm.substring_dedup import remove_repeats
 from weftline.llm.suffix_dedup import minimisers, repeated_passages
 
-from .conftest import WORD
+from .conftest import WORD, shared
 
 
 def windows(rows, n):
@@ -78,6 +78,24 @@ def test_repeated_passages_are_found_whole(docs, texts):
     assert {k: v for k, v in want.items() if v} == got
 
 
+def test_one_row_is_no_repeat_of_itself(spark):
+    seed = shared(10, 200)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert_brute_force(spark, [(k, shared(60, 300 + k) + seed + shared(60, 400 + k)) for k in range(2)])
+        assert_brute_force(spark, [(k, shared(60, 300 + k) + shared(55, 200) + shared(60, 400 + k)) for k in range(2)])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def assert_brute_force(spark, rows):
+    seen = windows([w for _, w in rows], 50)
+    want = {(i, k) for i, w in rows for k, g in enumerate(covered(w, seen, 50)) if g}
+    out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, k) for r in out for k in range(r.start, r.end)} == want
+
+
 def test_minimisers_are_kept_in_every_long_run():
     hashes = W.mix(np.arange(400, dtype=np.uint64))
     at, _ = minimisers(hashes, np.array([0, 300, 305, 400]), 10, 41)

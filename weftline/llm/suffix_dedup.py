@@ -104,7 +104,7 @@ def _text_key(data: np.ndarray) -> int:
 def _context(short: np.ndarray, index: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[bytes]:
     inside = (index >= low[:, None]) & (index < high[:, None])
     size = inside.sum(axis=1) * 4
-    rows = short[np.clip(index, 0, max(0, len(short) - 1))].view(np.uint8).reshape(len(index), -1)
+    rows = short[np.clip(index, 0, max(0, len(short) - 1))].view(np.uint8).reshape(len(index), 4 * index.shape[1])
     return [row[:n].tobytes() for row, n in zip(rows, size, strict=True)]
 
 
@@ -142,22 +142,25 @@ def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "text", "start", "end", "edge"]
-        held, first = None, None
+        held, first, count = None, None, 0
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 rows = pa.Table.from_batches([batch.slice(at, 4096)])
                 if first is None:
                     first = rows.slice(0, 1)
+                count += len(rows)
                 rows = rows if held is None else pa.concat_tables([held, rows])
                 held = rows.slice(len(rows) - 1)
                 found = _matches(rows, span, least)
                 for part in found.append_column("edge", pa.nulls(len(found), pa.binary())).select(names).to_batches():
                     yield part
         if held is not None:
-            edges = pa.concat_tables([first, held])
+            # a range of one row has one edge
+            edges = pa.concat_tables([first, held]) if count > 1 else held
+            n = len(edges)
             yield pa.record_batch({
                 "id": edges.column("id").combine_chunks(), "text": edges.column("text").combine_chunks(), "start": edges.column("pos").combine_chunks().cast(pa.int64()),
-                "end": pa.array([-1, -1], pa.int64()), "edge": pa.array([_sealed(edges.slice(i, 1)) for i in range(2)], pa.binary()),
+                "end": pa.array([-1] * n, pa.int64()), "edge": pa.array([_sealed(edges.slice(i, 1)) for i in range(n)], pa.binary()),
             })
 
     found = cut(ordered.mapInArrow(run, SPAN + ", edge binary"))
@@ -167,7 +170,7 @@ def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int)
         kinds = {"seed": "ascending", **{c: "ascending" for c in order}, "id": "ascending", "text": "ascending", "pos": "ascending"}
         return _matches(rows.sort_by(list(kinds.items())), span, least)
 
-    # two rows a task
+    # at most two rows a task
     edges = found.where("edge is not null").select("edge", F.lit(0).alias("all")).groupBy("all").applyInArrow(again, SPAN)
     return found.where("edge is null").select("id", "text", "start", "end").union(edges)
 
