@@ -78,6 +78,20 @@ def test_repeated_passages_are_found_whole(docs, texts):
     assert {k: v for k, v in want.items() if v} == got
 
 
+def test_partner_may_be_next_to_it_in_neither_order(spark):
+    seed, left, right = shared(10, 200), shared(40, 201), shared(40, 202)
+
+    def text(k, n_left, n_right):
+        return shared(60, 300 + k) + left[40 - n_left :] + seed + right[:n_right] + shared(60, 400 + k)
+
+    rows = [(0, text(0, 25, 25)), (1, text(1, 25, 25))]
+    rows += [(2 + k, text(2 + k, 2, 35)) for k in range(12)] + [(20 + k, text(20 + k, 35, 2)) for k in range(12)]
+    assert_brute_force(spark, rows)
+    # partners of one seed differ from offset to offset
+    rng = np.random.default_rng(3)
+    assert_brute_force(spark, [(k, text(k, int(rng.integers(0, 41)), int(rng.integers(0, 41)))) for k in range(60)])
+
+
 def test_one_row_is_no_repeat_of_itself(spark):
     seed = shared(10, 200)
     before = spark.conf.get("spark.sql.shuffle.partitions")

@@ -10,6 +10,9 @@ kept position is at most ``span`` words away, it is enough that a row carries ``
 before and ``least`` words after its position: the union of the matches is the whole repeat.
 The order is also taken the other way around, by the words before, so that a neighbour is next to
 the position that it shares most with on either side.
+Neighbours do not tell all where three or more contexts share a seed: the partner may be next to
+the position in neither order. There, the runs of ``least`` words that hold the position are
+counted by hash, once a context, as far as the next context in the order shares the words after.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .workspace import cut, shuffle_partitions
 
 ROW = "id long, text long, pos int, seed binary, after binary, before binary"
 SPAN = "id long, text long, start long, end long"
+BACK = 0xD1342543DE82EF95
 
 
 def minimisers(hashes: np.ndarray, first: np.ndarray, seed: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,36 +138,108 @@ def _matches(rows: pa.Table, span: int, least: int) -> pa.Table:
     return pa.table({"id": rows.column("id").take(pa.array(pair)), "text": rows.column("text").take(pa.array(pair)), "start": starts, "end": ends})
 
 
-def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int) -> DataFrame:
+def _runs(reps: pa.Table, reach: np.ndarray, span: int, least: int) -> pa.Table:
+    """The runs of ``least`` words around each position, with at most ``reach`` of the words after it, and a hash of what they hold
+    and where the position lies in them."""
+    after, _ = _padded(reps.column("after"), least)
+    before, before_n = _padded(reps.column("before"), span)
+    seeds = np.frombuffer(b"".join(reps.column("seed").to_pylist()), dtype=">u8").astype(np.uint64)
+
+    def sums(words: np.ndarray, base: int) -> np.ndarray:
+        powers = np.full(words.shape[1], base, dtype=np.uint64)
+        powers[:1] = 1
+        total = np.zeros((len(words), words.shape[1] + 1), dtype=np.uint64)
+        np.cumsum(W.mix(words.astype(np.uint64)) * np.cumprod(powers), axis=1, out=total[:, 1:])
+        return total
+
+    back = np.arange(span)
+    row, back = np.nonzero((back >= least - reach[:, None]) & (back <= before_n[:, None]))
+    here = W.mix(seeds[row] + back.astype(np.uint64) * W.K1)
+    hashes = W.mix(sums(after, W.BASE)[row, least - back] + W.mix(sums(before, BACK)[row, back] ^ here))
+    start = reps.column("pos").to_numpy().astype(np.int64)[row] - back
+    row = pa.array(row)
+    return pa.table({"id": reps.column("id").take(row), "text": reps.column("text").take(row), "start": start, "end": start + least, "run": hashes.view(np.int64)})
+
+
+class Contexts:
+    """One row of each context (seed, after, before) of a task's rows in that order, held until it is known whether its seed has three
+    contexts and how many words after it the next one shares. The seeds at both ends of the task may go on in others."""
+
+    def __init__(self, span: int, least: int):
+        self.span, self.least = span, least
+        self.held, self.done, self.open, self.first = None, 0, True, True
+
+    def add(self, rows: pa.Table, follows: bool) -> pa.Table:
+        """The runs that can be told after ``rows``, the first of which is known already if it ``follows``."""
+        cols = [rows.column(c).to_pylist() for c in ("seed", "after", "before")]
+        own = list(zip(*cols, strict=True))
+        new = np.array([i for i in range(len(own)) if (own[i] != own[i - 1] if i else not follows)], dtype=np.int64)
+        reps = rows.take(pa.array(new))
+        return self.settle(reps if self.held is None else pa.concat_tables([self.held, reps]), False)
+
+    def end(self) -> pa.Table:
+        return self.settle(self.held, True)
+
+    def settle(self, reps: pa.Table, final: bool) -> pa.Table:
+        n = len(reps)
+        seeds = np.frombuffer(b"".join(reps.column("seed").to_pylist()), dtype=">u8")
+        same = seeds[:-1] == seeds[1:]
+        group = np.concatenate([[0], np.cumsum(~same)])
+        after, size = _padded(reps.column("after"), self.least)
+        right = np.where(same, _shared(after[:-1], after[1:], np.minimum(size[:-1], size[1:])), 0)
+        reach = np.maximum(np.concatenate([[self.least if self.first else 0], right]), np.concatenate([right, [self.least]]))
+        wide = (np.bincount(group)[group] > 2) | ((group == 0) & self.open)
+        if final:
+            wide |= group == group[-1]
+        ready = wide.copy()
+        ready[: self.done] = False
+        if not final:
+            ready[-1] = False
+            rest = int(np.searchsorted(group, group[-1]))
+            rest = max(rest, n - 2) if wide[-1] else rest
+            self.held, self.done, self.open, self.first = reps.slice(rest), n - 1 - rest if wide[-1] else 0, bool(wide[-1]), self.first and rest == 0
+        at = np.flatnonzero(ready)
+        return _runs(reps.take(pa.array(at)), np.minimum(reach, size)[at], self.span, self.least)
+
+
+def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int, runs: bool = False) -> DataFrame:
     """Matches of neighbours in the order of ``seed`` and ``order``. A range of the order is a task's; the first and last
-    rows of the ranges are compared once more among themselves."""
+    rows of the ranges are compared once more among themselves. With ``runs`` (in the order of the words after), also
+    the repeated runs of seeds that have three contexts or more."""
     keys = ["seed", *order, "id", "text", "pos"]
     ordered = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text", "start", "end", "edge"]
+        names = ["id", "text", "start", "end", "edge", "run"]
         held, first, count = None, None, 0
+        contexts = Contexts(span, least)
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 rows = pa.Table.from_batches([batch.slice(at, 4096)])
                 if first is None:
                     first = rows.slice(0, 1)
                 count += len(rows)
-                rows = rows if held is None else pa.concat_tables([held, rows])
+                follows = held is not None
+                rows = pa.concat_tables([held, rows]) if follows else rows
                 held = rows.slice(len(rows) - 1)
                 found = _matches(rows, span, least)
-                for part in found.append_column("edge", pa.nulls(len(found), pa.binary())).select(names).to_batches():
-                    yield part
+                yield from found.append_column("edge", pa.nulls(len(found), pa.binary())).append_column("run", pa.nulls(len(found), pa.int64())).select(names).to_batches()
+                if runs:
+                    found = contexts.add(rows, follows)
+                    yield from found.append_column("edge", pa.nulls(len(found), pa.binary())).select(names).to_batches()
         if held is not None:
+            if runs:
+                found = contexts.end()
+                yield from found.append_column("edge", pa.nulls(len(found), pa.binary())).select(names).to_batches()
             # a range of one row has one edge
             edges = pa.concat_tables([first, held]) if count > 1 else held
             n = len(edges)
             yield pa.record_batch({
                 "id": edges.column("id").combine_chunks(), "text": edges.column("text").combine_chunks(), "start": edges.column("pos").combine_chunks().cast(pa.int64()),
-                "end": pa.array([-1] * n, pa.int64()), "edge": pa.array([_sealed(edges.slice(i, 1)) for i in range(n)], pa.binary()),
+                "end": pa.array([-1] * n, pa.int64()), "edge": pa.array([_sealed(edges.slice(i, 1)) for i in range(n)], pa.binary()), "run": pa.nulls(n, pa.int64()),
             })
 
-    found = cut(ordered.mapInArrow(run, SPAN + ", edge binary"))
+    found = cut(ordered.mapInArrow(run, SPAN + ", edge binary, run long"))
 
     def again(table: pa.Table) -> pa.Table:
         rows = pa.concat_tables([_unsealed(x) for x in table.column("edge").to_pylist()])
@@ -172,7 +248,12 @@ def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int)
 
     # at most two rows a task
     edges = found.where("edge is not null").select("edge", F.lit(0).alias("all")).groupBy("all").applyInArrow(again, SPAN)
-    return found.where("edge is null").select("id", "text", "start", "end").union(edges)
+    matches = found.where("edge is null and run is null").select("id", "text", "start", "end").union(edges)
+    if not runs:
+        return matches
+    told = found.where("run is not null")
+    again = told.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    return matches.union(told.join(again, "run", "left_semi").select("id", "text", "start", "end"))
 
 
 def _sealed(table: pa.Table) -> bytes:
@@ -196,7 +277,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     span = least - seed + 1
     rows = cut(suffixes(docs, id_col, text_col, seed, span, least))
-    found = neighbour_matches(rows, ["after", "before"], span, least).union(neighbour_matches(rows, ["before", "after"], span, least))
+    found = neighbour_matches(rows, ["after", "before"], span, least, runs=True).union(neighbour_matches(rows, ["before", "after"], span, least))
     # a text's matches in order: one that begins after all before it have ended opens a new passage
     so_far = Window.partitionBy("id", "text").orderBy("start", "end")
     opened = F.coalesce(F.col("start") > F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
