@@ -34,8 +34,10 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What an entity has at least one of.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|api[_-]?key|token)\s{{0,3}}[=:]|(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|ASIA|(?i:password|passwd|pwd|secret|api[_-]?key|token)\s{{0,3}}[=:]|(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
 DIGITS = ["phone", "ssn", "card"]
+#: After so many attempts, and again each time, surrogates become longer, so that small spaces do not run out.
+WIDER = 8
 LATIN = (["ba", "be", "co", "da", "do", "fe", "ga", "ka", "la", "li", "ma", "mi", "na", "ne", "no", "pa", "re", "ro", "sa", "si", "ta", "te", "va", "vi"], {"m": "n", "f": "a", "n": "r"})
 CYRILLIC = (["ба", "ве", "го", "да", "до", "за", "ка", "ла", "ли", "ма", "ми", "на", "не", "но", "па", "ре", "ро", "са", "си", "та", "те", "ва", "ви", "ра"], {"m": "н", "f": "а", "n": "р"})
 
@@ -93,12 +95,16 @@ def luhn(digits: Column) -> Column:
     ) % 10
 
 
+def _wider(attempt: Column) -> Column:
+    return F.floor(attempt / WIDER).cast("int")
+
+
 def _name_part(word: Column, key: str, role: Column, attempt: Column) -> Column:
     """A name of syllables, the same for a word in the same role wherever it occurs."""
     noise = F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), role, F.lower(word), attempt.cast("string")), 512)
 
     def spell(syllables: list[str], ends: dict[str, str]) -> Column:
-        pick = F.transform(F.sequence(F.lit(0), 1 + _byte(noise, F.lit(9)) % 2), lambda i: F.get(F.array(*map(F.lit, syllables)), _byte(noise, i) % len(syllables)))
+        pick = F.transform(F.sequence(F.lit(0), 1 + _byte(noise, F.lit(9)) % 2 + _wider(attempt)), lambda i: F.get(F.array(*map(F.lit, syllables)), _byte(noise, i) % len(syllables)))
         end = F.lit(ends["n"])
         for g in "mf":
             end = F.when(role == g, ends[g]).otherwise(end)
@@ -111,9 +117,12 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """The form's surrogate on an attempt."""
     noise = F.sha2(F.concat_ws("|", F.lit(key), kind, form, attempt.cast("string")), 512)
     mapped = _mapped(form, noise)
+    more = F.substr(F.sha2(noise, 512), F.lit(1), F.least(F.lit(64), 4 * _wider(attempt)))
+    letters, digits = F.translate(more, "0123456789", "ghijklmnop"), F.translate(more, "abcdef", "012345")
     octets = F.array_join(
         F.transform(F.split(form, "\\."), lambda o, i: F.when(F.length(o) == 3, 100 + _byte(noise, i) % 156).when(F.length(o) == 2, 10 + _byte(noise, i) % 90).otherwise(1 + _byte(noise, i) % 9).cast("string")), "."
     )
+    octets = F.when(attempt < WIDER, octets).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(noise, i) % 256).cast("string")), "."))
     body = F.concat(F.substr(form, F.lit(1), F.lit(1)), F.substr(mapped, F.lit(2), F.length(form) - 2))
     # the last digit that gives the sum modulo 10 which the number had
     card = F.concat(body, F.pmod(luhn(form) - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
@@ -128,25 +137,27 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(kind == "ip", octets)
         .when(kind == "card", card)
-        .when(kind == "phone", F.concat(F.substr(form, F.lit(1), code), F.char(F.lit(50) + _byte(noise, F.lit(1)) % 8), F.substr(mapped, code + 2)))
+        .when(kind == "phone", F.concat(F.substr(form, F.lit(1), code), F.char(F.lit(50) + _byte(noise, F.lit(1)) % 8), F.substr(mapped, code + 2), digits))
         .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), F.substr(mapped, F.lit(3))))
         .when(kind == "key", F.concat(F.substr(form, F.lit(1), F.lit(4)), F.substr(mapped, F.lit(5))))
-        .when(kind == "email", F.concat(F.substr(mapped, F.lit(1), F.length(form) - F.length(top)), top))
+        .when(kind == "email", F.concat(letters, F.substr(mapped, F.lit(1), F.length(form) - F.length(top)), top))
         .when(kind == "person", F.concat(F.get(words, F.lit(0)), F.lit(" "), names))
-        .when((kind == "secret") & form.rlike(r"^[0-9a-f]+\z"), hexes)
+        .when((kind == "secret") & form.rlike(r"^[0-9a-f]+\z"), F.concat(hexes, more))
+        .when(kind == "secret", F.concat(mapped, letters))
         .otherwise(mapped)
     )
 
 
-def surrogates(forms: DataFrame, key: str, most_attempts: int = 40) -> DataFrame:
+def surrogates(forms: DataFrame, key: str) -> DataFrame:
     """(kind, form, surrogate) for distinct (kind, form): no two of a kind share a surrogate and none is a form that occurs.
 
     In each turn the first form of those that share a surrogate keeps it; the others, and those whose surrogate
-    occurs, make another attempt. It ends when nothing changes; a kind with more forms than surrogates is an error.
+    occurs, make another attempt. It ends when nothing changes: addresses, secrets, phone numbers and names become longer after
+    ``WIDER`` attempts, and the other kinds have 10 ** 9 surrogates or more.
     """
     drawn = cut(forms.select("kind", "form", F.lit(0).alias("attempt")).withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)))
     taken = forms.select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("occurs"))
-    for _ in range(most_attempts):
+    while True:
         # the least attempt, then the least form, keeps what several have drawn
         shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "form")).alias("first")).join(taken, ["kind", "surrogate"], "left")
         bad = shared.where("n > 1 or occurs").select("kind", "surrogate", "first.form", "occurs")
@@ -156,7 +167,6 @@ def surrogates(forms: DataFrame, key: str, most_attempts: int = 40) -> DataFrame
         again = F.col("keeper").isNotNull() & (F.coalesce("occurs", F.lit(False)) | (F.col("form") != F.col("keeper")))
         moved = drawn.join(bad, ["kind", "surrogate"], "left").select("kind", "form", (F.col("attempt") + again.cast("int")).alias("attempt"), F.when(~again, F.col("surrogate")).alias("kept"))
         drawn = cut(moved.select("kind", "form", "attempt", F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)).alias("surrogate")))
-    raise ValueError("more forms than surrogates")
 
 
 def laid_out(entity: Column, kind: Column, form: Column, new: Column) -> Column:
@@ -172,9 +182,9 @@ def laid_out(entity: Column, kind: Column, form: Column, new: Column) -> Column:
     cased = F.array_join(F.transform(_chars(entity), lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substr(new, i + 1, F.lit(1)))).otherwise(F.substr(new, i + 1, F.lit(1)))), "")
     name = F.regexp_replace(entity, _TITLE, "")
     return (
-        F.when(kind.isin(DIGITS), fill("[0-9]"))
+        F.when(kind.isin(DIGITS), F.concat(fill("[0-9]"), F.substr(new, F.length(form) + 1)))
         .when(kind == "iban", fill("[A-Z0-9]"))
-        .when(kind == "email", cased)
+        .when(kind == "email", F.concat(cased, F.substr(new, F.length(form) + 1)))
         .when(kind == "secret", F.concat(F.substr(entity, F.lit(1), F.length(entity) - F.length(form)), new))
         .when(kind == "person", F.concat(F.substr(entity, F.lit(1), F.length(entity) - F.length(name)), F.substr(new, F.lit(3))))
         .otherwise(new)
