@@ -152,15 +152,14 @@ def judge(
     text_col: str = "text",
     trees: int = 200,
     sample: int = 32,
-    most_labelled: int = 20_000,
     good_lost: float = 0.005,
     seed: int = 5,
 ) -> DataFrame:
     """One row per input row: id, the counts, base_failed, anomaly (0 to 1), kept.
 
-    The forest grows on up to ``trees * sample`` rows that pass the fixed rules, and the threshold comes from up to
-    ``most_labelled`` labelled rows that pass them (``labels``: id, quality 1 or 0); both take those with the lowest
-    hashes of their ids, whatever the size of the corpus. Of thresholds that reject at most ``good_lost`` of the good
+    The forest grows on up to ``trees * sample`` rows that pass the fixed rules, those with the lowest hashes of their
+    ids, whatever the size of the corpus. The threshold comes from all labelled rows that pass them (``labels``: id,
+    quality 1 or 0). Of thresholds that reject at most ``good_lost`` of the good
     ones, that with most bad ones rejected is taken, the highest of equals. With no labelled row of both kinds
     nothing is rejected as an anomaly.
 
@@ -171,9 +170,14 @@ def judge(
     passed = counts.where(~F.col("base_failed"))
     grown = lowest(passed, trees * sample, id_col, seed)
     marked = labels.select(F.col(id_col), F.col("quality")).where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
-    known = lowest(cut(passed.join(marked, id_col)), most_labelled, id_col, seed)
     forest = Forest.grow(features(grown), trees, sample, seed) if len(grown) else None
-    limit = threshold(forest.score(features(known)), known.quality.to_numpy() > 0, good_lost) if forest and len(known) else np.inf
+
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # scores are positive, so their bits are in the same order
+            yield pd.DataFrame({"bits": forest.score(features(pdf)).view(np.int64), "good": pdf.quality > 0})
+
+    limit = threshold(cut(passed.join(marked, id_col).mapInPandas(rate, "bits long, good boolean")), good_lost) if forest else np.inf
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -196,17 +200,23 @@ def lowest(df: DataFrame, n: int, id_col: str, seed: int, slack: int = 4) -> pd.
     return found
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, good_lost: float) -> float:
-    """The anomaly score from which rows are rejected."""
-    if good.all() or not good.any():
+def threshold(scored: DataFrame, good_lost: float) -> float:
+    """The anomaly score from which rows are rejected, from the bits of all labelled rows' scores. The first good score
+    that may not be lost is told by its rank, twelve bits at a time."""
+    told = scored.groupBy("good").count().collect()
+    n = {r.good: r["count"] for r in told}
+    if len(n) < 2:
         return np.inf
-    allowed = int(good_lost * good.sum())
-    order = np.sort(scores[good])[::-1]
-    # just above the first good score that may not be lost
-    floor = order[allowed]
-    bad = scores[~good]
-    bad = bad[bad > floor]
-    return float(bad.min()) if len(bad) else np.inf
+    left, floor, own = int(good_lost * n[True]), 0, scored.where("good")
+    for shift in (52, 40, 28, 16, 4, 0):
+        for part, count in sorted(own.groupBy(F.shiftright("bits", shift)).count().collect(), reverse=True):
+            if left < count:
+                break
+            left -= count
+        floor, own = part, own.where(F.shiftright("bits", shift) == part)
+    # just above it
+    least = scored.where(~F.col("good") & (F.col("bits") > floor)).agg(F.min("bits")).first()[0]
+    return np.inf if least is None else float(np.array([least], dtype=np.int64).view(np.float64)[0])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
