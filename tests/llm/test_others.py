@@ -358,10 +358,62 @@ def test_deltas_add_up_and_batches_count_once(spark):
 def test_a_batch_lost_half_way_is_written_over(spark):
     folder = new_dir(spark, "counts")
     rollup = token_counts.TokenRollup(spark, folder)
-    changes(spark, [(9, "insert", "v1", "a", "en", 1000, 0)]).write.parquet(f"{folder}/ledger/batch-1")
+    changes(spark, [(9, "insert", "v1", "a", "en", 1000, 0)]).select("doc_id", "version", "source", "lang", F.col("tokens").cast("long").alias("tokens"), F.lit(1).cast("long").alias("sign"), F.lit(0).alias("bucket")).write.partitionBy("bucket").parquet(f"{folder}/ledger/batch-1")
     assert rollup.commit(1, changes(spark, [(1, "insert", "v1", "a", "en", 10, 0)])) and totals(rollup) == {("a", "en", "v1"): (1, 10)}
 
 
+def test_a_delete_of_all_versions_is_ordered_with_inserts(spark):
+    rollup = token_counts.TokenRollup(spark, new_dir(spark, "counts"))
+    rollup.commit(1, changes(spark, [(1, "insert", "v1", "a", "en", 10, 0), (1, "delete", None, None, None, None, 1), (2, "delete", None, None, None, None, 1), (2, "insert", "v2", "a", "en", 7, 2)]))
+    assert totals(rollup) == {("a", "en", "v2"): (1, 7)}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_totals_are_those_of_a_plain_replay(spark, seed):
+    """Inserts, revisions, deletes with and without version, null and repeated ids, ties, redelivery, lost batches and bases."""
+    rng = np.random.default_rng(seed)
+    folder = new_dir(spark, "counts")
+    state, unnamed = {}, Counter()
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    for batch in range(1, 8):
+        rows = []
+        for _ in range(int(rng.integers(0, 40))):
+            op = pick("insert", "insert", "revise", "delete")
+            version = pick("v1", "v2", None)
+            rows.append((pick(None, *range(12)), op, version, pick("a", "b", None), pick("en", None), pick(None, 0, 3, 50), int(rng.integers(0, 6))))
+        rows += rows[:3]
+        rollup = token_counts.TokenRollup(spark, folder, buckets=5, compact_every=3)
+        frame = changes(spark, rows).withColumns({"bucket": F.lit("x"), "sign": F.lit(9), "N": F.lit(1)})
+        if batch % 3 == 2:  # lost before its commit
+            frame.select(F.col("doc_id"), "version", "source", "lang", F.col("tokens").cast("long"), F.lit(1).cast("long").alias("sign"), F.lit(1).alias("bucket")).write.partitionBy("bucket").parquet(f"{folder}/ledger/batch-{batch}")
+        assert rollup.commit(batch, frame) and not rollup.commit(batch, frame)
+        unnamed.update({(r[3], r[4], r[2], r[5] or 0): n for r, n in Counter(r for r in rows if r[0] is None and r[1] != "delete").items()})
+        text = lambda x: (x is not None, x or "")
+        for i, op, version, source, lang, tokens, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[6], r[1], r[5] or 0, text(r[3]), text(r[4]))):
+            if op != "delete":
+                state[i, version] = source, lang, tokens or 0
+            elif version is not None:
+                state.pop((i, version), None)
+            else:
+                state = {k: v for k, v in state.items() if k[0] != i}
+        want = defaultdict(lambda: [0, 0])
+        for (_, version), (source, lang, tokens) in state.items():
+            want[source, lang, version][0] += 1
+            want[source, lang, version][1] += tokens
+        for (source, lang, version, tokens), n in unnamed.items():
+            want[source, lang, version][0] += n
+            want[source, lang, version][1] += n * tokens
+        assert totals(rollup) == {k: tuple(v) for k, v in want.items()}, batch
+
+
+def test_a_batch_reads_the_buckets_that_it_touches(spark):
+    rollup = token_counts.TokenRollup(spark, new_dir(spark, "counts"), buckets=16)
+    rollup.commit(1, changes(spark, [(k, "insert", "v1", "a", "en", 1, 0) for k in range(300)]))
+    files = rollup.current([3]).inputFiles()
+    plan = rollup.current([3])._jdf.queryExecution().executedPlan().toString()
+    assert files and "PartitionFilters" in plan and "bucket" in plan and 0 < rollup.current([3]).count() < 60
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 

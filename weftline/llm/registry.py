@@ -14,7 +14,7 @@ from .quality import op5_quality_rules
 from .sharding import op3_sharding
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
-from .token_counts import op9_token_counts
+from .token_counts import WORD_COUNT_SQL, op9_token_counts, word_count_rollup
 from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup_join": op8_near_dup_join,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "word_count_rollup": word_count_rollup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"word_count_rollup": WORD_COUNT_SQL}
