@@ -89,7 +89,9 @@ def test_partner_may_be_next_to_it_in_neither_order(spark):
     assert_brute_force(spark, rows)
     # partners of one seed differ from offset to offset
     rng = np.random.default_rng(3)
-    assert_brute_force(spark, [(k, text(k, int(rng.integers(0, 41)), int(rng.integers(0, 41)))) for k in range(60)])
+    rows = [(k, text(k, int(rng.integers(0, 41)), int(rng.integers(0, 41)))) for k in range(60)]
+    assert_brute_force(spark, rows)
+    assert_brute_force(spark, rows, most_contexts=5)
 
 
 def test_one_row_is_no_repeat_of_itself(spark):
@@ -103,10 +105,23 @@ def test_one_row_is_no_repeat_of_itself(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def assert_brute_force(spark, rows):
+@pytest.mark.parametrize("most", [2, 8192])
+def test_partners_are_found_among_others_that_share_parts(spark, most):
+    rows = []
+    for k in range(18):
+        passage = shared(50, 500 + k)
+        rows += [(100 * k + j, shared(30, 3000 + 100 * k + j) + passage + shared(30, 5000 + 100 * k + j)) for j in range(2)]
+        for j in range(6):
+            at = 8 + 5 * j
+            rows.append((100 * k + 10 + j, shared(20, 7000 + 100 * k + j) + passage[at:] + shared(4, 600 + k) + shared(20, 8000 + 100 * k + j)))
+            rows.append((100 * k + 20 + j, shared(20, 9000 + 100 * k + j) + shared(4, 700 + k) + passage[: at + 10] + shared(20, 9500 + 100 * k + j)))
+    assert_brute_force(spark, rows, most_contexts=most)
+
+
+def assert_brute_force(spark, rows, **how):
     seen = windows([w for _, w in rows], 50)
     want = {(i, k) for i, w in rows for k, g in enumerate(covered(w, seen, 50)) if g}
-    out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    out = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), **how).collect()
     assert {(r.doc_id, k) for r in out for k in range(r.start, r.end)} == want
 
 

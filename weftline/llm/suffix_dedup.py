@@ -8,11 +8,12 @@ sorted by the words that follow (by those before them for equal ones), a range o
 task; each is compared with its neighbours and the match is extended to both sides. As the next
 kept position is at most ``span`` words away, it is enough that a row carries ``span`` words
 before and ``least`` words after its position: the union of the matches is the whole repeat.
-The order is also taken the other way around, by the words before, so that a neighbour is next to
-the position that it shares most with on either side.
-Neighbours do not tell all where three or more contexts share a seed: the partner may be next to
-the position in neither order. There, the runs of ``least`` words that hold the position are
-counted by hash, once a context, as far as the next context in the order shares the words after.
+Rows of one context (equal words on both sides) lie together, so neighbours tell all where a seed
+has one or two contexts. They do not where it has three or more: the partner may not be next to the
+position. There, the runs of ``least`` words that hold the position are counted by hash, once a
+context, as far as a neighbour in the order shares the words after; no other row shares more of them.
+A seed's contexts are mostly in one task, which counts them by itself; where they are very many or lie in
+several tasks, they are counted by a shuffle.
 """
 
 from __future__ import annotations
@@ -157,20 +158,30 @@ def _runs(reps: pa.Table, reach: np.ndarray, span: int, least: int) -> pa.Table:
     here = W.mix(seeds[row] + back.astype(np.uint64) * W.K1)
     hashes = W.mix(sums(after, W.BASE)[row, least - back] + W.mix(sums(before, BACK)[row, back] ^ here))
     start = reps.column("pos").to_numpy().astype(np.int64)[row] - back
-    row = pa.array(row)
-    return pa.table({"id": reps.column("id").take(row), "text": reps.column("text").take(row), "start": start, "end": start + least, "run": hashes.view(np.int64)})
+    row = pa.array(row, pa.int64())
+    return pa.table({"id": reps.column("id").take(row), "text": reps.column("text").take(row), "start": start, "end": start + least, "run": hashes.view(np.int64), "row": row})
+
+
+def _whole(runs: pa.Table) -> pa.Table:
+    """What the repeated ones among ``runs`` cover, when no other run can be equal to one of them: an interval for each position, as its
+    runs all hold it."""
+    _, at, n = np.unique(runs.column("run").to_numpy(), return_inverse=True, return_counts=True)
+    again = runs.filter(pa.array(n[at] > 1)).group_by("row").aggregate([("id", "min"), ("text", "min"), ("start", "min"), ("end", "max")])
+    return pa.table({"id": again.column("id_min"), "text": again.column("text_min"), "start": again.column("start_min"), "end": again.column("end_max"), "run": pa.nulls(len(again), pa.int64())})
 
 
 class Contexts:
-    """One row of each context (seed, after, before) of a task's rows in that order, held until it is known whether its seed has three
-    contexts and how many words after it the next one shares. The seeds at both ends of the task may go on in others."""
+    """One row of each context (seed, after, before) of a task's rows in that order. A seed's contexts are held until the next seed
+    begins and are compared here. Where they are more than ``most``, or may go on in another task (at both ends of this one), their runs are
+    given to be counted with those of other tasks."""
 
-    def __init__(self, span: int, least: int):
-        self.span, self.least = span, least
-        self.held, self.done, self.open, self.first = None, 0, True, True
+    def __init__(self, span: int, least: int, most: int):
+        self.span, self.least, self.most = span, least, most
+        #: Rows of the seed that goes on, how many of them are done, whether it has others (here or in the task before), whether its first is the task's.
+        self.held, self.done, self.cut, self.first = None, 0, True, True
 
     def add(self, rows: pa.Table, follows: bool) -> pa.Table:
-        """The runs that can be told after ``rows``, the first of which is known already if it ``follows``."""
+        """What can be told after ``rows``, the first of which is known already if it ``follows``."""
         cols = [rows.column(c).to_pylist() for c in ("seed", "after", "before")]
         own = list(zip(*cols, strict=True))
         new = np.array([i for i in range(len(own)) if (own[i] != own[i - 1] if i else not follows)], dtype=np.int64)
@@ -181,38 +192,48 @@ class Contexts:
         return self.settle(self.held, True)
 
     def settle(self, reps: pa.Table, final: bool) -> pa.Table:
+        """Intervals (``run`` is null) and runs to be counted."""
         n = len(reps)
         seeds = np.frombuffer(b"".join(reps.column("seed").to_pylist()), dtype=">u8")
         same = seeds[:-1] == seeds[1:]
         group = np.concatenate([[0], np.cumsum(~same)])
         after, size = _padded(reps.column("after"), self.least)
         right = np.where(same, _shared(after[:-1], after[1:], np.minimum(size[:-1], size[1:])), 0)
-        reach = np.maximum(np.concatenate([[self.least if self.first else 0], right]), np.concatenate([right, [self.least]]))
-        wide = (np.bincount(group)[group] > 2) | ((group == 0) & self.open)
+        reach = np.minimum(size, np.maximum(np.concatenate([[self.least if self.first else 0], right]), np.concatenate([right, [self.least]])))
+        last, apart = group == group[-1], (group == 0) & self.cut
+        whole = ~apart & ~last & (np.bincount(group)[group] > 2)
         if final:
-            wide |= group == group[-1]
-        ready = wide.copy()
-        ready[: self.done] = False
-        if not final:
-            ready[-1] = False
+            apart |= last
+        else:
+            large = bool(last.sum() > self.most or apart[-1])
+            if large:
+                apart |= last
+                apart[-1] = False
             rest = int(np.searchsorted(group, group[-1]))
-            rest = max(rest, n - 2) if wide[-1] else rest
-            self.held, self.done, self.open, self.first = reps.slice(rest), n - 1 - rest if wide[-1] else 0, bool(wide[-1]), self.first and rest == 0
-        at = np.flatnonzero(ready)
-        return _runs(reps.take(pa.array(at)), np.minimum(reach, size)[at], self.span, self.least)
+            rest = max(rest, n - 2) if large else rest
+            self.held, self.cut, self.first = reps.slice(rest), large, self.first and rest == 0
+        apart[: self.done] = False
+        if not final:
+            self.done = n - 1 - rest if large else 0
 
+        def runs(which: np.ndarray) -> pa.Table:
+            at = np.flatnonzero(which)
+            return _runs(reps.take(pa.array(at)), reach[at], self.span, self.least)
 
-def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int, runs: bool = False) -> DataFrame:
-    """Matches of neighbours in the order of ``seed`` and ``order``. A range of the order is a task's; the first and last
-    rows of the ranges are compared once more among themselves. With ``runs`` (in the order of the words after), also
-    the repeated runs of seeds that have three contexts or more."""
-    keys = ["seed", *order, "id", "text", "pos"]
+        return pa.concat_tables([_whole(runs(whole)), runs(apart).drop_columns("row")])
+
+
+def neighbour_matches(rows: DataFrame, span: int, least: int, most: int) -> DataFrame:
+    """Matches of neighbours in the order of the seeds and the words after and before them, and the repeated runs of seeds that
+    have three contexts or more. A range of the order is a task's; the first and last rows of the ranges are compared once
+    more among themselves."""
+    keys = ["seed", "after", "before", "id", "text", "pos"]
     ordered = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "text", "start", "end", "edge", "run"]
         held, first, count = None, None, 0
-        contexts = Contexts(span, least)
+        contexts = Contexts(span, least, most)
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 rows = pa.Table.from_batches([batch.slice(at, 4096)])
@@ -224,13 +245,11 @@ def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int,
                 held = rows.slice(len(rows) - 1)
                 found = _matches(rows, span, least)
                 yield from found.append_column("edge", pa.nulls(len(found), pa.binary())).append_column("run", pa.nulls(len(found), pa.int64())).select(names).to_batches()
-                if runs:
-                    found = contexts.add(rows, follows)
-                    yield from found.append_column("edge", pa.nulls(len(found), pa.binary())).select(names).to_batches()
-        if held is not None:
-            if runs:
-                found = contexts.end()
+                found = contexts.add(rows, follows)
                 yield from found.append_column("edge", pa.nulls(len(found), pa.binary())).select(names).to_batches()
+        if held is not None:
+            found = contexts.end()
+            yield from found.append_column("edge", pa.nulls(len(found), pa.binary())).select(names).to_batches()
             # a range of one row has one edge
             edges = pa.concat_tables([first, held]) if count > 1 else held
             n = len(edges)
@@ -243,14 +262,11 @@ def neighbour_matches(rows: DataFrame, order: list[str], span: int, least: int,
 
     def again(table: pa.Table) -> pa.Table:
         rows = pa.concat_tables([_unsealed(x) for x in table.column("edge").to_pylist()])
-        kinds = {"seed": "ascending", **{c: "ascending" for c in order}, "id": "ascending", "text": "ascending", "pos": "ascending"}
-        return _matches(rows.sort_by(list(kinds.items())), span, least)
+        return _matches(rows.sort_by([(c, "ascending") for c in keys]), span, least)
 
     # at most two rows a task
     edges = found.where("edge is not null").select("edge", F.lit(0).alias("all")).groupBy("all").applyInArrow(again, SPAN)
     matches = found.where("edge is null and run is null").select("id", "text", "start", "end").union(edges)
-    if not runs:
-        return matches
     told = found.where("run is not null")
     again = told.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
     return matches.union(told.join(again, "run", "left_semi").select("id", "text", "start", "end"))
@@ -267,17 +283,18 @@ def _unsealed(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, seed: int = 10) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, seed: int = 10, most_contexts: int = 8192) -> DataFrame:
     """One row per maximal passage made of runs of at least ``least`` words that occur again, in the same text or another:
     id, start and end (word numbers, end excluded).
 
     Whole texts are searched; equal texts are repeats of each other. A null or empty text and one of fewer words than
     ``least`` have no passage. Repeated rows (equal id and text) are separate texts that repeat each other; their
-    passages are given once. An empty table gives an empty result; other columns are ignored.
+    passages are given once. An empty table gives an empty result; other columns are ignored. A task holds ``most_contexts``
+    contexts of a seed at most; the result does not depend on it.
     """
     span = least - seed + 1
     rows = cut(suffixes(docs, id_col, text_col, seed, span, least))
-    found = neighbour_matches(rows, ["after", "before"], span, least, runs=True).union(neighbour_matches(rows, ["before", "after"], span, least))
+    found = neighbour_matches(rows, span, least, most_contexts)
     # a text's matches in order: one that begins after all before it have ended opens a new passage
     so_far = Window.partitionBy("id", "text").orderBy("start", "end")
     opened = F.coalesce(F.col("start") > F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
