@@ -322,7 +322,8 @@ def test_best_window_may_lie_between_places(spark):
     assert {(r.doc_id, r.item_id): r.shared for r in decontamination.leaks(frame, bench).collect()} == want
 
 
-def test_blocks_meet_within_the_radius(spark):
+@pytest.mark.parametrize("parts", [7, 21])
+def test_blocks_meet_within_the_radius(spark, parts):
     rng = np.random.default_rng(4)
     rows = []
     for _ in range(200):
@@ -331,10 +332,41 @@ def test_blocks_meet_within_the_radius(spark):
         for b in rng.choice(64, 20, replace=False):
             y ^= 1 << int(b) if b < 63 else -(1 << 63)
         rows.append((x, y))
-    met = spark.createDataFrame(rows, "x long, y long").select(F.arrays_overlap(decontamination.blocks(F.col("x"), 20), decontamination.blocks(F.col("y"), 20)).alias("met"))
+    met = spark.createDataFrame(rows, "x long, y long").select(F.arrays_overlap(decontamination.blocks(F.col("x"), 20, parts), decontamination.blocks(F.col("y"), 20, parts, variants=True)).alias("met"))
     assert met.where("met").count() == 200
 
 
+def test_edited_items_are_found(spark):
+    """Items with parts that changed places, words put in and words changed, against all windows of their length."""
+    rng = np.random.default_rng(8)
+    items = [(k, shared(int(rng.integers(20, 60)), 300 + k)) for k in range(40)] + [(99, shared(5, 299))]
+    noise, docs = shared(5000, 98), []
+    for j in range(240):
+        w = list(items[j % 40][1])
+        kind, n = j % 3, len(w)
+        if kind == 0:
+            at = int(rng.integers(5, n - 4))
+            w = w[at:] + w[:at]
+        for _ in range(int(rng.integers(0, 3)) if kind else 0):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + (kind == 2)] = noise[j * 7 : j * 7 + 1 + 2 * (kind == 1)]
+        docs.append((j, noise[j * 3 : j * 3 + 40] + w + noise[j * 5 : j * 5 + 30]))
+    docs += [(1000, []), (1001, shared(30000, 97) + items[3][1] + noise)]
+    want = set()
+    for i, w in docs:
+        grams = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        for k, own in items:
+            bag = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
+            hit = np.concatenate([[0], np.cumsum([g in bag for g in grams])]) if grams else np.zeros(1, int)
+            held = min(len(bag), len(grams))
+            most = int((hit[held:] - hit[: len(hit) - held]).max()) if held else 0
+            if 100 * most >= 75 * (held + len(bag) - most) and most:
+                want.add((i, k))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    assert not got - want and len(got) >= 0.99 * len(want) and len(want) > 120 and (1001, 3) in got
+
+
 def changes(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, op string, version string, source string, lang string, tokens long, seq int")
 
