@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.fs
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -25,9 +26,12 @@ def test_archives_give_back_what_was_written(spark):
     rows = [(5, "u5", "same"), (2, "u2", "same"), (3, None, None), (4, "a\r\nb%", ""), (None, "n", "same"), (7, "u7", "ü" * 30000), (7, "u7", "ü" * 30000), (8, "u8", "same"), *((100 + i, f"u{i}", f"<p>{' '.join(shared(40, i))}</p>") for i in range(60))]
     pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, sha1 int, first string")
     folder = new_dir(spark, "warc")
-    manifest = warc.write_archives(pages, folder, most=4000).collect()
+    written = warc.write_archives(pages, folder, most=4000)
+    manifest = written.collect()
     assert sum(m.records for m in manifest) == len(rows) and len(manifest) > 1
-    got = warc.read_archives(spark, [f"{folder}/{m.path.rpartition('/')[2]}" for m in manifest]).collect()
+    got = warc.read_archives(written).collect()
+    heads = [re.search(rb"WARC-Record-ID: (\S+)", data)[1] for m in manifest for data in warc.frames(pyarrow.fs.FileSystem.from_uri(m.path)[0].open_input_stream(pyarrow.fs.FileSystem.from_uri(m.path)[1], compression=None))]
+    assert len(heads) == len(set(heads)) == len(rows) + len(manifest) and sum(h.startswith(b"<urn:archive:") for h in heads) == len(manifest)
     first = {}
     for i, _, html in rows:
         if i is not None:
@@ -42,15 +46,15 @@ def test_archives_give_back_what_was_written(spark):
 
 def test_empty_pages_make_no_archive(spark):
     folder = new_dir(spark, "warc")
-    assert warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder).count() == 0
-    assert warc.read_archives(spark, []).count() == 0
+    manifest = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    assert manifest.count() == 0 and warc.read_archives(manifest).count() == 0
 
 
 def test_small_dividend_revisits_only_from_its_length_on(spark):
     pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "long"), (4, "d", "long")], "page_id long, url string, html string")
     folder = new_dir(spark, "warc")
-    paths = [f"{folder}/{m.path.rpartition('/')[2]}" for m in warc.write_archives(pages, folder, least=2).collect()]
-    assert {r.page_id: r.refers_to for r in warc.read_archives(spark, paths).collect()} == {1: None, 2: None, 3: None, 4: 3}
+    manifest = warc.write_archives(pages, folder, least=2)
+    assert {r.page_id: r.refers_to for r in warc.read_archives(manifest).collect()} == {1: None, 2: None, 3: None, 4: 3}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 257, 1000])

@@ -15,7 +15,7 @@ from .sharding import op3_sharding
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .token_counts import WORD_COUNT_SQL, op9_token_counts, word_count_rollup
-from .warc import op1_warc
+from .warc import WARC_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_count_rollup": word_count_rollup,
 }
 
-ORACLE_SQL: dict[str, str] = {"word_count_rollup": WORD_COUNT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": WARC_SQL, "word_count_rollup": WORD_COUNT_SQL}
