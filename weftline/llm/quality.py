@@ -222,3 +222,21 @@ def threshold(scored: DataFrame, good_lost: float) -> float:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", "anomaly")
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the rules without the forest, which SQL can express."""
+    found = measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return found.select("doc_id", *COUNTS[:5], failed.alias("base_failed"))
+
+
+RULE_COUNTS_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT r, i, array_to_string(words[i : i + 7], ' ') AS gram FROM w, unnest(range(1, len(words) - 6)) AS t(i)),
+twice AS (SELECT r, unnest(list(i)) AS i FROM g GROUP BY r, gram HAVING count(*) > 1),
+again AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM twice, unnest(range(i, i + 8)) AS t(j) GROUP BY r),
+c AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN again USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+"""

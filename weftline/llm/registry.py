@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op7_decontamination
-from .near_dup import op8_near_dup_join
+from .near_dup import NEAR_DUP_SQL, op8_near_dup_join
 from .packing import op4_packing
 from .pii import op6_pii
-from .quality import op5_quality_rules
+from .quality import RULE_COUNTS_SQL, op5_quality_rules, rule_counts
 from .sharding import op3_sharding
-from .substring_dedup import op10_substring_dedup
-from .suffix_dedup import op2_suffix_dedup
+from .substring_dedup import SUBSTRING_SQL, op10_substring_dedup
+from .suffix_dedup import SUFFIX_SQL, op2_suffix_dedup
 from .token_counts import WORD_COUNT_SQL, op9_token_counts, word_count_rollup
 from .warc import WARC_SQL, op1_warc
 
@@ -29,6 +29,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
     "word_count_rollup": word_count_rollup,
+    "rule_counts": rule_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": WARC_SQL, "word_count_rollup": WORD_COUNT_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": WARC_SQL,
+    "op2_suffix_dedup": SUFFIX_SQL,
+    "op8_near_dup_join": NEAR_DUP_SQL,
+    "op10_substring_dedup": SUBSTRING_SQL,
+    "word_count_rollup": WORD_COUNT_SQL,
+    "rule_counts": RULE_COUNTS_SQL,
+}

@@ -70,3 +70,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = remove_repeats(docs, width=35, keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").alias("n_intervals"))
+
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS words FROM documents),
+g AS (SELECT r, i, array_to_string(words[i : i + 34], ' ') AS gram FROM w, unnest(range(1, len(words) - 33)) AS t(i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY gram) AS n FROM g) WHERE n > 1),
+gone AS (SELECT r, list(DISTINCT j) AS js FROM again, unnest(range(i, i + 35)) AS t(j) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, len(coalesce(js, [])) AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(js, []), i)), ' ')) AS kept_sha256,
+  len(list_filter(coalesce(js, []), lambda j: NOT list_contains(js, j - 1))) AS n_intervals
+FROM w LEFT JOIN gone USING (r)
+"""

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .multiplicity import Grades, chunked, with_grades
+from .substring_dedup import WORDS_SQL
 from .workspace import cut, shuffle_partitions
 
 ROW = "id long, text long, pos int, seed binary, after binary, before binary"
@@ -306,3 +307,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+
+
+SUFFIX_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, text, {WORDS_SQL} AS words FROM documents),
+g AS (SELECT r, i, array_to_string(words[i : i + 49], ' ') AS gram FROM w, unnest(range(1, len(words) - 48)) AS t(i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY gram) AS n FROM g) WHERE n > 1),
+held AS (SELECT DISTINCT doc_id, text, j - 1 AS j FROM again JOIN w USING (r), unnest(range(i, i + 50)) AS t(j)),
+islands AS (SELECT doc_id, text, j, j - row_number() OVER (PARTITION BY doc_id, text ORDER BY j) AS island FROM held)
+SELECT doc_id, min(j) AS start_word, max(j) + 1 AS end_word FROM islands GROUP BY doc_id, text, island
+"""
