@@ -63,7 +63,8 @@ def test_snippets_are_cut_on_both_sides(spark):
     ("echo \"a;b\" >> log.txt; git commit -m 'x y'", ("echo", False, ["log.txt"])),
     ("/usr/bin/grep x a && ls > /dev/null", ("grep x", True, [])),
     ("tee -a out.log", ("tee", False, ["out.log"])),
-    ("echo x > /home/u/.host/m.md", ("echo x", False, [])),
+    (f"echo x > /home/u/{P.HOST_FOLDERS[0]}/m.md", ("echo x", False, [])),
+    ("echo x > /home/u/.config/m.md", ("echo x", False, ["/home/u/.config/m.md"])),
     ("python -c \"open('a/b.txt','w')\"", ("python", False, ["a/b.txt"])),
     ("echo $(date) > \"$F\"", ("echo", False, [])),
     ("cat 'open quote", ("cat", True, [])), (None, ("", True, [])), ("", ("", True, [])),

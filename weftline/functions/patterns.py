@@ -6,6 +6,8 @@ into Java's terms.
 
 from __future__ import annotations
 
+import re
+
 # Characters.
 CJK = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af]"
 BLANK = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -92,7 +94,8 @@ COMMIT_MESSAGES = [java(p) for p in (
 )]
 COMMIT_HASH = r"\[[^\]\s]+(?: \(root-commit\))? ([0-9a-f]{7,12})\]"
 TASK_OUTPUT = r"/tasks/[^/]+\.output\z"
-#: Files in a hidden folder of a user's home belong to a host, not to the work.
-HARNESS_PATH = r"^/(?:Users|home)/[^/]+/\.[A-Za-z0-9_-]+/"
+#: Folders of a user's home whose files are the host's own, not the work's.
+HOST_FOLDERS = [".claude"]
+HARNESS_PATH = rf"^/(?:Users|home)/[^/]+/(?:{'|'.join(map(re.escape, HOST_FOLDERS))})/"
 NOTIFICATION = java(r"^\s*<task-notification>")
 SKILL_BLOCK = r"<skill[^>]*name=\"([^\"]+)\"[\s\S]*?</skill>"

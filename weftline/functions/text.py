@@ -77,15 +77,15 @@ def search_tokens(c: Column) -> Column:
     lower = F.lower(c)
 
     def terms(word: Column) -> Column:
-        whole = F.regexp_replace(word, r"^[.\-/]+|[.\-/]+\z", "")
-        parts = F.filter(F.split(whole, r"[.\-/_]+"), lambda p: (F.length(p) >= 2) & (p != whole))
-        return F.concat(F.filter(F.array(whole), lambda w: F.length(w) >= 2), parts)
+        parts = F.filter(F.split(word, r"[.\-/_]+"), lambda p: (F.length(p) >= 2) & (p != word))
+        return F.when(word.rlike(r"[.\-/_]"), F.concat(F.array(word), parts)).otherwise(F.array(word))
 
     def pairs(run: Column) -> Column:
         return F.when(F.length(run) == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
 
-    words = F.flatten(F.transform(F.regexp_extract_all(lower, F.lit(r"[a-z0-9_$.\-/]{2,}"), F.lit(0)), terms))
-    return F.concat(words, F.flatten(F.transform(F.regexp_extract_all(lower, F.lit(f"{P.CJK}+"), F.lit(0)), pairs)))
+    # words without the marks around them; most have no parts
+    words = F.flatten(F.transform(F.regexp_extract_all(lower, F.lit(r"[a-z0-9_$][a-z0-9_$.\-/]*[a-z0-9_$]"), F.lit(0)), terms))
+    return F.when(has_cjk(c), F.concat(words, F.flatten(F.transform(F.regexp_extract_all(lower, F.lit(f"{P.CJK}+"), F.lit(0)), pairs)))).otherwise(words)
 
 
 def one_line(c: Column, most: int = 400) -> Column:

@@ -236,8 +236,8 @@ def add_observed(observed: DataFrame, chunk: DataFrame) -> DataFrame:
 
 
 def claims(replies: DataFrame, open_items: DataFrame) -> DataFrame:
-    """Consolidators' replies (session_id, reply) against the items they may touch: session_id, place (null: retired only), id,
-    content, relevance. An item goes to the first merge that names it, if it is of that merge's kind."""
+    """Consolidators' replies (session_id, reply) against the items they may touch: session_id, place (null: retired only), seat (the
+    item's place in the merge), id, content, relevance. An item goes to the first merge that names it, if it is of that merge's kind."""
     merged = "array<struct<content: string, relevance: string, replaces: array<string>>>"
     parsed = replies.select("session_id", F.from_json(reply_json(F.col("reply")), f"struct<merged: {merged}, retire: array<string>>").alias("r"))
     known = open_items.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "kind"))).alias("kinds"))
@@ -255,24 +255,27 @@ def claims(replies: DataFrame, open_items: DataFrame) -> DataFrame:
                         continue
                     own = [i for i in dict.fromkeys(free) if kinds[i] == kinds[free[0]]]
                     taken.update(own)
-                    rows += [(session, place, i, content, item["relevance"]) for i in own]
+                    rows += [(session, place, seat, i, content, item["relevance"]) for seat, i in enumerate(own)]
                 retire = r["retire"] if r and r["retire"] is not None else []
-                rows += [(session, None, i, None, None) for i in dict.fromkeys(retire) if i in kinds and i not in taken]
-            yield pd.DataFrame(rows, columns=["session_id", "place", "id", "content", "relevance"]).astype({"place": "Int64"})
+                rows += [(session, None, None, i, None, None) for i in dict.fromkeys(retire) if i in kinds and i not in taken]
+            yield pd.DataFrame(rows, columns=["session_id", "place", "seat", "id", "content", "relevance"]).astype({"place": "Int64", "seat": "Int64"})
 
     # a session's open items are its memory pool, which budgets bound
-    return parsed.join(known, "session_id").select("session_id", F.col("r"), F.col("kinds")).mapInPandas(take, "session_id string, place long, id string, content string, relevance string")
+    return parsed.join(known, "session_id").select("session_id", F.col("r"), F.col("kinds")).mapInPandas(take, "session_id string, place long, seat long, id string, content string, relevance string")
 
 
 def consolidate(items: DataFrame, replies: DataFrame, pool: int = P.POOL_TOKENS) -> DataFrame:
-    """The ledger after consolidators' replies (session_id, reply, now_ms)."""
+    """The ledger after consolidators' replies (session_id, reply, now_ms). What a merge cites and replaces is in the order in which the
+    reply names it; it is as old as the newest item it replaces, or as the reply where none has a time."""
     open_items = active(items).join(over_budget_kinds(items, pool).select("session_id", "kind"), ["session_id", "kind"], "left_semi")
     taken = claims(replies, open_items).join(open_items.select("session_id", "id", "kind", F.col("relevance").alias("old"), "sources", "at_ms", "ord"), ["session_id", "id"])
     merges = taken.where("place is not null").groupBy("session_id", "place").agg(
         F.first("content").alias("content"), F.first("kind").alias("kind"), F.first("relevance").alias("said"), F.max(rank(F.col("old"))).alias("top"), F.max("at_ms").alias("at_ms"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sources"))), lambda x: x["sources"]))).alias("sources"),
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("supersedes"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seat", "sources"))), lambda x: x["sources"]))).alias("sources"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seat", "id"))), lambda x: x["id"]).alias("supersedes"),
     )
+    if "now_ms" in replies.columns:
+        merges = merges.join(replies.groupBy("session_id").agg(F.max("now_ms").alias("_now")), "session_id").withColumn("at_ms", F.coalesce(F.nullif(F.col("at_ms"), F.lit(0)), "_now")).drop("_now")
     content = T.one_line(F.col("content"))
     relevance = F.when(F.col("said").isin(P.RELEVANCES), F.col("said")).otherwise(F.get(F.array(*map(F.lit, P.RELEVANCES)), F.col("top")))
     merges = merges.withColumns({"content": content, "relevance": relevance}).withColumn("id", T.hash_id(F.concat(F.lit("o:"), "content", F.lit(":"), F.array_join("sources", ","))))

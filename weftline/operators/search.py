@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.checkpoints import cut
 from .entries import haystack
 
 #: Usual BM25 constants.
@@ -51,27 +52,26 @@ def documents(entries: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return kept.union(docs)
 
 
-def postings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(*keys, term, tf, dl) of documents; worth keeping where many queries come."""
+def postings(docs: DataFrame, asked: DataFrame, keys: list[str], scope: list[str], text: str = "text") -> DataFrame:
+    """(*keys, term, tf, dl) of the asked terms (*scope, term), and for each document of an asked scope a row with the empty term.
+    Texts are read once; only what is asked for is shuffled."""
+    asked = asked.select(*scope, "term").union(asked.select(*scope, F.lit(""))).distinct() if scope else asked.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct()
     tokens = docs.select(*keys, T.search_tokens(F.col(text)).alias("_t"))
-    flat = tokens.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return flat.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    flat = tokens.select(*keys, F.coalesce(F.size("_t"), F.lit(0)).alias("dl"), F.explode(F.array_append(F.coalesce("_t", F.expr(T.EMPTY)), F.lit(""))).alias("term"))
+    return flat.join(asked, [*scope, "term"], "left_semi").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], scope: list[str], text: str = "text") -> DataFrame:
     """(query_id, *keys, score) of documents with a query's terms.
 
-    ``docs`` has ``keys`` and a text, ``queries`` has query_id, term (the query's text) and the columns of ``scope``. Counts
-    of documents and mean lengths are those of a scope. The terms of all queries select postings before anything is
-    shuffled by document, so only those that some query asks for are.
+    ``docs`` has ``keys``, which tell documents apart, and a text, ``queries`` has query_id, term (the query's text) and the columns of
+    ``scope``. Counts of documents and mean lengths are those of a scope. All figures come from the postings of what is asked for.
     """
     terms = queries.select("query_id", *scope, F.explode(F.array_distinct(T.search_tokens(F.col("term")))).alias("term"))
-    tokens = docs.select(*keys, T.search_tokens(F.col(text)).alias("_t"))
-    mean = F.avg(F.size("_t"))
-    sizes = tokens.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.when(mean > 0, mean).otherwise(1.0).alias("mean"))
-    flat = tokens.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    asked = flat.join(terms.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
-    found = asked.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    held = cut(postings(docs, terms, keys, scope, text))
+    mean = F.avg("dl")
+    sizes = held.where("term = ''").groupBy(*scope).agg(F.count("*").alias("n_docs"), F.when(mean > 0, mean).otherwise(1.0).alias("mean"))
+    found = held.where("term != ''")
     df = found.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     hits = found.join(terms, [*scope, "term"]).join(df, [*scope, "term"])
     if scope:
@@ -84,12 +84,17 @@ def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], scope: list[str],
     return hits.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 
+def top(hits: DataFrame, order: list[Column], most: int = P.PAGE_SIZE) -> DataFrame:
+    """The first hits of each query, with rank; no task sorts more of a query's hits than it keeps."""
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= most)
+
+
 def page_of(hits: DataFrame, order: list[Column], page: Column | int = 1, size: int = P.PAGE_SIZE) -> DataFrame:
-    """The hits of a page, with rank, n_hits and n_pages."""
+    """The hits of a page, with rank, n_hits and n_pages. Hits are kept, and counted apart from their order."""
+    hits = cut(hits)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    total = F.count("*").over(Window.partitionBy("query_id"))
     page = F.lit(page) if isinstance(page, int) else page
-    ranked = hits.withColumn("rank", rank).withColumn("n_hits", total)
+    ranked = hits.withColumn("rank", rank).join(hits.groupBy("query_id").agg(F.count("*").alias("n_hits")), "query_id")
     return ranked.where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size)).withColumn("n_pages", F.greatest(F.lit(1), F.ceil(F.col("n_hits") / size)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.shell import with_shell_features
+from ..sources.checkpoints import cut
 from .entries import ORDER, tool_calls
 
 
@@ -91,13 +92,13 @@ def without_goals(preferences_: DataFrame, goals_: DataFrame) -> DataFrame:
 def file_status(calls: DataFrame, cwd: str | None = None) -> DataFrame:
     """session_id, path, status (Modified, Created or Read), at (when it first got it), of calls without error."""
     good = with_shell_features(calls.where(~F.col("is_error")))
-    at = F.struct(*ORDER, "pos")
-    shell = good.where((F.col("name") == "Bash") & F.col("command").isNotNull()).select("session_id", at.alias("at"), F.explode("writes").alias("path"), F.lit("Modified").alias("status"))
     path = T.path_of(F.col("input"))
     created = (F.col("name") == "Write") & F.col("result").rlike("(?i)created successfully")
     status = F.when(created, "Created").when(F.col("name").isin(P.WRITE_TOOLS), "Modified").when(F.col("name").isin(P.READ_TOOLS), "Read")
-    tools = good.where(~((F.col("name") == "Bash") & F.col("command").isNotNull()) & (path != "") & T.is_work_path(path)).select("session_id", at.alias("at"), path.alias("path"), status.alias("status"))
-    seen = shell.union(tools).where(F.col("status").isNotNull()).withColumn("path", T.relativize(F.col("path"), cwd))
+    touch = lambda p, s: F.struct(p.alias("path"), s.alias("status"))
+    written = F.transform("writes", lambda p: touch(p, F.lit("Modified")))
+    touched = F.when((F.col("name") == "Bash") & F.col("command").isNotNull(), written).when((path != "") & T.is_work_path(path), F.array(touch(path, status)))
+    seen = good.select("session_id", F.struct(*ORDER, "pos").alias("at"), F.explode(touched).alias("t")).select("session_id", "at", "t.status", T.relativize(F.col("t.path"), cwd).alias("path")).where(F.col("status").isNotNull())
     first = lambda s: F.min(F.when(F.col("status") == s, F.col("at")))
     found = seen.groupBy("session_id", "path").agg(first("Modified").alias("m"), first("Created").alias("c"), first("Read").alias("r"))
     return found.select("session_id", "path", F.when(F.col("m").isNotNull(), "Modified").when(F.col("c").isNotNull(), "Created").otherwise("Read").alias("status"), F.coalesce("m", "c", "r").alias("at"))
@@ -135,12 +136,13 @@ def open_errors(calls: DataFrame) -> DataFrame:
 
     A success settles an earlier error of the same tool: of a command if it is the same or has the same program and
     subcommand, of another tool if both name a path in common or neither names any. A command that only reads is
-    settled by any later command. Successes are reduced to the last one of each kind, so this is a handful of equi-joins.
+    settled by any later command. Calls are read once, to narrow rows; successes are reduced to the last one of each kind, so this is a
+    handful of equi-joins of those.
     """
-    calls = with_shell_features(calls).withColumn("at", F.struct(*ORDER, "pos")).withColumn("paths", T.path_tokens(F.col("result")))
-    good = calls.where(~F.col("is_error"))
-    bad = calls.where(F.col("is_error") & ~F.col("result").rlike(P.DECLINED)).withColumn("line", T.error_line_of(F.col("result"))).where(F.col("line").isNotNull())
-    bad = bad.select("session_id", "at", "name", "command", "command_key", "read_only", "paths", "line")
+    line = F.when(F.col("is_error") & ~F.col("result").rlike(P.DECLINED), T.error_line_of(F.col("result")))
+    calls = with_shell_features(calls).select("session_id", F.struct(*ORDER, "pos").alias("at"), "name", "command", "command_key", "read_only", "is_error", T.path_tokens(F.col("result")).alias("paths"), line.alias("line"))
+    calls = cut(calls.where(~F.col("is_error") | F.col("line").isNotNull()))
+    good, bad = calls.where(~F.col("is_error")), calls.where("is_error").drop("is_error")
     shell, others = good.where((F.col("name") == "Bash") & F.col("command").isNotNull()), good.where(F.col("name") != "Bash")
     last = lambda df, keys, name: df.groupBy("session_id", *keys).agg(F.max("at").alias(name))
     bad = bad.join(last(good.where(F.col("name") == "Bash"), [], "any_shell"), "session_id", "left")
@@ -176,6 +178,8 @@ def outstanding(entries: DataFrame, calls: DataFrame | None = None) -> DataFrame
     all entries, where they are at hand."""
     recent = F.row_number().over(Window.partitionBy("session_id").orderBy(*(F.desc(c) for c in ORDER)))
     tail = entries.withColumn("_back", recent).where(F.col("_back") <= P.OUTSTANDING_WINDOW).drop("_back")
+    if calls is None:
+        tail = cut(tail)
     recent_calls = tool_calls(tail) if calls is None else calls.join(tail.select("session_id", *ORDER), ["session_id", *ORDER], "left_semi")
     both = open_errors(recent_calls).unionByName(user_reports(tail))
     once = both.groupBy("session_id", F.lower("line").alias("_key")).agg(F.min_by("line", "at").alias("line"), F.min("at").alias("at"))

@@ -31,7 +31,7 @@ def work(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
     hits = R.bm25(S.table(spark, sf_dir, "documents").select("doc_id", "text"), queries, ["doc_id"], [])
-    return R.page_of(hits, [F.desc("score"), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
+    return R.top(hits, [F.desc("score"), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
 
 
 def _tokens_sql(text: str) -> str:
