@@ -52,6 +52,11 @@ def documents(entries: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return kept.union(docs)
 
 
+def scoped(docs: DataFrame) -> DataFrame:
+    """``docs`` once for each scope that they are in: all, and memory or history."""
+    return docs.withColumn("scope", F.explode(F.array(F.lit("all"), F.when(F.col("memory"), "memory").otherwise("history"))))
+
+
 def postings(docs: DataFrame, asked: DataFrame, keys: list[str], scope: list[str], text: str = "text") -> DataFrame:
     """(*keys, term, tf, dl) of the asked terms (*scope, term), and for each document of an asked scope a row with the empty term.
     Texts are read once; only what is asked for is shuffled."""

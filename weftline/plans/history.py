@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.shell import with_shell_features
 from ..operators import brief as B
@@ -164,7 +165,16 @@ FROM g
 
 
 def brief_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.brief(work(spark, sf_dir)).select("session_id", F.array_join(B.capped(F.col("brief"), 40), "\n").alias("brief"))
+    return B.brief(work(spark, sf_dir)).select("session_id", F.array_join(B.capped(F.col("brief")), "\n").alias("brief"))
+
+
+#: Sessions are shorter than the caps on lines.
+BRIEF_SQL = f"""
+WITH m AS (SELECT *, sum(CASE WHEN role = 'user' OR text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM ({A2})),
+l AS (SELECT session_id, island, 0 AS part, '[' || role || ' #' || ord || '] ' || CASE WHEN text LIKE '<task-notification>%' THEN 'task notification: ' || regexp_extract(text, '<summary>(.*)</summary>', 1) ELSE text END AS line
+    FROM m WHERE role = 'user' OR text <> '' UNION ALL SELECT session_id, island, 1, line FROM ({FOLD_SQL}))
+SELECT session_id, string_agg(line, chr(10) ORDER BY island, part) AS brief FROM l GROUP BY session_id
+"""
 
 
 def files_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +277,75 @@ def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.current_state(work(spark, sf_dir), CWD).select("session_id", F.array_join("current_state", "\n").alias("current_state"))
 
 
+_tells = lambda t: f"CASE WHEN {t} LIKE '<task-notification>%' THEN 'task notification: ' || regexp_extract({t}, '<summary>(.*)</summary>', 1) ELSE {t} END"
+CURRENT_SQL = f"""
+WITH a AS ({A2}), s AS ({STATE_SQL}),
+t AS (SELECT s.*, u.text AS ut, u.text LIKE '<task-notification>%' AS notified, u.text LIKE '<task-notification>%' OR length(u.text) <= 40 AS weak, p.text AS pt, r.text AS rt, q.text AS qt FROM s
+  LEFT JOIN a u ON u.session_id = s.session_id AND u.ord = user_index LEFT JOIN a p ON p.session_id = s.session_id AND p.ord = proposal_index
+  LEFT JOIN a r ON r.session_id = s.session_id AND r.ord = request_index LEFT JOIN a q ON q.session_id = s.session_id AND q.ord = reply_index),
+c AS (SELECT a.*, {_key} AS key, row_number() OVER (PARTITION BY a.session_id ORDER BY ord DESC) AS back FROM a JOIN t USING (session_id)
+  WHERE tool IS NOT NULL AND CASE WHEN reply_index IS NOT NULL THEN ord >= reply_index ELSE user_index IS NULL OR ord > user_index END),
+l AS (SELECT session_id, 1 AS n, CASE WHEN notified THEN 'Last event (#' ELSE 'Last user request (#' END || user_index || '): ' || {_tells("ut")} AS line FROM t
+  UNION ALL SELECT session_id, 2, 'It answers the assistant''s message (#' || proposal_index || '): ' || pt FROM t WHERE weak
+  UNION ALL SELECT session_id, 3, 'Last substantive request (#' || request_index || '): ' || rt FROM t WHERE weak
+  UNION ALL SELECT session_id, 4, 'Last assistant reply (#' || reply_index || '): ' || qt FROM t
+  UNION ALL SELECT session_id, 20 - back, 'Then: ' || tool || ': ' || coalesce(command, replace(file_path, '/work/app/', '')) || CASE WHEN is_error THEN ' → [tool_error] ' || regexp_replace(result, '^Exit code [0-9]+.', '', 's')
+    WHEN back <= 3 AND tool = 'Bash' AND key <> 'grep' THEN ' → ' || result ELSE '' END FROM c WHERE back <= 8)
+SELECT session_id, coalesce(string_agg(line, chr(10) ORDER BY n), '') AS current_state FROM l WHERE line IS NOT NULL GROUP BY session_id
+"""
+
+
+def sections_sql(rows: str) -> str:
+    """The sections of tool log rows (a query with the adapter's columns), lists of lines and paths."""
+    lines = lambda sql, c: f"(SELECT session_id, list_filter(string_split({c}, chr(10)), lambda x: x <> '') AS {c} FROM ({sql.replace(A2, rows)}))"
+    paths = ", ".join(f"coalesce(list(path ORDER BY first_ord, path) FILTER (status = '{k}'), []) AS {k.lower()}" for k in P.FILES_MAX)
+    parts = [lines(GOALS_SQL, "goals"), f"(SELECT session_id, {paths} FROM ({FILES_SQL.replace(A2, rows)}) GROUP BY session_id)", lines(COMMITS_SQL, "commits"), lines(OUTSTANDING_SQL, "outstanding"), lines(PREFERENCES_SQL, "preferences"), lines(CURRENT_SQL, "current_state"), lines(BRIEF_SQL, "brief")]
+    columns = ", ".join(f"coalesce({c}, []) AS {c}" for c in [*map(str.lower, P.FILES_MAX), *Y.LISTS])
+    return f"SELECT session_id, {columns} FROM (SELECT DISTINCT session_id FROM ({rows})) " + " ".join(f"LEFT JOIN {x} USING (session_id)" for x in parts)
+
+
+def merged_sql(first: str, second: str) -> str:
+    """Two steps' sections as one."""
+    once = lambda a, b, most: f"list_filter(list_concat(a.{a}, b.{b}), lambda x, i: list_position(list_transform(list_concat(a.{a}, b.{b}), lambda y: lower(y)), lower(x)) = i)[-{most}:]"
+    both = lambda c: f"list_filter(list_concat(a.{c}, b.{c}), lambda x, i: list_position(list_concat(a.{c}, b.{c}), x) = i)"
+    new = [*map(str.lower, P.FILES_MAX), *Y.LISTS]
+    old = lambda c: f"coalesce(a.{c}, []) AS {c}"
+    return f"""
+SELECT session_id, {both("modified")}[-20:] AS modified, list_filter({both("created")}, lambda p: NOT list_contains({both("modified")}, p))[-20:] AS created,
+  list_filter({both("read")}, lambda p: NOT list_contains({both("modified")}, p) AND NOT list_contains({both("created")}, p))[-10:] AS read,
+  CASE WHEN len(list_filter(b.goals, lambda g: starts_with(g, '[Scope change]'))) > 0 THEN list_concat(list_filter(CASE WHEN len(a.goals) > 0 THEN a.goals ELSE b.goals END, lambda g: NOT starts_with(g, '[Scope change]')), list_filter(b.goals, lambda g: starts_with(g, '[Scope change]')))
+    WHEN len(a.goals) > 0 THEN a.goals ELSE b.goals END AS goals,
+  {once("commits", "commits", P.COMMITS_MAX)} AS commits, CASE WHEN len(b.outstanding) > 0 THEN b.outstanding ELSE a.outstanding END AS outstanding,
+  {once("preferences", "preferences", P.PREFS_MERGED_MAX)} AS preferences, CASE WHEN len(b.current_state) > 0 THEN b.current_state ELSE a.current_state END AS current_state, list_concat(a.brief, b.brief) AS brief
+FROM (SELECT session_id, {", ".join(map(old, new))} FROM (SELECT session_id FROM ({first}) UNION SELECT session_id FROM ({second})) LEFT JOIN ({first}) a USING (session_id)) a
+JOIN (SELECT session_id, {", ".join(old(c).replace("a.", "b.") for c in new)} FROM (SELECT session_id FROM ({first}) UNION SELECT session_id FROM ({second})) LEFT JOIN ({second}) b USING (session_id)) b USING (session_id)
+"""
+
+
+def summary_sql(sections: str, instructions: str = "") -> str:
+    """The summary of sections."""
+    block = lambda title, c: f"CASE WHEN len({c}) > 0 THEN '[{title}]' || chr(10) || array_to_string(list_transform({c}, lambda x: '- ' || x), chr(10)) END"
+    files = "list_filter([" + ", ".join(f"CASE WHEN len({k.lower()}) > 0 THEN '{k}: ' || array_to_string({k.lower()}[1:{n}], ', ') || CASE WHEN len({k.lower()}) > {n} THEN ' (+' || (len({k.lower()}) - {n}) || ' more)' ELSE '' END END" for k, n in P.FILES_MAX.items()) + "], lambda x: x IS NOT NULL)"
+    blocks = [block("Session Goal", "goals"), block("Files And Changes", files), block("Commits", "commits"), block("Outstanding Context", "outstanding"), block("User Preferences", "preferences")]
+    brief = "CASE WHEN len(brief) > 0 THEN '[Brief Transcript]' || chr(10) || array_to_string(brief, chr(10)) END"
+    told = f"'[Compaction Instructions]' || chr(10) || '{instructions}'" if instructions else "NULL"
+    head = f"'{P.SENTINEL}' || chr(10) || 'This session goes on from an earlier conversation, condensed below; entries are numbered #N.'"
+    parts = [head, told, f"nullif(concat_ws(chr(10) || chr(10), {', '.join(blocks)}), '')", brief, block("Current State", "current_state"), f"'{Y.RECALL_NOTE}'"]
+    return f"SELECT session_id, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), {', '.join(parts)}) AS summary FROM ({sections})"
+
+
+_early, _late = f"SELECT * FROM ({A2}) WHERE ord < 30", f"SELECT * FROM ({A2}) WHERE ord >= 30"
+STEPS_SQL = merged_sql(sections_sql(_early), sections_sql(_late))
+_shown = lambda c: f"array_to_string({c}, chr(10)) AS {c}"
+_by_status = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len({k.lower()}) > 0 THEN '{k}: ' || array_to_string({k.lower()}, ', ') END" for k in P.FILES_MAX) + "], lambda x: x IS NOT NULL), chr(10)) AS files"
+MERGE_SQL = f"SELECT session_id, {_by_status}, {', '.join(map(_shown, ('goals', 'commits', 'outstanding', 'preferences', 'current_state')))}, len(brief) AS n_brief FROM ({STEPS_SQL})"
+SUMMARY_SQL = summary_sql(STEPS_SQL, "Keep open questions.")
+COMPACTION_SQL = f"""
+SELECT session_id, CAST(tokens_before AS BIGINT) AS tokens_before, CAST(ceil(length(summary) / 4.0) AS BIGINT) AS tokens_after FROM ({summary_sql(sections_sql(A2))})
+JOIN (SELECT session_id, sum(ceil(length(text) / 4.0) + ceil(length(coalesce(result, '')) / 4.0)) AS tokens_before FROM ({A2}) GROUP BY session_id) USING (session_id)
+"""
+
+
 def _two_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     whole = cut(work(spark, sf_dir))
     return Y.build_sections(whole.where("ord < 30"), CWD), Y.build_sections(whole.where("ord >= 30"), CWD)
@@ -355,16 +434,51 @@ def expanded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.expanded(whole, items, R.routed(_asked(spark, sf_dir)), CWD).select("query_id", "entry_id", "text", F.array_join("related", ",").alias("related"))
 
 
+_entry_ids = f"""
+SELECT *, substr(md5(CASE WHEN role = 'assistant' THEN 'a:' || tool_use_id ELSE 'u:' || coalesce(called, '') || '|' || string_agg(md5(role || chr(10) || text), '|') OVER (PARTITION BY session_id, n_calls ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END), 1, 12) AS entry_id
+FROM (SELECT *, last_value('a:' || tool_use_id IGNORE NULLS) OVER w AS called, CASE WHEN role = 'user' THEN count(tool_use_id) OVER w ELSE -ord END AS n_calls FROM ({A2}) WINDOW w AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+EXPANDED_SQL = f"""
+SELECT session_id || '/3' AS query_id, entry_id, concat_ws(chr(10), '#12 [' || entry_id || '] ' || role, nullif(text, ''), chr(10) || '• ' || tool || ': ' || coalesce(command, replace(file_path, '/work/app/', '')) || CASE WHEN is_error THEN ' (error)' ELSE '' END,
+  '  input: ' || CASE WHEN command IS NOT NULL THEN '{{"command":"' || replace(command, '"', '\\"') || '"}}' WHEN file_path IS NOT NULL THEN '{{"file_path":"' || file_path || '"}}' END, result) AS text,
+  CASE WHEN role = 'user' THEN 'i12' ELSE '' END AS related FROM ({_entry_ids}) WHERE ord = 12
+"""
+
+
+def _remembered(entries: DataFrame) -> DataFrame:
+    """What users said as memory items."""
+    return entries.where("role = 'user'").select("session_id", F.col("index").alias("ord"), F.concat(F.lit("i"), F.col("index").cast("string")).alias("id"), F.col("text").alias("content"), F.lit(False).alias("dropped"))
+
+
 def recall_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of every text query on its session, memory items before entries, each with a snippet."""
-    docs = cut(R.documents(work(spark, sf_dir)))
-    queries = cut(R.routed(_asked(spark, sf_dir)).where("kind = 'text' and scope != 'memory'"))
+    """The asked page of every text query on its session and scope, memory items before entries, each with a snippet."""
+    whole = cut(work(spark, sf_dir))
+    docs = cut(R.documents(whole, _remembered(whole)))
+    queries = cut(R.routed(_asked(spark, sf_dir)).where("kind = 'text'"))
     keys = ["session_id", "ref", "doc_ord"]
-    page = R.page_of(R.bm25(docs, queries, keys, ["session_id"]), [F.desc("score"), F.col("doc_ord")])
+    hits = R.bm25(R.scoped(docs), queries, [*keys, "scope"], ["session_id", "scope"]).join(queries.select("query_id", "page"), "query_id")
+    page = R.page_of(hits, [F.desc("score"), F.col("doc_ord")], F.col("page")).drop("page", "scope")
     best = page.join(docs.select("session_id", "ref", "doc_ord", "text"), keys).join(queries.select("query_id", "term"), "query_id")
     return best.select("query_id", "ref", "rank", "score", "n_hits", T.snippet(F.col("text"), R.first_hit(F.col("text"), F.col("term"))).alias("snippet"))
 
 
+#: Texts are shorter than half a snippet.
+RECALL_SQL = f"""
+WITH e AS ({_entry_ids}),
+x AS (SELECT session_id, 'e:' || entry_id AS ref, CAST(ord AS BIGINT) AS doc_ord, 'history' AS kind, concat_ws(chr(10), nullif(text, ''), tool, CASE WHEN file_path IS NOT NULL THEN 'file_path: ' || file_path END, CASE WHEN command IS NOT NULL THEN 'command: ' || command END, result) AS text FROM e
+  UNION ALL SELECT session_id, 'o:i' || ord, CAST(ord AS BIGINT) - 1099511627776, 'memory', text FROM e WHERE role = 'user'),
+d AS (SELECT *, {_tokens_sql("text")} AS t, unnest(['all', kind]) AS scope FROM x),
+stats AS (SELECT session_id, scope, count(*) AS n, avg(len(t)) AS mean FROM d GROUP BY ALL),
+q AS (SELECT DISTINCT session_id, n AS no, scope, term FROM e, (VALUES (0, 'all', 'retry'), (0, 'all', 'loader'), (7, 'memory', 'loader')) AS v(n, scope, term)),
+tf AS (SELECT session_id, scope, ref, doc_ord, dl, term, count(*) AS tf FROM (SELECT session_id, scope, ref, doc_ord, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
+df AS (SELECT session_id, scope, term, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT session_id, no, ref, doc_ord, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM q JOIN tf USING (session_id, scope, term) JOIN df USING (session_id, scope, term) JOIN stats USING (session_id, scope) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, no ORDER BY score DESC, doc_ord) AS rank, count(*) OVER (PARTITION BY session_id, no) AS n_hits FROM s WHERE score > 0)
+SELECT r.session_id || '/' || no AS query_id, ref, rank, score, n_hits, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS snippet FROM r JOIN x USING (session_id, ref) WHERE rank <= 8
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     bm25_topk, entries, archive_corpus, new_entries, window_entries, text_scalars, token_report, noise_filtered, tool_one_liners, shell_features, tool_fold, brief_transcript, files_touched, open_errors, outstanding,
     commits, session_goals, preferences, user_reports, last_state, current_state, sections_merge, session_summary, compaction_report, query_routes, regex_hits, file_hits, entry_lines, expanded_entries, recall_snippet,
@@ -372,5 +486,6 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "bm25_topk": BM25_SQL, "entries": ENTRIES_SQL, "archive_corpus": ARCHIVE_SQL, "new_entries": NEW_SQL, "window_entries": WINDOW_SQL, "text_scalars": SCALARS_SQL, "token_report": TOKENS_SQL, "noise_filtered": NOISE_SQL,
     "tool_one_liners": LINERS_SQL, "shell_features": SHELL_SQL, "tool_fold": FOLD_SQL, "files_touched": FILES_SQL, "open_errors": ERRORS_SQL, "outstanding": OUTSTANDING_SQL, "commits": COMMITS_SQL, "session_goals": GOALS_SQL,
-    "preferences": PREFERENCES_SQL, "user_reports": REPORTS_SQL, "last_state": STATE_SQL, "query_routes": ROUTES_SQL, "regex_hits": REGEX_SQL, "file_hits": FILE_SQL, "entry_lines": LINES_SQL,
+    "preferences": PREFERENCES_SQL, "user_reports": REPORTS_SQL, "last_state": STATE_SQL, "query_routes": ROUTES_SQL, "regex_hits": REGEX_SQL, "brief_transcript": BRIEF_SQL, "current_state": CURRENT_SQL, "sections_merge": MERGE_SQL, "session_summary": SUMMARY_SQL, "compaction_report": COMPACTION_SQL,
+    "expanded_entries": EXPANDED_SQL, "recall_snippet": RECALL_SQL, "file_hits": FILE_SQL, "entry_lines": LINES_SQL,
 }
