@@ -42,11 +42,32 @@ PATTERNS = {
     "ip6": r"(?<![\w:.])(?=[A-Fa-f:]{0,20}\d)[0-9A-Fa-f]{1,4}(?:(?::[0-9A-Fa-f]{1,4}){7}|(?::[0-9A-Fa-f]{1,4}){1,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}(?: (?!(?:{_MALE}|{_FEMALE}|{_EITHER})(?!\p{{L}})){_NAME}){{0,2}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_INITIALS = "MHFSDPгдκ"
+assert all(x[0] in _INITIALS for x in f"{_MALE}|{_FEMALE}|{_EITHER}".split("|"))
+
+
+def _tried(*kinds: str) -> str:
+    return "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+
+
+#: All kinds but addresses with @, each tried only at characters that it can begin with.
+ANY = rf"(?=[pPsSaAtT]){_tried('secret')}|(?=[0-9+(A-Z{_INITIALS}])(?:{_tried('key', 'phone', 'ssn', 'card', 'iban', 'ip', 'ip6', 'person')})|(?=[a-f][0-9a-f]{{0,3}}:){_tried('ip6')}"
+#: Also addresses with @.
+ANY_AT = rf"{_tried('email')}|{ANY}"
 #: In documents with a titled name, also what may be a word of it.
-WITH_NAMES = ANY + r"|(?:(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]++)"
-#: What an entity has at least one of.
-HINT = rf"[0-9@]|AKIA|ASIA|{_SECRET}|(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"
+_WORD = r"(?:(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]++)"
+WITH_NAMES = rf"{ANY_AT}|{_WORD}"
+
+
+def hinted(text: Column) -> Column:
+    """Whether the text has something that every entity has: a digit or @, or else the beginning of a secret, key or name."""
+    others = [rf"(?=[pPsSaAtT]){_SECRET}", "A[KS]IA[A-Z]{16}", rf"(?=[{_INITIALS}])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? \p{{Lu}}"]
+    found = text.rlike("[0-9@]")
+    for x in others:
+        found = found | text.rlike(x)
+    return F.coalesce(found, F.lit(False))
+
+
 DIGITS = ["phone", "ssn", "card"]
 NAMES = ["person", "name"]
 #: After so many attempts, and again each time, surrogates become longer, so that small spaces do not run out.
@@ -261,10 +282,10 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     names = [c for c in docs.columns if c.lower() != count_col.lower()]
     text = F.col("d").getField(text_col).cast("string")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"))
-    hinted = F.coalesce(text.rlike(HINT), F.lit(False))
     every = lambda pattern: F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    read = cut(rows.where(hinted).select("d", every(ANY).alias("found")).withColumn("row", F.monotonically_increasing_id()))
-    unhinted = rows.where(~hinted).select("d", text.alias("new"), F.lit(0).alias("n"))
+    at = text.contains("@")
+    read = cut(rows.where(hinted(text)).select("d", F.when(at, every(ANY_AT)).otherwise(every(ANY)).alias("found")).withColumn("row", F.monotonically_increasing_id()))
+    unhinted = rows.where(~hinted(text)).select("d", text.alias("new"), F.lit(0).alias("n"))
     clean = read.where(F.size("found") == 0).select("d", text.alias("new"), F.lit(0).alias("n"))
 
     titled = F.filter("found", lambda e: e.rlike(rf"^(?:{PATTERNS['person']})\z"))
@@ -291,7 +312,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     joined = lambda gaps, values: F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda a, b: F.concat(a, b)), ""), F.element_at(gaps, -1))
     entity = F.when(F.col("before").isNull(), F.get("new", F.lit(0))).otherwise(F.concat(title, joined(between, F.col("new"))))
     by_row = by_spot.select("row", "at", entity.alias("new")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("new"))
-    pieces = F.when(F.size("known") > 0, F.split(text, WITH_NAMES, -1)).otherwise(F.split(text, ANY, -1))
+    pieces = F.when(F.size("known") > 0, F.split(text, WITH_NAMES, -1)).when(at, F.split(text, ANY_AT, -1)).otherwise(F.split(text, ANY, -1))
     whole = joined(pieces, F.transform("found", lambda e, i: F.coalesce(F.try_element_at("new", i), e)))
     changed = dirty.join(by_row, "row", "left").select("d", F.when(F.col("new").isNull(), text).otherwise(whole).alias("new"), F.coalesce(F.size("new"), F.lit(0)).alias("n"))
     out = unhinted.union(clean).union(changed)
