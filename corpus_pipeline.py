@@ -18,17 +18,23 @@ from weftline.llm.quality import judge
 from weftline.llm.workspace import new_dir
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't among ``ids``."""
+    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fixed rules or the isolation forest reject go; rows without an id stay."""
+    """Documents that the fixed rules or the isolation forest reject go; rows without an id stay. Rows repeated under one id are one document,
+    which goes if one of its texts is rejected."""
     verdicts = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(verdicts.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, verdicts.where("not kept").select("doc_id"))
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates stays. Rows repeated under one id are one
     document and stay together, as do rows without an id."""
     groups = near_duplicates(docs)
-    return docs.join(groups.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, groups.where("doc_id != component_id").select("doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates, and the number of characters follows."""
     replaced = replace_pii(docs, key="surrogates-1")
-    return replaced.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return replaced.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

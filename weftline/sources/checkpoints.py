@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the folder of ``spark.checkpoint.dir``; where that is unset (tests), in a temporary one."""
+    """Compute ``df`` once and keep it in the folder of ``spark.checkpoint.dir``; where that is unset and Spark is one local process (tests), in a
+    temporary one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
