@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from weftline.llm import decontamination, pii, quality, sharding, token_counts, warc
-from weftline.llm.packing import Packer, Example, WordTokens, pack
+from weftline.llm.packing import Example, Packer, WordTokens, conversation_packing, pack
 from weftline.llm.workspace import new_dir
 
 from .conftest import WORD, shared
@@ -88,6 +88,31 @@ def test_words_have_the_tokenizer_s_ids():
     assert all(np.frombuffer(x, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids for x, t in zip(got, texts))
 
 
+def test_other_tokenizers_files_are_used_whole(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    got = WordTokens(path).encode([(t or "").encode() for _, t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for _, t in texts]
+    assert pack(docs, path).agg(F.sum("length")).first()[0] == sum(len(x) // 4 + 1 for x in got)
+
+
+@pytest.mark.parametrize(("limit", "most", "asked", "answered"), [(0, 512, 40, 3), (1, 6, 2, 2), (2, 192, 3, 40)])
+def test_limits_bind_in_conversations(spark, tmp_path, limit, most, asked, answered):
+    rng = np.random.default_rng(5)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", " ".join(shared(int(rng.integers(1, answered if t % 2 else asked)), 10 * c + t))) for c in range(80) for t in range(int(rng.integers(2, 4)))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = conversation_packing(spark, str(tmp_path)).collect()
+    by, pieces = defaultdict(list), defaultdict(int)
+    for r in out:
+        by[r.sequence_id].append(r)
+        pieces[r.example_id] += r.length
+    sums = [(sum(r.length for r in own), len(own), sum(r.loss_tokens for r in own)) for own in by.values()]
+    assert all(a <= 512 and b <= 6 and c <= 192 for a, b, c in sums) and sum(x[limit] == most for x in sums) > 3
+    assert all(pieces[r.example_id] == r.doc_tokens for r in out) and len(pieces) == sum(r[2] == "assistant" for r in rows)
+
+
 def test_every_id_lies_in_one_piece_and_sequences_are_full(docs, texts):
     from tokenizers import Tokenizer
 
@@ -469,3 +494,28 @@ def test_pipeline_stages_take_effect(spark):
     every = {i for i, _ in rows}
     assert kept == [every - {51}, every - {50, 51}, every - {50, 51, 52}, every - {50, 51, 52}, every - {50, 51, 52}]
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()} == kept[-1]
+
+
+def test_pipeline_with_odd_rows_and_columns(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, an empty table, and columns with clashing and dotted names."""
+    import corpus_pipeline
+
+    folder = new_dir(spark, "tables")
+    good = lambda k: " ".join(f"{'Word' if j % 11 == 0 else 'word'}{chr(97 + (j * k) % 26)}{chr(97 + j % 26)}{chr(97 + k % 26)}" for j in range(80))
+    rows = [(k, good(k)) for k in range(1, 12)] + [(3, good(3)), (20, None), (21, ""), (None, good(15)), (None, None), (22, " ".join(f"{w}{k}" for k in range(400) for w in good(k % 13 + 1).split())), (23, good(17) + " x@y.example.org"), (24, good(4) + " tail")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `meta.url` string, found string, row long, size int, n_entities int, component_id long"
+    spark.createDataFrame([(i, t, "en", None, len(t or ""), "u", "f", 1, 2, 3, 4) for i, t in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, "some words that no document has at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (20, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, left = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder).checkpoint()
+        assert name == "packing" or docs.columns == columns
+        left.append(Counter(r.doc_id for r in docs.select("doc_id").collect()))
+    assert left[0][3] == 2 and 20 not in left[0] and 21 not in left[0] and left[0][22] == 1 and left[0][None] == 2
+    assert 24 not in left[1] and left[1][4] == 1 and left[3] == left[1] and set(left[4]) == set(left[3])
+    empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == columns)

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIECES = pa.schema([
@@ -39,11 +39,25 @@ COMMON = bytes([*range(9, 14), *range(32, 127), 0xC3, *range(0x80, 0xC0)])
 PIECES_OF = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
 
+#: The parts of a tokenizers file whose plain texts are split here.
+WORD_ENDED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordTokens:
-    """Token ids of texts by a word-ended byte-level BPE, whose ids never depend on what lies beyond white space.
+    """Token ids of texts by a tokenizers file.
 
-    Plain texts are split to pieces here. Pieces seen before come from a table of bounded size, new ones go to the
-    tokenizer's model without its normalizer. All other texts go to the whole tokenizer.
+    If it is a word-ended byte-level BPE with the parts of ``WORD_ENDED``, plain texts are split to pieces here: ids never depend on what
+    lies beyond white space. Pieces seen before come from a table of bounded size, new ones go to the tokenizer's model without its
+    normalizer. All other texts, and all texts of any other file, go to the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 400_000, longest: int = 64):
@@ -52,15 +66,20 @@ class WordTokens:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.plain = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.known: dict[str, bytes] = {}
+        model = spec["model"]
+        self.plain = all(spec.get(k) == v for k, v in WORD_ENDED.items()) and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and all(x["content"].startswith("<|") for x in spec.get("added_tokens") or [])
+        if not self.plain:
+            return
         self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         #: Whether an id ends a piece.
-        self.final = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
-        self.final[[i for x, i in spec["model"]["vocab"].items() if x.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.known: dict[str, bytes] = {}
+        self.final = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+        self.final[[i for x, i in model["vocab"].items() if x.endswith("</w>")]] = True
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece."""
+        if not pieces:
+            return []
         mapped = [x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LEVEL) for x in pieces]
         out: list[bytes] = []
         groups = [mapped[i : i + 1000] for i in range(0, len(mapped), 1000)]
@@ -227,8 +246,8 @@ def pack(
     and, if wanted, the ids.
 
     An example is the ids of ``prompt_col`` (they bear no loss), those of ``text_col`` and ``end_id``; null texts
-    are empty, so such a row is its end id alone. Each id lies in exactly one piece. ``tokenizer`` is the path of a
-    tokenizers file whose ids do not reach across white space. A task's last sequence is cut at powers of two, so
+    are empty, so such a row is its end id alone. Texts may be of any length; each id lies in exactly one piece. ``tokenizer`` is the
+    path of a tokenizers file. A task's last sequence is cut at powers of two, so
     only sequences that reach the limit on segments or loss are short. Repeated rows are separate examples, an empty
     table has no pieces, other columns are ignored. Sequence ids count up from ``partition << 40``.
     """
@@ -259,3 +278,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer of an assistant with the turns before it as its prompt, under limits that all bind: 512 tokens, 6 segments and
+    192 tokens that bear loss."""
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.array_join(F.collect_list(F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))).over(before), "\n")
+    examples = turns.withColumn("prompt", asked).where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("example_id"), "prompt", "text")
+    out = pack(examples, public_tokenizers.path("word_bpe_49k.json"), "example_id", prompt_col="prompt", tokens=512, segments=6, loss=192)
+    return out.select("example_id", "start", "length", "doc_tokens", "loss_tokens", "sequence_id", "offset")

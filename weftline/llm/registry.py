@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op7_decontamination
 from .near_dup import NEAR_DUP_SQL, op8_near_dup_join
-from .packing import op4_packing
+from .packing import conversation_packing, op4_packing
 from .pii import op6_pii
 from .quality import RULE_COUNTS_SQL, op5_quality_rules, rule_counts
 from .sharding import op3_sharding
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup_join": op8_near_dup_join,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "conversation_packing": conversation_packing,
     "word_count_rollup": word_count_rollup,
     "rule_counts": rule_counts,
 }
