@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.llm import words as W
+from weftline.llm.multiplicity import chunked, grade, replies, shape, with_grades
 from weftline.llm.near_dup import linked_sets, near_duplicates, overlaps, spanning
 from weftline.llm.substring_dedup import remove_repeats
 from weftline.llm.suffix_dedup import minimisers, repeated_passages
@@ -61,6 +62,36 @@ def test_repeated_windows_are_removed(docs, texts, width):
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in out)
 
 
+@pytest.mark.parametrize(("partitions", "fan"), [(4, 256), (4, 2), (9, 3), (12, 3), (7, 2)])
+def test_keys_are_counted_in_levels(spark, partitions, fan):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 400, rng.integers(0, 30)))) for k in range(300)]
+    want = Counter(w for _, t in rows for w in t.split())
+    keys = lambda texts: np.concatenate([np.zeros(0, np.uint64), *(W.words(data, offsets)[0] for _, data, offsets in W.slices(texts))])
+
+    def work(table, grades):
+        words = sorted({w for t in table.column("text").to_pylist() for w in t.split()})
+        found = grades.of(keys(pa.chunked_array([pa.array([" ".join(words)])]))) if words else []
+        return pa.table({"word": pa.array(words, pa.string()), "grade": pa.array([int(x) for x in found], pa.int64())})
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        chunks = chunked(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+        got = with_grades(chunks, keys, work, "word string, grade long", fan).collect()
+        assert {(r.word, r.grade) for r in got} == {(w, int(grade(np.array([n]))[0])) for w, n in want.items()}
+        # packed rows of the first level: at most the fan for each chunk
+        assert replies(chunks, keys, fan).count() <= partitions * shape(partitions, fan)[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_packed_rows_grow_with_the_chunks():
+    for n in (200, 1000, 10_000, 1_000_000, 5_000_000):
+        levels, fan = shape(n, 256)
+        assert fan <= 256 and fan**levels >= n and levels <= 3
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert remove_repeats(none).count() == 0 and near_duplicates(none).count() == 0 and repeated_passages(none).count() == 0

@@ -1,11 +1,16 @@
 """How often each of many 64-bit keys occurs in a whole corpus, told back to where it occurs.
 
 Texts are dealt to chunks by a hash of id and text, so a chunk holds about as much of a hot
-source or group of copies as any other. Each chunk sends its distinct keys with their counts,
-sorted and packed, to key ranges ("buckets"); a bucket adds the counts up and answers every
-chunk with one byte a key. So a key crosses the network once a chunk however hot it is, and
+source or group of copies as any other (rows with equal ids and equal texts lie in one chunk). Each chunk sends
+its distinct keys with their counts, sorted and packed, to key ranges ("buckets"); a bucket adds the counts up and
+answers every chunk with one byte a key. So a key crosses the network once a chunk however hot it is, and
 neither a chunk nor a bucket grows with the number of copies of anything. There are as many
 chunks and buckets as spark.sql.shuffle.partitions, so it also sets what a task holds at once.
+
+With more than ``FAN`` chunks, keys go up in levels: a node merges the runs that up to ``FAN`` nodes below have of one
+key range and sends them on in ``FAN`` narrower ranges; answers come down the same way. So each chunk or node
+sends ``FAN`` packed rows at most, and their number grows in proportion to the number of chunks. A node holds about
+as many keys as a chunk.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .workspace import shuffle_partitions
 
+#: Most nodes that a chunk or node sends keys to.
+FAN = 256
 #: Keys of one chunk's texts: takes the texts, gives all keys (with repeats).
 Keys = Callable[[pa.ChunkedArray], np.ndarray]
 
@@ -48,37 +55,81 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def replies(chunks: DataFrame, keys: Keys) -> DataFrame:
-    """(chunk, bucket, grades): for the chunk's distinct keys in the bucket, in ascending order."""
-    n = shuffle_partitions(chunks.sparkSession)
-    bounds = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
+def shape(n: int, fan: int) -> tuple[int, int]:
+    """Levels, and the fan of each, for n chunks: the fewest levels with at most ``fan``."""
+    levels = 1
+    while fan**levels < n:
+        levels += 1
+    even = max(2, round(n ** (1 / levels)))
+    return levels, even if even**levels >= n else even + 1
+
+
+def replies(chunks: DataFrame, keys: Keys, fan: int = FAN) -> DataFrame:
+    """(child, part, grades): for a chunk's distinct keys in ascending order, in parts.
+
+    A node of a level is numbered ``group * fan ** level + range``: it has the keys of one of ``fan ** level`` ranges of
+    ``fan ** level`` chunks, a group. Chunks are the nodes of level 0.
+    """
+    levels, fan = shape(shuffle_partitions(chunks.sparkSession), fan)
 
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        own, counts = np.unique(keys(table.column("text")), return_counts=True)
+    def sent(child: int, level: int, own: np.ndarray, counts: np.ndarray) -> pa.Table:
+        """What a node sends to the level: its keys in ``fan`` ranges."""
+        group, place = divmod(child, fan ** (level - 1))
+        bounds = np.array([((place * fan + d) << 64) // fan**level for d in range(1, fan)], dtype=np.uint64)
         cut = np.concatenate([[0], np.searchsorted(own, bounds), [len(own)]])
         full = np.flatnonzero(np.diff(cut))
         counts = np.minimum(counts, 255).astype(np.uint8)
         return pa.table({
-            "bucket": pa.array(full, pa.int32()),
-            "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()),
+            "node": pa.array(group // fan * fan**level + place * fan + full, pa.int64()),
+            "child": pa.array([child] * len(full), pa.int64()),
+            "part": pa.array(full, pa.int32()),
             "keys": pa.array([packed(own[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
             "counts": pa.array([counts[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
         })
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [unpacked(x.as_py()) for x in table.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint8) for x in table.column("counts")])
-        _, where = np.unique(np.concatenate(parts), return_inverse=True)
-        grades = grade(np.bincount(where, weights=counts))[where]
-        cut = np.cumsum([0, *map(len, parts)])
-        return pa.table({
-            "chunk": table.column("chunk"),
-            "bucket": table.column("bucket"),
-            "grades": pa.array([grades[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-        })
+    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys and their counts, the place of each key received, and where each run of them begins."""
+        parts = [np.zeros(0, np.uint64), *(unpacked(x.as_py()) for x in table.column("keys"))]
+        counts = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_py(), dtype=np.uint8) for x in table.column("counts"))])
+        own, where = np.unique(np.concatenate(parts), return_inverse=True)
+        return own, np.bincount(where, weights=counts, minlength=len(own)), where, np.cumsum([0, *map(len, parts[1:])])
+
+    def answers(table: pa.Table, grades: np.ndarray, where: np.ndarray, cut: np.ndarray) -> pa.Table:
+        grades = grades[where]
+        return pa.table({"child": table.column("child"), "part": table.column("part"), "grades": pa.array([grades[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        return sent(key[0].as_py(), 1, *np.unique(keys(table.column("text")), return_counts=True))
+
+    def on(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
+        return lambda key, table: sent(key[0].as_py(), level, *merged(table)[:2])
+
+    def top(table: pa.Table) -> pa.Table:
+        _, counts, where, cut = merged(table)
+        return answers(table, grade(counts), where, cut)
+
+    def down(table: pa.Table, answer: pa.Table) -> pa.Table:
+        own, _, where, cut = merged(table)
+        return answers(table, joined(answer, len(own)), where, cut)
+
+    runs, reply = "node long, child long, part int, keys binary, counts binary", "child long, part int, grades binary"
+    up = [chunks.groupBy("chunk").applyInArrow(first, runs)]
+    for level in range(2, levels + 1):
+        up.append(up[-1].groupBy("node").applyInArrow(on(level), runs))
+    out = up[-1].groupBy("node").applyInArrow(top, reply)
+    for rows in up[-2::-1]:
+        out = rows.groupBy("node").cogroup(out.groupBy("child")).applyInArrow(down, reply)
+    return out
+
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "bucket int, chunk long, keys binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, grades binary")
+def joined(answer: pa.Table, n: int) -> np.ndarray:
+    """The grades of n keys in ascending order, from their parts."""
+    order = np.argsort(answer.column("part").to_numpy())
+    parts = answer.column("grades").to_pylist()
+    grades = np.frombuffer(b"".join(parts[i] for i in order), dtype=np.uint8)
+    if len(grades) != n:
+        raise ValueError(f"{n} keys, {len(grades)} grades")
+    return grades
 
 
 class Grades:
@@ -86,21 +137,17 @@ class Grades:
 
     def __init__(self, keys: np.ndarray, answer: pa.Table):
         self.keys = np.unique(keys)
-        order = np.argsort(answer.column("bucket").to_numpy())
-        parts = answer.column("grades").to_pylist()
-        self.grades = np.frombuffer(b"".join(parts[i] for i in order), dtype=np.uint8)
-        if len(self.grades) != len(self.keys):
-            raise ValueError(f"{len(self.keys)} keys, {len(self.grades)} grades")
+        self.grades = joined(answer, len(self.keys))
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         return self.grades[np.searchsorted(self.keys, keys)]
 
 
-def with_grades(chunks: DataFrame, keys: Keys, work: Callable[[pa.Table, Grades], Iterator[pa.Table] | pa.Table], schema: str) -> DataFrame:
+def with_grades(chunks: DataFrame, keys: Keys, work: Callable[[pa.Table, Grades], Iterator[pa.Table] | pa.Table], schema: str, fan: int = FAN) -> DataFrame:
     """``work`` on each chunk (id, text) with the corpus-wide grades of its keys."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return work(left, Grades(keys(left.column("text")), right))
 
-    answer = replies(chunks, keys)
-    return chunks.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(run, schema)
+    answer = replies(chunks, keys, fan)
+    return chunks.groupBy("chunk").cogroup(answer.groupBy("child")).applyInArrow(run, schema)
