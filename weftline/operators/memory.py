@@ -260,7 +260,7 @@ def claims(replies: DataFrame, open_items: DataFrame) -> DataFrame:
                 rows += [(session, None, None, i, None, None) for i in dict.fromkeys(retire) if i in kinds and i not in taken]
             yield pd.DataFrame(rows, columns=["session_id", "place", "seat", "id", "content", "relevance"]).astype({"place": "Int64", "seat": "Int64"})
 
-    # a session's open items are its memory pool, which budgets bound
+    # open items of a session and a reply to them are what one worker call holds
     return parsed.join(known, "session_id").select("session_id", F.col("r"), F.col("kinds")).mapInPandas(take, "session_id string, place long, seat long, id string, content string, relevance string")
 
 

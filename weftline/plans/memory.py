@@ -10,7 +10,7 @@ from ..operators import memory as M
 from ..operators import retention as C
 from ..operators import search as R
 from ..sources import tables as S
-from .history import A1, talk
+from .history import A1, ENTRIES_SQL, talk
 
 POOL = 1500
 A3 = S.ITEMS_SQL.strip()
@@ -154,11 +154,22 @@ SELECT session_id, ord, tok AS tokens, chunk_no FROM r
 
 
 def observer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = S.items(spark, sf_dir).withColumn("session_id", F.regexp_replace("session_id", "src", ""))
+    """Conversations with fifty items each as their memory."""
+    items = S.items(spark, sf_dir).withColumn("session_id", F.floor(F.col("ord") / 50).cast("string"))
     prompts = M.observer_prompts(M.chunks(_pending(spark, sf_dir), 200), items)
     return prompts.select("session_id", "chunk_no", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 
+PROMPTS_SQL = rf"""
+WITH e AS (SELECT session_id, ord, chunk_no, '[Source entry id: ' || entry_id || ']' || chr(10) || CASE WHEN role = 'user' THEN '[User]: ' ELSE '[Assistant]: ' END || CASE WHEN length(text) <= 3000 THEN text ELSE substr(text, 1, 2999) || '…' END AS line
+  FROM ({ENTRIES_SQL}) JOIN ({CHUNKS_SQL}) USING (session_id, ord)),
+c AS (SELECT session_id, chunk_no, string_agg(line, chr(10) || chr(10) ORDER BY ord) AS chunk FROM e GROUP BY ALL),
+m AS ({MARKDOWN_SQL.replace("FROM (" + A3 + ")", "FROM (SELECT * REPLACE (CAST(CAST(floor(ord / 50) AS BIGINT) AS STRING) AS session_id) FROM (" + A3 + ") WHERE NOT dropped)").replace("'## '", "'### '")}),
+p AS (SELECT session_id, chunk_no, '## Current memory' || chr(10) || chr(10) || coalesce(memory, '(none)') || chr(10) || chr(10) || '## New conversation chunk' || chr(10) || chr(10) || chunk AS prompt FROM c LEFT JOIN m USING (session_id))
+SELECT session_id, chunk_no, length(prompt) AS n_chars, md5(prompt) AS digest FROM p
+"""
+
+
 def observer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk's reply cites its entries and one that is not in it."""
     chunks = M.chunks(_pending(spark, sf_dir), 200)
@@ -173,16 +184,29 @@ REPLIES_SQL = f"SELECT session_id, chunk_no, 'lesson' AS kind, 'medium' AS relev
 
 
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each session's reply merges the constraints of its first ones and retires an old lesson."""
+    """Each session's reply merges its first three constraints, named from the last to the first, and retires its first lesson."""
     items = S.items(spark, sf_dir)
     live = M.active(items).where("kind in ('constraint', 'lesson')").groupBy("session_id", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("ids"))
     both = live.groupBy("session_id").pivot("kind", ["constraint", "lesson"]).agg(F.first("ids"))
-    merge = F.struct(F.lit("one rule for all").alias("content"), F.slice("constraint", 1, 3).alias("replaces"))
+    merge = F.struct(F.lit("one rule for all").alias("content"), F.reverse(F.slice("constraint", 1, 3)).alias("replaces"))
     replies = both.select("session_id", F.to_json(F.struct(F.array(merge).alias("merged"), F.slice("lesson", 1, 1).alias("retire"))).alias("reply"))
     out = M.consolidate(items, replies, 300)
     return out.select("session_id", "id", "kind", "relevance", "dropped", "superseded_by", F.size("sources").alias("n_sources"))
 
 
+CONSOLIDATE_SQL = f"""
+WITH i AS (SELECT *, {_TOK} AS tok FROM ({A3})), t AS (SELECT session_id, kind, sum(tok) AS tokens FROM i WHERE NOT dropped GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY ord) AS n FROM i WHERE NOT dropped),
+m AS (SELECT r.* FROM r JOIN t USING (session_id, kind) WHERE (kind = 'constraint' AND tokens > 60 AND n <= 3) OR (kind = 'lesson' AND tokens > 90 AND n = 1)),
+a AS (SELECT session_id, list(source_entry ORDER BY ord DESC) AS s, max({_RANK}) AS top FROM m WHERE kind = 'constraint' GROUP BY session_id),
+b AS (SELECT session_id, list_filter(s, lambda x, k: list_position(s, x) = k) AS sources, top FROM a),
+c AS (SELECT *, substr(md5('o:one rule for all:' || array_to_string(sources, ',')), 1, 12) AS id FROM b)
+SELECT i.session_id, i.id, i.kind, i.relevance, i.dropped OR m.id IS NOT NULL AS dropped, CASE WHEN m.kind = 'constraint' THEN c.id END AS superseded_by, 1 AS n_sources
+  FROM i LEFT JOIN m ON m.session_id = i.session_id AND m.id = i.id LEFT JOIN c ON c.session_id = i.session_id
+UNION ALL SELECT session_id, id, 'constraint', CASE top WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END, false, NULL, len(sources) FROM c
+"""
+
+
 def worker_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("cycle"), (F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("event_id") % 100).alias("tokens_out"), (F.col("event_id") % 50).alias("ms"))
     return M.worker_usage(log)
@@ -220,5 +244,5 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLE_SQL = {
     "budget_status": STATUS_SQL, "budget_trim": TRIM_SQL, "memory_markdown": MARKDOWN_SQL, "item_lineage": LINEAGE_SQL, "ledger_upsert": UPSERT_SQL, "ledger_migrate": MIGRATE_SQL, "ledger_classify": CLASSIFY_SQL, "observe_backlog": BACKLOG_SQL,
-    "observe_chunks": CHUNKS_SQL, "observer_replies": REPLIES_SQL, "worker_usage": USAGE_SQL, "stale_sessions": STALE_SQL, "retained_rows": RETAINED_SQL,
+    "observe_chunks": CHUNKS_SQL, "observer_prompts": PROMPTS_SQL, "observer_replies": REPLIES_SQL, "consolidate": CONSOLIDATE_SQL, "worker_usage": USAGE_SQL, "stale_sessions": STALE_SQL, "retained_rows": RETAINED_SQL,
 }

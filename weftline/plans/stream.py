@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..sources import tables as S
 from ..sources.checkpoints import cut
 from ..streaming import jobs as J
-from .history import A2
+from .history import A2, merged_sql, sections_sql
 
 
 def _folder(spark: SparkSession, label: str) -> str:
@@ -21,36 +23,42 @@ def _folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def _source(spark: SparkSession, rows: DataFrame, order: str, folder: str, files: int = 3) -> DataFrame:
-    """``rows`` as a stream of ``files`` batches, in order of a column."""
-    place = F.col(order).cast("double")
-    bounds = [float("-inf"), *rows.select(place.alias("place")).approxQuantile("place", [i / files for i in range(1, files)], 0.01), float("inf")]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        rows.where((place > low) & (place <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+def _feed(rows: DataFrame, order: str, cuts: list, folder: str, begin: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Append ``rows`` to the stream's input in parts that end before each of ``cuts`` of a column; after each part the stream is begun anew on
+    its old state and takes the part as one micro-batch."""
+    spark = rows.sparkSession
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(F.col(order) >= low)
+        part = part if high is None else part.where(F.col(order) < high)
+        part.write.mode("append").parquet(f"{folder}/in")
+        begin(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that the stream has archived, numbered on from batch to batch."""
     folder = _folder(spark, "stream-archive")
-    stream = _source(spark, S.tool_messages(spark, sf_dir), "ord", folder)
-    J.archive_stream(stream, f"{folder}/archive", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    _feed(S.tool_messages(spark, sf_dir), "ord", [20, 40], folder, lambda stream: J.archive_stream(stream, f"{folder}/archive", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/archive").select("session_id", "entry_id", "role", "index")
 
 
-ARCHIVE_SQL = f"SELECT session_id, role, ord AS index, substr(md5('a:' || tool_use_id), 1, 12) AS entry_id FROM ({A2}) WHERE role = 'assistant'"
+#: Ids of user entries begin anew with each batch.
+ARCHIVE_SQL = f"""
+WITH a AS (SELECT *, CASE WHEN ord < 20 THEN 0 WHEN ord < 40 THEN 1 ELSE 2 END AS batch FROM ({A2})),
+c AS (SELECT *, last_value('a:' || tool_use_id IGNORE NULLS) OVER w AS called, CASE WHEN role = 'user' THEN count(tool_use_id) OVER w ELSE -ord END AS n_calls FROM a WINDOW w AS (PARTITION BY session_id, batch ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT session_id, role, ord AS index, substr(md5(CASE WHEN role = 'assistant' THEN 'a:' || tool_use_id
+  ELSE 'u:' || batch || '|' || coalesce(called, '') || '|' || string_agg(md5(role || chr(10) || text), '|') OVER (PARTITION BY session_id, batch, n_calls ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END), 1, 12) AS entry_id FROM c
+"""
 
 
-def stream_archive_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_archive(spark, sf_dir).where("role = 'assistant'")
+def _stored(stream: DataFrame, folder: str) -> DataStreamWriter:
+    return stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
 
 
 def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 50 tokens or more of each session's entries, with state kept from batch to batch."""
     folder = _folder(spark, "stream-threshold")
     rows = S.tool_log(spark, sf_dir).select("session_id", F.col("ord").cast("long").alias("ord"), F.ceil((F.length("text") + F.length(F.coalesce("result", F.lit("")))) / 4).alias("tokens"))
-    out = J.threshold_stream(_source(spark, rows, "ord", folder), 50)
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    _feed(rows, "ord", [20, 40], folder, lambda stream: _stored(J.threshold_stream(stream, 50), folder))
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -63,12 +71,13 @@ SELECT session_id, from_ord, ord AS to_ord, held AS tokens FROM r WHERE held >=
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user that an idle gap of two hours has closed by the end of the stream."""
+    """Sessions of a user that an idle gap of a day has closed by the end of the stream."""
     folder = _folder(spark, "stream-sessions")
     rows = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("at"))
     closing = rows.agg(F.lit("end").alias("session_id"), (F.max("at") + F.expr("interval 40 days")).alias("at"))
-    out = J.idle_sessions(_source(spark, rows.union(closing), "at", folder), days=1, lateness="1 hour")
-    out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)] if first else []
+    _feed(rows.union(closing), "at", cuts, folder, lambda stream: _stored(J.idle_sessions(stream, days=1, lateness="1 hour"), folder))
     return spark.read.parquet(f"{folder}/out").where("session_id != 'end'").select("session_id", F.unix_seconds("last_at").alias("last_s"), "n_messages")
 
 
@@ -82,20 +91,28 @@ SELECT session_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS
 def stream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections merged from micro-batch to micro-batch."""
     folder = _folder(spark, "stream-sections")
-    done: list[int] = []
 
-    def load() -> DataFrame | None:
-        return spark.read.parquet(f"{folder}/sections-{done[-1]}") if done else None
+    def load(sessions: DataFrame | None = None) -> DataFrame | None:
+        """The last stored sections of sessions, or of all."""
+        if not any_stored:
+            return None
+        rows = spark.read.parquet(f"{folder}/sections")
+        rows = rows if sessions is None else rows.join(sessions, "session_id", "left_semi")
+        newest = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("batch")))
+        return rows.withColumn("_n", newest).where("_n = 1").drop("_n", "batch")
 
     def save(sections: DataFrame, batch: int) -> None:
-        sections.write.mode("overwrite").parquet(f"{folder}/sections-{batch}")
-        done.append(batch)
+        sections.write.mode("overwrite").parquet(f"{folder}/sections/batch={batch}")
+        any_stored.append(batch)
+
+    any_stored: list[int] = []
+    _feed(S.tool_messages(spark, sf_dir), "ord", [30], folder, lambda stream: J.section_stream(stream, load, save, f"{folder}/state"))
+    return load().select("session_id", F.array_join("commits", "\n").alias("commits"), F.array_join("preferences", "\n").alias("preferences"), F.array_join("goals", "\n").alias("goals"), F.array_join("outstanding", "\n").alias("outstanding"), F.size("brief").alias("n_brief"))
 
-    stream = _source(spark, S.tool_messages(spark, sf_dir), "ord", folder, 2)
-    J.section_stream(stream, load, save, f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    merged = load()
-    return merged.select("session_id", F.array_join("commits", "\n").alias("commits"), F.array_join("preferences", "\n").alias("preferences"), F.size("brief").alias("n_brief"))
 
+#: Entries of the second batch are numbered from 0.
+_steps = merged_sql(sections_sql(f"SELECT * FROM ({A2}) WHERE ord < 30"), sections_sql(f"SELECT * REPLACE (ord - 30 AS ord) FROM ({A2}) WHERE ord >= 30"))
+SECTIONS_SQL = f"SELECT session_id, {', '.join(f'array_to_string({c}, chr(10)) AS {c}' for c in ('commits', 'preferences', 'goals', 'outstanding'))}, len(brief) AS n_brief FROM ({_steps})"
 
-QUERIES = {"stream_archive": stream_archive_calls, "stream_threshold": stream_threshold, "stream_sessions": stream_sessions, "stream_sections": stream_sections}
-ORACLE_SQL = {"stream_archive": ARCHIVE_SQL, "stream_threshold": THRESHOLD_SQL, "stream_sessions": SESSIONS_SQL}
+QUERIES = {"stream_archive": stream_archive, "stream_threshold": stream_threshold, "stream_sessions": stream_sessions, "stream_sections": stream_sections}
+ORACLE_SQL = {"stream_archive": ARCHIVE_SQL, "stream_threshold": THRESHOLD_SQL, "stream_sessions": SESSIONS_SQL, "stream_sections": SECTIONS_SQL}

@@ -53,12 +53,12 @@ SELECT session_id, ord, at_ts,
 FROM e
 """
 
-#: Memory items from documents.
+#: Memory items from documents: whole texts, in sessions of at most 1,000.
 ITEMS_SQL = """
-SELECT source AS session_id, doc_id AS ord, substr(md5(CAST(doc_id AS STRING)),1,12) AS id,
+SELECT source || '-' || CAST(CAST(floor(doc_id / 1000) AS INT) AS STRING) AS session_id, doc_id AS ord, substr(md5(CAST(doc_id AS STRING)),1,12) AS id,
   CASE CAST(floor(doc_id / 20) AS INT) % 5 WHEN 0 THEN 'constraint' WHEN 1 THEN 'lesson' WHEN 2 THEN 'decision' WHEN 3 THEN 'state' ELSE 'fact' END AS kind,
   CASE (doc_id % 7) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS relevance,
-  substr(replace(text, chr(10), ' '), 1, 200) AS content, doc_id * 1000 AS at_ms,
+  replace(text, chr(10), ' ') AS content, doc_id * 1000 AS at_ms,
   doc_id % 13 = 0 AS dropped, doc_id % 17 = 0 AS unclassified,
   substr(md5('e' || CAST(doc_id % 50 AS STRING)),1,12) AS source_entry
 FROM documents

@@ -26,13 +26,13 @@ def archive_stream(messages: DataFrame, path: str, checkpoint: str):
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def section_stream(messages: DataFrame, load: Callable[[], DataFrame | None], save: Callable[[DataFrame, int], None], checkpoint: str):
-    """Merge each micro-batch's sections into the stored ones. ``load`` gives those of earlier batches (None at first);
-    ``save`` gets all sessions' sections and the batch's number and must write them elsewhere than where they are read."""
+def section_stream(messages: DataFrame, load: Callable[[DataFrame], DataFrame | None], save: Callable[[DataFrame, int], None], checkpoint: str):
+    """Merge each micro-batch's sections into the stored ones of the sessions in it. ``load`` gets those sessions (session_id) and gives
+    what earlier batches stored of them (None at first); ``save`` gets their new sections and the batch's number."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         new = Y.build_sections(E.indexed(E.to_entries(rows)))
-        before = load()
+        before = load(new.select("session_id"))
         save(new if before is None else Y.merge_sections(before, new), batch_id)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
