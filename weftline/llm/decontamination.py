@@ -151,4 +151,20 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "item_id", F.col("start").alias("start_word"), F.col("length").alias("n_words"), "distance", F.round(F.col("shared") / F.col("total"), 6).alias("similarity"))
+    return found.select("doc_id", "item_id", F.col("start").alias("start_word"), F.col("length").alias("n_words"), F.round(F.col("shared") / F.col("total"), 6).alias("similarity"))
+
+
+#: All windows that begin with a shingle of an item of their length (or at the end of the document), without fingerprints.
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, len(words) AS size, i - 1 AS p, array_to_string(words[i : i + 4], ' ') AS gram FROM d, unnest(range(1, len(words) - 3)) AS t(i)),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS words FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+k AS (SELECT item_id, len(words) AS l, array_to_string(words[i : i + 4], ' ') AS gram, count(*) AS weight FROM b, unnest(range(1, len(words) - 3)) AS t(i) GROUP BY ALL),
+hits AS (SELECT doc_id, size, item_id, l, p, gram, weight FROM g JOIN k USING (gram)),
+starts AS (SELECT DISTINCT doc_id, l, greatest(0, least(p, size - l)) AS start FROM hits),
+scores AS (SELECT doc_id, item_id, l, start, least(size, l) - 4 AS held, sum(least(n, weight)) AS shared FROM (
+  SELECT doc_id, size, item_id, l, start, gram, weight, count(*) AS n FROM hits JOIN starts USING (doc_id, l) WHERE p >= start AND p < start + l - 4 GROUP BY ALL) GROUP BY ALL),
+found AS (SELECT *, shared / (held + l - 4 - shared) AS similarity FROM scores WHERE 100 * shared >= 75 * (held + l - 4 - shared))
+SELECT doc_id, item_id, CAST(start AS INT) AS start_word, CAST(l AS INT) AS n_words, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rank FROM found) WHERE rank = 1
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontamination import op7_decontamination
+from .decontamination import DECONTAMINATION_SQL, op7_decontamination
 from .near_dup import NEAR_DUP_SQL, op8_near_dup_join
 from .packing import conversation_packing, op4_packing
 from .pii import op6_pii
@@ -36,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": WARC_SQL,
     "op2_suffix_dedup": SUFFIX_SQL,
+    "op7_decontamination": DECONTAMINATION_SQL,
     "op8_near_dup_join": NEAR_DUP_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
     "word_count_rollup": WORD_COUNT_SQL,
