@@ -31,6 +31,7 @@ COMMITS_MAX, PREFS_MAX, PREFS_MERGED_MAX, OUTSTANDING_MAX, OUTSTANDING_WINDOW =
 BRIEF_USER_TOKENS, BRIEF_ASSISTANT_TOKENS, BRIEF_LINES, BRIEF_MERGED_LINES = 256, 200, 120, 300
 STATE_USER_TOKENS, STATE_ASSISTANT_TOKENS, STATE_PROPOSAL_TOKENS, STATE_TOOLS, STATE_RESULTS = 600, 900, 500, 8, 3
 PAGE_SIZE, SNIPPET, OUTPUT_MAX, EXPAND_TOOL_TEXT, LINES_PAGE = 8, 360, 48_000, 4_000, 40
+RETRY_WAIT_S = 30
 CHUNK_TOKENS, OBSERVE_AFTER, POOL_TOKENS, ITEM_TOKENS, OBSERVED_MAX = 20_000, 8_000, 6_000, 8, 20_000
 KIND_SHARES = {"constraint": 0.2, "lesson": 0.3, "decision": 0.25, "state": 0.1, "fact": 0.15}
 LASTING_KINDS = ["constraint", "lesson", "decision"]

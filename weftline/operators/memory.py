@@ -57,6 +57,17 @@ def budget_status(items: DataFrame, pool: int = P.POOL_TOKENS) -> DataFrame:
     return totals.select("session_id", "kind", "n_items", "tokens", budget.alias("budget"), (F.coalesce(F.col("kind").isin(P.LASTING_KINDS), F.lit(False)) & (F.col("tokens") > budget)).alias("over"))
 
 
+def status_report(items: DataFrame, entries: DataFrame, observed: DataFrame) -> DataFrame:
+    """session_id, n_active, n_items, pool_tokens, n_entries, n_pending, pending_tokens (of their raw texts) of each session with entries or items."""
+    live = ~F.coalesce("dropped", F.lit(False))
+    memory = items.groupBy("session_id").agg(F.sum(live.cast("long")).alias("n_active"), F.count("*").alias("n_items"), F.coalesce(F.sum(F.when(live, item_tokens())), F.lit(0)).alias("pool_tokens"))
+    seen = observed.select("session_id", "entry_id").distinct().withColumn("_seen", F.lit(True))
+    new = F.col("_seen").isNull()
+    rows = entries.select("session_id", "entry_id", T.estimate_tokens(F.col("text")).alias("tokens")).join(seen, ["session_id", "entry_id"], "left")
+    history = rows.groupBy("session_id").agg(F.count("*").alias("n_entries"), F.sum(new.cast("long")).alias("n_pending"), F.coalesce(F.sum(F.when(new, F.col("tokens"))), F.lit(0)).alias("pending_tokens"))
+    return history.join(memory, "session_id", "full").na.fill(0)
+
+
 def fit_budgets(items: DataFrame, pool: int = P.POOL_TOKENS) -> DataFrame:
     """``items`` with those dropped that don't fit their kind's budget: the least relevant first, then the oldest. What is
     not classified counts but stays. An item goes if the excess is not yet covered by those that go before it."""

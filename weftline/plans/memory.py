@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from ..functions import text as T
 from ..operators import memory as M
 from ..operators import retention as C
 from ..operators import search as R
+from ..sources import archive as A
 from ..sources import tables as S
+from ..sources.checkpoints import shared_dir
 from .history import A1, ENTRIES_SQL, talk
 
 POOL = 1500
@@ -40,6 +44,33 @@ SELECT session_id, id, ord, dropped OR (NOT unclassified AND before < excess) AS
 """
 
 
+def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with fifty items each as their memory; their second turns are observed."""
+    rows = talk(spark, sf_dir)
+    items = S.items(spark, sf_dir).withColumn("session_id", F.floor(F.col("ord") / 50).cast("string"))
+    return M.status_report(items, rows, rows.where("ord = 1"))
+
+
+REPORT_SQL = f"""
+WITH e AS (SELECT session_id, count(*) AS n_entries, count(*) FILTER (ord <> 1) AS n_pending, CAST(coalesce(sum(ceil(length(t) / 4.0)) FILTER (ord <> 1), 0) AS BIGINT) AS pending_tokens
+  FROM (SELECT session_id, ord, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM ({A1})) WHERE t <> '' GROUP BY session_id),
+m AS (SELECT CAST(CAST(floor(ord / 50) AS BIGINT) AS STRING) AS session_id, count(*) FILTER (NOT dropped) AS n_active, count(*) AS n_items, CAST(coalesce(sum({_TOK}) FILTER (NOT dropped), 0) AS BIGINT) AS pool_tokens FROM ({A3}) GROUP BY ALL)
+SELECT session_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_active", "n_items", "pool_tokens", "n_entries", "n_pending", "pending_tokens"))} FROM e FULL JOIN m USING (session_id)
+"""
+
+
+def ledger_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledgers trimmed to their budgets, stored and read again."""
+    path = f"{shared_dir(spark)}/ledgers-{uuid.uuid4().hex}"
+    stored = A.save_items(M.fit_budgets(S.items(spark, sf_dir), POOL), path)
+    return stored.select("session_id", "ord", "id", "kind", "relevance", F.md5("content").alias("digest"), F.array_join("sources", ",").alias("sources"), "dropped", "unclassified")
+
+
+SAVED_SQL = f"""
+SELECT session_id, ord, id, kind, relevance, md5(content) AS digest, source_entry AS sources, t.dropped, unclassified FROM ({A3}) i JOIN ({TRIM_SQL}) t USING (session_id, ord, id)
+"""
+
+
 def memory_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.memory_text(S.items(spark, sf_dir), marks=True)
 
@@ -240,9 +271,9 @@ def retained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 RETAINED_SQL = f"SELECT event_id, CAST(user_id AS STRING) AS session_id FROM events WHERE CAST(user_id AS STRING) NOT IN (SELECT session_id FROM ({STALE_SQL}))"
 
 QUERIES = {f.__name__: f for f in (
-    budget_status, budget_trim, memory_markdown, item_lineage, ledger_upsert, ledger_migrate, ledger_classify, observe_backlog, observe_chunks, observer_prompts, observer_replies, consolidate, worker_usage, stale_sessions, retained_rows,
+    budget_status, budget_trim, status_report, ledger_saved, memory_markdown, item_lineage, ledger_upsert, ledger_migrate, ledger_classify, observe_backlog, observe_chunks, observer_prompts, observer_replies, consolidate, worker_usage, stale_sessions, retained_rows,
 )}
 ORACLE_SQL = {
-    "budget_status": STATUS_SQL, "budget_trim": TRIM_SQL, "memory_markdown": MARKDOWN_SQL, "item_lineage": LINEAGE_SQL, "ledger_upsert": UPSERT_SQL, "ledger_migrate": MIGRATE_SQL, "ledger_classify": CLASSIFY_SQL, "observe_backlog": BACKLOG_SQL,
+    "budget_status": STATUS_SQL, "budget_trim": TRIM_SQL, "status_report": REPORT_SQL, "ledger_saved": SAVED_SQL, "memory_markdown": MARKDOWN_SQL, "item_lineage": LINEAGE_SQL, "ledger_upsert": UPSERT_SQL, "ledger_migrate": MIGRATE_SQL, "ledger_classify": CLASSIFY_SQL, "observe_backlog": BACKLOG_SQL,
     "observe_chunks": CHUNKS_SQL, "observer_prompts": PROMPTS_SQL, "observer_replies": REPLIES_SQL, "consolidate": CONSOLIDATE_SQL, "worker_usage": USAGE_SQL, "stale_sessions": STALE_SQL, "retained_rows": RETAINED_SQL,
 }

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..sources import tables as S
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import shared_dir
 from ..streaming import jobs as J
 from .history import A2, merged_sql, sections_sql
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        cut(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _feed(rows: DataFrame, order: str, cuts: list, folder: str, begin: Callable[[DataFrame], DataStreamWriter]) -> None:
@@ -55,18 +51,21 @@ def _stored(stream: DataFrame, folder: str) -> DataStreamWriter:
 
 
 def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of 50 tokens or more of each session's entries, with state kept from batch to batch."""
+    """Stretches of 50 tokens or more of each session's entries, not within six hours of a failed command; state is kept from batch to batch."""
     folder = _folder(spark, "stream-threshold")
-    rows = S.tool_log(spark, sf_dir).select("session_id", F.col("ord").cast("long").alias("ord"), F.ceil((F.length("text") + F.length(F.coalesce("result", F.lit("")))) / 4).alias("tokens"))
-    _feed(rows, "ord", [20, 40], folder, lambda stream: _stored(J.threshold_stream(stream, 50), folder))
+    tokens = F.ceil((F.length("text") + F.length(F.coalesce("result", F.lit("")))) / 4)
+    failed = F.coalesce(F.col("is_error") & (F.col("tool") == "Bash"), F.lit(False))
+    rows = S.tool_log(spark, sf_dir).select("session_id", F.col("ord").cast("long").alias("ord"), tokens.alias("tokens"), F.unix_seconds(F.col("at_ts").cast("timestamp")).alias("at_s"), failed.alias("failed"))
+    _feed(rows, "ord", [20, 40], folder, lambda stream: _stored(J.threshold_stream(stream, 50, 21600), folder))
     return spark.read.parquet(f"{folder}/out")
 
 
 THRESHOLD_SQL = f"""
-WITH RECURSIVE p AS (SELECT session_id, CAST(ord AS BIGINT) AS ord, CAST(ceil((length(text) + length(coalesce(result, ''))) / 4.0) AS BIGINT) AS tok FROM ({A2})),
-r AS (SELECT session_id, ord, ord AS from_ord, tok AS held FROM p WHERE ord = 0
-  UNION ALL SELECT p.session_id, p.ord, CASE WHEN r.held >= 50 THEN p.ord ELSE r.from_ord END, CASE WHEN r.held >= 50 THEN p.tok ELSE r.held + p.tok END FROM r JOIN p ON p.session_id = r.session_id AND p.ord = r.ord + 1)
-SELECT session_id, from_ord, ord AS to_ord, held AS tokens FROM r WHERE held >= 50
+WITH RECURSIVE p AS (SELECT session_id, CAST(ord AS BIGINT) AS ord, CAST(ceil((length(text) + length(coalesce(result, ''))) / 4.0) AS BIGINT) AS tok, CAST(floor(epoch(at_ts)) AS BIGINT) AS at_s, coalesce(is_error AND tool = 'Bash', false) AS failed FROM ({A2})),
+r AS (SELECT session_id, ord, ord AS from_ord, tok AS held, at_s, CASE WHEN failed THEN at_s ELSE -1000000 END AS failed_at FROM p WHERE ord = 0
+  UNION ALL SELECT p.session_id, p.ord, CASE WHEN r.held >= 50 AND r.at_s - r.failed_at >= 21600 THEN p.ord ELSE r.from_ord END, CASE WHEN r.held >= 50 AND r.at_s - r.failed_at >= 21600 THEN p.tok ELSE r.held + p.tok END, p.at_s,
+    CASE WHEN p.failed THEN p.at_s ELSE r.failed_at END FROM r JOIN p ON p.session_id = r.session_id AND p.ord = r.ord + 1)
+SELECT session_id, from_ord, ord AS to_ord, held AS tokens FROM r WHERE held >= 50 AND at_s - failed_at >= 21600
 """
 
 

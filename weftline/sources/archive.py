@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entries as E
 from ..operators import memory as M
+from .checkpoints import cut
 
 #: Segment files of one session each, as JSON arrays.
 SEGMENT = "id string, key string, role string, text string, index long, at long, tools array<struct<name: string, input: map<string,string>, text: string, isError: boolean>>"
@@ -63,7 +64,9 @@ def append_entries(entries: DataFrame, path: str, buckets: int = 64, at: Column
     else:
         rows = E.indexed(rows)
     rows = rows.withColumn("at", F.coalesce("at", at if at is not None else F.current_timestamp()))
-    rows.select(*COLUMNS, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    # what is returned is what was written, whoever reads it
+    rows = cut(rows.select(*COLUMNS, "bucket"))
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
     return rows
 
 
@@ -72,6 +75,17 @@ def export_memory(items: DataFrame, path: str) -> None:
     M.memory_text(items).write.mode("overwrite").parquet(path)
 
 
+def save_items(items: DataFrame, path: str) -> DataFrame:
+    """Write ledgers as one row an item, in place of what is at ``path``, which ``items`` must not be read from; returns what is stored."""
+    items.select(*M.ITEM).write.mode("overwrite").parquet(path)
+    return items.sparkSession.read.parquet(path)
+
+
+def load_sections(spark: SparkSession, path: str, summaries: DataFrame) -> DataFrame:
+    """The sections stored at ``path`` that belong to the last summaries (session_id, summary): those with their hash."""
+    return spark.read.parquet(path).join(summaries.select("session_id", F.md5("summary").alias("summary_hash")), ["session_id", "summary_hash"], "left_semi")
+
+
 def save_sections(sections: DataFrame, summaries: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Stored sections with those of ``sections`` in place of their sessions' old ones, each with its summary's hash."""
     new = sections.join(summaries.select("session_id", F.md5("summary").alias("summary_hash")), "session_id")

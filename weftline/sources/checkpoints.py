@@ -5,16 +5,23 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the folder of ``spark.checkpoint.dir``; where that is unset and Spark is one local process (tests), in a
-    temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark is one local process (tests), a temporary one."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        configured = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -45,20 +45,22 @@ def idle_sessions(messages: DataFrame, days: int = 30, lateness: str = "1 day")
     return found.select("session_id", F.col("session_window.start").alias("first_at"), "last_at", "n_messages")
 
 
-def threshold_stream(rows: DataFrame, least: int = P.OBSERVE_AFTER) -> DataFrame:
-    """session_id, from_ord, to_ord, tokens each time that the unobserved tokens of a session (session_id, ord, tokens) reach
-    ``least``; they then start again from none. State is one row a session: tokens, first and last place."""
+def threshold_stream(rows: DataFrame, least: int = P.OBSERVE_AFTER, wait_s: int = P.RETRY_WAIT_S) -> DataFrame:
+    """session_id, from_ord, to_ord, tokens each time that the unobserved tokens of a session (session_id, ord, tokens, at_s, failed) reach
+    ``least`` and its last failed worker call is ``wait_s`` seconds ago; they then start again from none. State is one row a session:
+    tokens, first place, time of the last failure."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, first = state.get if state.exists else (0, -1)
+        held, first, failed_at = state.get if state.exists else (0, -1, -1)
         out = []
         for row in pd.concat(list(frames)).sort_values("ord").itertuples():
             first = row.ord if first < 0 else first
             held += row.tokens
-            if held >= least:
+            failed_at = row.at_s if row.failed else failed_at
+            if held >= least and (failed_at < 0 or row.at_s - failed_at >= wait_s):
                 out.append((key[0], first, row.ord, held))
                 held, first = 0, -1
-        state.update((held, first))
+        state.update((held, first, failed_at))
         yield pd.DataFrame(out, columns=["session_id", "from_ord", "to_ord", "tokens"])
 
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, from_ord long, to_ord long, tokens long", "tokens long, first long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, from_ord long, to_ord long, tokens long", "tokens long, first long, failed_at long", "append", GroupStateTimeout.NoTimeout)
