@@ -131,7 +131,7 @@ def test_long_transcripts_start_at_a_turn(spark):
     assert got.a == ["...(2 earlier lines omitted)", *lines[2:]] and got.b == lines and got.c == ["...(2 earlier lines omitted)", *lines[2:]]
 
 
-def test_steps_merge(spark):
+def test_steps_merge(spark, tmp_path):
     first = Y.build_sections(entries(spark, *TALK), "/w")
     second = Y.build_sections(entries(spark, ("user", "Instead update the manual"), ("assistant", "", call("9", "Write", "File created successfully", file_path="/w/m.md"), call("10", "Read", file_path="/w/src/load.ts"))), "/w")
     new = Y.build_sections(entries(spark, ("user", "Build a new thing"), session="t"), "/w")
@@ -141,6 +141,10 @@ def test_steps_merge(spark):
     text = Y.format_summary(first, instructions="brief").first().summary
     assert text.startswith("[session summary]\n") and "[Session Goal]\n- ローダー" in text and "[Compaction Instructions]\nbrief" in text and text.endswith(Y.RECALL_NOTE)
     stored = A.save_sections(first, Y.format_summary(first), None)
+    path = f"{tmp_path}/sections"
+    stored.write.parquet(path)
+    assert A.load_sections(spark, path, Y.format_summary(first)).count() == stored.count()
+    assert A.load_sections(spark, path, Y.format_summary(first, instructions="other")).count() == 0
     found = Y.with_previous(second, stored, Y.format_summary(first)).first()
     lost = Y.with_previous(second, stored.withColumn("summary_hash", F.lit("x")), Y.format_summary(first)).first()
     assert found.commits == ["abc1234 fix: loader"] and lost.commits == [] and lost.brief[0].startswith("[session summary]")
