@@ -181,6 +181,25 @@ def test_anomalies_are_found_by_labelled_rows(spark):
     assert quality.judge(rows.limit(0), labels).count() == 0
 
 
+def test_forest_scores_are_those_of_single_walks():
+    rng = np.random.default_rng(9)
+    rows = np.vstack([rng.normal(size=(150, 4)), [[9, -9, 9, 9]]])
+    forest = quality.Forest.grow(rows, trees=40, sample=32, seed=3)
+    means = []
+    for row in rows:
+        lengths = []
+        for t in range(40):
+            node, steps = 0, 0
+            while forest.feature[t, node] >= 0:
+                node, steps = int(forest.left[t, node]) + int(row[forest.feature[t, node]] >= forest.value[t, node]), steps + 1
+            # a leaf of several rows stands for the splits that they would still need
+            assert steps <= forest.length[t, node] and (steps == 5 or forest.length[t, node] == steps)
+            lengths.append(forest.length[t, node])
+        means.append(np.mean(lengths))
+    harmonic = 2 * (np.log(31) + 0.5772156649) - 2 * 31 / 32
+    assert np.allclose(forest.score(rows), 2 ** (-np.array(means) / harmonic)) and np.argmax(forest.score(rows)) == 150
+
+
 def test_threshold_is_that_of_all_labelled_rows(spark):
     h = lambda k: F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(1000))
     word = F.concat(F.lit("w"), F.col("id").cast("string"), F.repeat(F.lit("b"), (h(4) % 40).cast("int")), F.repeat(F.lit("C"), (h(5) % 40).cast("int")))

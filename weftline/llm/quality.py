@@ -22,7 +22,8 @@ from . import words as W
 from .workspace import cut
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks"]
-#: What the forest splits on: shares, and the mean length of a word.
+#: What the forest splits on: shares, and the mean length of a word. A text's length alone is no fault, and lines that repeat are
+#: among the repeated words if they are long and often numbers or names if they are not.
 FEATURES = ["word_length", "symbols", "repeats", "upper", "marks", "letters"]
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"!?;:()[]{}|/\\\"'"
@@ -163,7 +164,7 @@ def judge(
     ones, that with most bad ones rejected is taken, the highest of equals. With no labelled row of both kinds
     nothing is rejected as an anomaly.
 
-    A null or empty text has 0 words and fails the fixed rules. Repeated rows get equal results; a null id is never
+    Texts may be of any length. A null or empty text has 0 words and fails the fixed rules. Repeated rows get equal results; a null id is never
     labelled; labels that repeat for an id count each time. Empty tables give empty results; other columns are ignored.
     """
     counts = cut(measure(docs, id_col, text_col).withColumn("base_failed", base_failed()))

@@ -83,7 +83,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     Rows are numbered by (id, size, CRC, text hash, place in the input), so equal input gives equal shards
     whatever its partitions, up to rows that are equal in id and text. Repeated rows are numbered apart. A null
-    text counts as no bytes and CRC 0, a null id sorts first. An empty table gives an empty result; other columns
+    text counts as no bytes and CRC 0, a null id sorts first; texts may be of any length. An empty table gives an empty result; other columns
     are ignored.
     """
     text = F.col(text_col).cast("string")
