@@ -42,6 +42,13 @@ NOISE_TOOLS = ["TodoWrite", "TodoRead", "ToolSearch", "AskUserQuestion", "EnterP
 READ_TOOLS = ["Read", "NotebookRead"]
 WRITE_TOOLS = ["Edit", "MultiEdit", "Write", "NotebookEdit"]
 READ_ONLY_PROGRAMS = ["cat", "head", "tail", "less", "sed", "grep", "rg", "ag", "find", "fd", "ls", "tree", "wc", "sort", "uniq", "cut", "jq", "awk", "echo", "printf", "pwd", "which", "file", "stat", "diff", "cd", "true"]
+#: How programs name the files that they write.
+WRITING_PROGRAMS = {"cat": "redirect", "echo": "redirect", "printf": "redirect", "tee": "arguments", "sed": "in place"}
+
+# What is left out of a shown command.
+LEADING_CD = r"^\s*cd\s+\S+\s*(&&|;)\s*"
+LEADING_ASSIGNMENTS = r"^(\s*[A-Za-z_][A-Za-z0-9_]*=\S*\s*(;|&&)?\s*)+"
+TRAILING_PAGER = r"\s*\|\s*(head|tail|sort|wc|uniq)(?![A-Za-z0-9_])[^|]*\z"
 
 # Patterns of cleaning.
 WRAPPER_TAGS = "system-reminder|ide_opened_file|ide_selection|command-message|command-name|command-args|local-command-stdout|local-command-caveat|user-prompt-submit-hook"

@@ -137,9 +137,8 @@ def is_work_path(path: Column) -> Column:
 
 def compress_command(c: Column, most: int = 120) -> Column:
     """A command without a leading cd, assignments and trailing pagers, on one line."""
-    c = F.regexp_replace(c, r"^\s*cd\s+\S+\s*(&&|;)\s*", "")
-    c = F.regexp_replace(c, r"^(\s*[A-Za-z_][A-Za-z0-9_]*=\S*\s*(;|&&)?\s*)+", "")
-    c = F.regexp_replace(c, r"\s*\|\s*(head|tail|sort|wc|uniq)(?![A-Za-z0-9_])[^|]*\z", "")
+    for left_out in (P.LEADING_CD, P.LEADING_ASSIGNMENTS, P.TRAILING_PAGER):
+        c = F.regexp_replace(c, left_out, "")
     return clip(trim_u(F.regexp_replace(c, f"[{P.BLANK}]+", " ")), most)
 
 
