@@ -150,6 +150,40 @@ _key = "CASE WHEN command LIKE 'grep%' THEN 'grep' WHEN command LIKE 'git%' THEN
 SHELL_SQL = f"SELECT session_id, {_key} AS command_key, command LIKE 'grep%' AS read_only, count(*) AS n_calls, CAST(0 AS BIGINT) AS n_writes FROM ({A2}) WHERE command IS NOT NULL GROUP BY ALL"
 
 
+_commands = """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'echo x > out/m' || event_id || '.txt' WHEN 1 THEN 'sed -i s/a/b/ src/m' || event_id || '.ts' WHEN 2 THEN 'cd src && cat m.ts | tee log/m' || event_id || '.log'
+  WHEN 3 THEN 'cd /work/app && printf y >> notes' || event_id || '.md' WHEN 4 THEN 'ls -l src | head' ELSE 'npm test 2> /dev/null' END AS command FROM events
+"""
+
+
+def shell_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands that redirect, edit in place, split output, change folders, only read, and discard what they print."""
+    found = with_shell_features(S.adapted(spark, sf_dir, _commands, "events"))
+    return found.select("event_id", "command_key", "read_only", F.array_join("writes", ",").alias("writes"))
+
+
+WRITES_SQL = """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'echo x' WHEN 1 THEN 'sed' WHEN 2 THEN 'cat' WHEN 3 THEN 'printf y' WHEN 4 THEN 'ls' ELSE 'npm test' END AS command_key, event_id % 6 = 4 AS read_only,
+  CASE event_id % 6 WHEN 0 THEN 'out/m' || event_id || '.txt' WHEN 1 THEN 'src/m' || event_id || '.ts' WHEN 2 THEN 'log/m' || event_id || '.log' WHEN 3 THEN '/work/app/notes' || event_id || '.md' ELSE '' END AS writes FROM events
+"""
+
+
+def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in terminal colours and a host's wrapper, those of even ids after three CJK characters."""
+    cjk = F.when(F.col("doc_id") % 2 == 0, "直して").otherwise("")
+    marked = F.concat(F.lit("\x1b[1;31m"), F.lit("<system-reminder>not the\nuser's</system-reminder> \x07"), cjk, "text", F.lit("\x1b[0m"))
+    t = F.col("t")
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", T.strip_wrappers(T.sanitize(marked)).alias("t"))
+    return rows.select("doc_id", F.md5(t).alias("digest"), T.has_cjk(t).alias("cjk"), T.estimate_tokens(t).alias("tokens"), T.clip_tokens(t, 50).alias("few_tokens"), F.size(T.search_tokens(t)).alias("n_terms"))
+
+
+MARKED_SQL = rf"""
+WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS cjk, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN '直して' ELSE '' END || text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(t) AS digest, cjk, CAST(ceil((length(t) + CASE WHEN cjk THEN 9 ELSE 0 END) / 4.0) AS BIGINT) AS tokens,
+  CASE WHEN length(t) + CASE WHEN cjk THEN 9 ELSE 0 END <= 200 THEN t ELSE substr(t, 1, CASE WHEN cjk THEN 191 ELSE 200 END) || '…' END AS few_tokens, len({_tokens_sql("t")}) + CASE WHEN cjk THEN 2 ELSE 0 END AS n_terms FROM d
+"""
+
+
 def tool_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.tool_folds(work(spark, sf_dir)).select("session_id", "island", F.col("n").alias("n_calls"), "failed", "line")
 
@@ -480,11 +514,11 @@ SELECT r.session_id || '/' || no AS query_id, ref, rank, score, n_hits, trim(reg
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, entries, archive_corpus, new_entries, window_entries, text_scalars, token_report, noise_filtered, tool_one_liners, shell_features, tool_fold, brief_transcript, files_touched, open_errors, outstanding,
+    bm25_topk, entries, archive_corpus, new_entries, window_entries, text_scalars, marked_texts, token_report, noise_filtered, tool_one_liners, shell_features, shell_writes, tool_fold, brief_transcript, files_touched, open_errors, outstanding,
     commits, session_goals, preferences, user_reports, last_state, current_state, sections_merge, session_summary, compaction_report, query_routes, regex_hits, file_hits, entry_lines, expanded_entries, recall_snippet,
 )}
 ORACLE_SQL = {
-    "bm25_topk": BM25_SQL, "entries": ENTRIES_SQL, "archive_corpus": ARCHIVE_SQL, "new_entries": NEW_SQL, "window_entries": WINDOW_SQL, "text_scalars": SCALARS_SQL, "token_report": TOKENS_SQL, "noise_filtered": NOISE_SQL,
+    "bm25_topk": BM25_SQL, "entries": ENTRIES_SQL, "archive_corpus": ARCHIVE_SQL, "new_entries": NEW_SQL, "window_entries": WINDOW_SQL, "text_scalars": SCALARS_SQL, "marked_texts": MARKED_SQL, "shell_writes": WRITES_SQL, "token_report": TOKENS_SQL, "noise_filtered": NOISE_SQL,
     "tool_one_liners": LINERS_SQL, "shell_features": SHELL_SQL, "tool_fold": FOLD_SQL, "files_touched": FILES_SQL, "open_errors": ERRORS_SQL, "outstanding": OUTSTANDING_SQL, "commits": COMMITS_SQL, "session_goals": GOALS_SQL,
     "preferences": PREFERENCES_SQL, "user_reports": REPORTS_SQL, "last_state": STATE_SQL, "query_routes": ROUTES_SQL, "regex_hits": REGEX_SQL, "brief_transcript": BRIEF_SQL, "current_state": CURRENT_SQL, "sections_merge": MERGE_SQL, "session_summary": SUMMARY_SQL, "compaction_report": COMPACTION_SQL,
     "expanded_entries": EXPANDED_SQL, "recall_snippet": RECALL_SQL, "file_hits": FILE_SQL, "entry_lines": LINES_SQL,
