@@ -86,6 +86,21 @@ def test_keys_are_counted_in_levels(spark, partitions, fan):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_chance_collisions_are_told_by_other_keys(spark):
+    """First keys of three bits collide all the time; with other keys only what is repeated counts."""
+    rows = [(k, f"word{k if k % 5 else 1}") for k in range(1, 120)]
+    exact = lambda texts: np.concatenate([np.zeros(0, np.uint64), *(W.words(data, offsets)[0] for _, data, offsets in W.slices(texts))])
+
+    def work(table, grades, checked):
+        own = exact(table.column("text"))
+        first = grades.of(own & np.uint64(7)) > 0
+        first[first] = checked.of(own[first]) > 0
+        return pa.table({"id": table.column("id"), "again": pa.array(first.tolist())})
+
+    out = with_grades(chunked(spark.createDataFrame(rows, "id long, text string"), "id", "text"), lambda texts: exact(texts) & np.uint64(7), work, "id long, again boolean", again=lambda texts, grades: exact(texts)[grades.of(exact(texts) & np.uint64(7)) > 0])
+    assert {r.id for r in out.collect() if r.again} == {k for k, t in rows if t == "word1"}
+
+
 def test_packed_rows_grow_with_the_chunks():
     for n in (200, 1000, 10_000, 1_000_000, 5_000_000):
         levels, fan = shape(n, 256)

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +65,9 @@ def shape(n: int, fan: int) -> tuple[int, int]:
     return levels, even if even**levels >= n else even + 1
 
 
-def replies(chunks: DataFrame, keys: Keys, fan: int = FAN) -> DataFrame:
-    """(child, part, grades): for a chunk's distinct keys in ascending order, in parts.
+def replies(chunks: DataFrame, keys: Callable[..., np.ndarray], fan: int = FAN, before: DataFrame | None = None) -> DataFrame:
+    """(child, part, grades): for a chunk's distinct keys in ascending order, in parts. With ``before``, replies to other keys, ``keys`` takes
+    the texts and the chunk's part of them.
 
     A node of a level is numbered ``group * fan ** level + range``: it has the keys of one of ``fan ** level`` ranges of
     ``fan ** level`` chunks, a group. Chunks are the nodes of level 0.
@@ -98,8 +100,11 @@ def replies(chunks: DataFrame, keys: Keys, fan: int = FAN) -> DataFrame:
         grades = grades[where]
         return pa.table({"child": table.column("child"), "part": table.column("part"), "grades": pa.array([grades[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    def first(key: tuple, table: pa.Table) -> pa.Table:
-        return sent(key[0].as_py(), 1, *np.unique(keys(table.column("text")), return_counts=True))
+    def first(key: tuple, table: pa.Table, *answer: pa.Table) -> pa.Table:
+        return sent(key[0].as_py(), 1, *np.unique(keys(table.column("text"), *answer), return_counts=True))
+
+    def first_after(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
+        return first(key, table, answer)
 
     def on(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
         return lambda key, table: sent(key[0].as_py(), level, *merged(table)[:2])
@@ -113,7 +118,8 @@ def replies(chunks: DataFrame, keys: Keys, fan: int = FAN) -> DataFrame:
         return answers(table, joined(answer, len(own)), where, cut)
 
     runs, reply = "node long, child long, part int, keys binary, counts binary", "child long, part int, grades binary"
-    up = [chunks.groupBy("chunk").applyInArrow(first, runs)]
+    own = chunks.groupBy("chunk")
+    up = [own.applyInArrow(lambda key, table: first(key, table), runs) if before is None else own.cogroup(before.groupBy("child")).applyInArrow(first_after, runs)]
     for level in range(2, levels + 1):
         up.append(up[-1].groupBy("node").applyInArrow(on(level), runs))
     out = up[-1].groupBy("node").applyInArrow(top, reply)
@@ -143,11 +149,26 @@ class Grades:
         return self.grades[np.searchsorted(self.keys, keys)]
 
 
-def with_grades(chunks: DataFrame, keys: Keys, work: Callable[[pa.Table, Grades], Iterator[pa.Table] | pa.Table], schema: str, fan: int = FAN) -> DataFrame:
-    """``work`` on each chunk (id, text) with the corpus-wide grades of its keys."""
+def with_grades(chunks: DataFrame, keys: Keys, work: Callable[..., Iterator[pa.Table] | pa.Table], schema: str, fan: int = FAN, again: Callable[[pa.ChunkedArray, Grades], np.ndarray] | None = None) -> DataFrame:
+    """``work`` on each chunk (id, text) with the corpus-wide grades of its keys. With ``again``, which gives other keys of what is repeated by
+    the first ones, also with the grades of those, so that ``work`` can tell chance collisions."""
+    answer = replies(chunks, keys, fan)
+    if again is None:
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left, Grades(keys(left.column("text")), right))
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return work(left, Grades(keys(left.column("text")), right))
 
-    answer = replies(chunks, keys, fan)
-    return chunks.groupBy("chunk").cogroup(answer.groupBy("child")).applyInArrow(run, schema)
+        return chunks.groupBy("chunk").cogroup(answer.groupBy("child")).applyInArrow(run, schema)
+
+    def others(texts: pa.ChunkedArray, own: pa.Table) -> np.ndarray:
+        return again(texts, Grades(keys(texts), own))
+
+    def run_again(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.column("text")
+        turns = [right.filter(pc.equal(right.column("turn"), k)) for k in (0, 1)]
+        grades = Grades(keys(texts), turns[0])
+        return work(left, grades, Grades(again(texts, grades), turns[1]))
+
+    checked = replies(chunks, others, fan, answer)
+    both = answer.withColumn("turn", F.lit(0)).union(checked.withColumn("turn", F.lit(1)))
+    return chunks.groupBy("chunk").cogroup(both.groupBy("child")).applyInArrow(run_again, schema)

@@ -1,9 +1,9 @@
 """Operator 10: substring dedup by Rabin-Karp hashes of every fixed-length token window.
 
 Every window of ``width`` words of every text is hashed; the hashes are counted over the whole
-corpus (``multiplicity``), and words in a window that occurs again merge into maximal intervals
-to remove. Windows are judged on the input. Two different windows count as equal with a chance
-of about n * n / 2**65 for n windows.
+corpus (``multiplicity``), those that occur again once more by other hashes, and words in a window that occurs again by
+both merge into maximal intervals to remove. Windows are judged on the input. Of n windows, about n * n / 2**65 pairs of different
+ones agree in the first hash; that one of those agrees in the second too has a chance of about n * n / 2**129.
 """
 
 from __future__ import annotations
@@ -34,13 +34,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def keys(texts: pa.ChunkedArray) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *(W.windows(*W.words(data, offsets), width)[0] for _, data, offsets in W.slices(texts))])
 
-    def work(table: pa.Table, grades: Grades) -> pa.Table:
+    def others(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return W.windows(W.mix(hashes ^ W.K1), first, width)[0]
+
+    def again(texts: pa.ChunkedArray, grades: Grades) -> np.ndarray:
+        out = [np.zeros(0, np.uint64)]
+        for _, data, offsets in W.slices(texts):
+            own = W.words(data, offsets)
+            out.append(others(*own)[grades.of(W.windows(*own, width)[0]) > 0])
+        return np.concatenate(out)
+
+    def work(table: pa.Table, grades: Grades, checked: Grades) -> pa.Table:
         n_words, removed, kept, digests, cuts = [], [], [], [], []
         ids, texts = table.column("id"), table.column("text")
         for _, data, offsets in W.slices(texts):
             hashes, first = W.words(data, offsets)
             found, at = W.windows(hashes, first, width)
-            gone = W.covered(at[grades.of(found) > 0], width, len(hashes))
+            twice = np.flatnonzero(grades.of(found) > 0)
+            twice = twice[checked.of(others(hashes, first)[twice]) > 0]
+            gone = W.covered(at[twice], width, len(hashes))
             for k in range(len(offsets) - 1):
                 own = gone[first[k] : first[k + 1]]
                 here = data[offsets[k] : offsets[k + 1]].tobytes().split()
@@ -63,7 +75,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "removed": pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
-    return with_grades(chunked(docs, id_col, text_col), keys, work, SCHEMA).withColumnRenamed("id", id_col)
+    return with_grades(chunked(docs, id_col, text_col), keys, work, SCHEMA, again=again).withColumnRenamed("id", id_col)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
