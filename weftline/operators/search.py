@@ -24,7 +24,8 @@ def routed(queries: DataFrame, raw: str = "raw") -> DataFrame:
         # the last one holds
         out = out.withColumn(f"_{name}", F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(raw), F.lit(pattern), F.lit(1))), -1))
         rest = F.regexp_replace(rest, pattern, " ")
-    out = out.withColumn("_rest", T.trim_u(rest))
+    # computed here, once
+    out = out.select("*", F.explode(F.array(T.trim_u(rest))).alias("_rest"))
     q, mode = F.col("_rest"), F.col("_mode")
     slashed = F.regexp_extract(q, r"^/([\s\S]+)/[imsu]*\z", 1)
     flags = F.regexp_extract(q, r"^/[\s\S]+/([imsu]*)\z", 1)
