@@ -231,6 +231,9 @@ def test_entities_are_replaced_alike_and_distinctly(spark):
     digits = [int(c) for c in same]
     assert card.replace(" ", "") == same and sum(d if k % 2 else (2 * d) // 10 + (2 * d) % 10 for k, d in enumerate(digits)) % 10 == 0 and all(int(x) < 256 for x in ip.split("."))
     assert re.fullmatch(r"г-жа [А-Я]\w+а [А-Я]\w+р DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", text[6])
+    assert pii.replace_pii(rows.limit(0).withColumnRenamed("n_entities", "N_ENTITIES"), "k").columns == ["doc_id", "text", "found", "n_entities"]
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_pii(rows, "")
     assert pii.replace_pii(rows.limit(0), "k").count() == 0 and pii.replace_pii(rows, "k").columns == ["doc_id", "text", "found", "n_entities"]
 
 
