@@ -91,8 +91,8 @@ def test_chance_collisions_are_told_by_other_keys(spark):
     rows = [(k, f"word{k if k % 5 else 1}") for k in range(1, 120)]
     exact = lambda texts: np.concatenate([np.zeros(0, np.uint64), *(W.words(data, offsets)[0] for _, data, offsets in W.slices(texts))])
 
-    def work(table, grades, checked):
-        own = exact(table.column("text"))
+    def work(table, texts, grades, checked):
+        own = exact(texts)
         first = grades.of(own & np.uint64(7)) > 0
         first[first] = checked.of(own[first]) > 0
         return pa.table({"id": table.column("id"), "again": pa.array(first.tolist())})

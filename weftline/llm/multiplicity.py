@@ -31,6 +31,18 @@ FAN = 256
 Keys = Callable[[pa.ChunkedArray], np.ndarray]
 
 
+class Once:
+    """``make`` of texts, computed once while the same texts are asked for."""
+
+    def __init__(self, make: Callable[[pa.ChunkedArray], object]):
+        self.make, self.texts, self.value = make, None, None
+
+    def __call__(self, texts: pa.ChunkedArray) -> object:
+        if texts is not self.texts:
+            self.texts, self.value = texts, self.make(texts)
+        return self.value
+
+
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys with the bytes of equal weight together: the high ones compress well."""
     return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -151,7 +163,7 @@ class Grades:
 
 def with_grades(chunks: DataFrame, keys: Keys, work: Callable[..., Iterator[pa.Table] | pa.Table], schema: str, fan: int = FAN, again: Callable[[pa.ChunkedArray, Grades], np.ndarray] | None = None) -> DataFrame:
     """``work`` on each chunk (id, text) with the corpus-wide grades of its keys. With ``again``, which gives other keys of what is repeated by
-    the first ones, also with the grades of those, so that ``work`` can tell chance collisions."""
+    the first ones, ``work`` takes the texts as they were given to both, and the grades of those keys too, so that it can tell chance collisions."""
     answer = replies(chunks, keys, fan)
     if again is None:
 
@@ -167,7 +179,7 @@ def with_grades(chunks: DataFrame, keys: Keys, work: Callable[..., Iterator[pa.T
         texts = left.column("text")
         turns = [right.filter(pc.equal(right.column("turn"), k)) for k in (0, 1)]
         grades = Grades(keys(texts), turns[0])
-        return work(left, grades, Grades(again(texts, grades), turns[1]))
+        return work(left, texts, grades, Grades(again(texts, grades), turns[1]))
 
     checked = replies(chunks, others, fan, answer)
     both = answer.withColumn("turn", F.lit(0)).union(checked.withColumn("turn", F.lit(1)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .multiplicity import Grades, chunked, with_grades
+from .multiplicity import Grades, Once, chunked, with_grades
 
 SCHEMA = "id long, n_words long, n_removed long, kept_text string, kept_sha256 string, removed array<struct<start: long, end: long>>"
 
@@ -31,25 +31,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored. A text with fewer words than ``width`` is kept whole.
     """
 
+    def hashed(texts: pa.ChunkedArray) -> list[tuple]:
+        """Bytes, offsets, word hashes, first words, window hashes and places of runs of texts."""
+        out = []
+        for _, data, offsets in W.slices(texts):
+            own = W.words(data, offsets)
+            out.append((data, offsets, *own, *W.windows(*own, width)))
+        return out
+
+    once = Once(hashed)
+
     def keys(texts: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(W.windows(*W.words(data, offsets), width)[0] for _, data, offsets in W.slices(texts))])
+        return np.concatenate([np.zeros(0, np.uint64), *(x[4] for x in once(texts))])
 
     def others(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         return W.windows(W.mix(hashes ^ W.K1), first, width)[0]
 
     def again(texts: pa.ChunkedArray, grades: Grades) -> np.ndarray:
-        out = [np.zeros(0, np.uint64)]
-        for _, data, offsets in W.slices(texts):
-            own = W.words(data, offsets)
-            out.append(others(*own)[grades.of(W.windows(*own, width)[0]) > 0])
-        return np.concatenate(out)
+        return np.concatenate([np.zeros(0, np.uint64), *(others(x[2], x[3])[grades.of(x[4]) > 0] for x in once(texts))])
 
-    def work(table: pa.Table, grades: Grades, checked: Grades) -> pa.Table:
+    def work(table: pa.Table, texts: pa.ChunkedArray, grades: Grades, checked: Grades) -> pa.Table:
         n_words, removed, kept, digests, cuts = [], [], [], [], []
-        ids, texts = table.column("id"), table.column("text")
-        for _, data, offsets in W.slices(texts):
-            hashes, first = W.words(data, offsets)
-            found, at = W.windows(hashes, first, width)
+        ids = table.column("id")
+        for data, offsets, hashes, first, found, at in once(texts):
             twice = np.flatnonzero(grades.of(found) > 0)
             twice = twice[checked.of(others(hashes, first)[twice]) > 0]
             gone = W.covered(at[twice], width, len(hashes))
