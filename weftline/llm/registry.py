@@ -12,6 +12,7 @@ from .near_dup import NEAR_DUP_SQL, op8_near_dup_join
 from .packing import conversation_packing, op4_packing
 from .pii import op6_pii
 from .quality import RULE_COUNTS_SQL, op5_quality_rules, rule_counts
+from .ranked_search import SEARCH_SQL, op13_ranked_search
 from .sharding import op3_sharding
 from .substring_dedup import SUBSTRING_SQL, op10_substring_dedup
 from .suffix_dedup import SUFFIX_SQL, op2_suffix_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_url_filters": op11_url_filters,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
     "conversation_packing": conversation_packing,
     "word_count_rollup": word_count_rollup,
     "rule_counts": rule_counts,
@@ -45,6 +47,7 @@ ORACLE_SQL: dict[str, str] = {
     "op10_substring_dedup": SUBSTRING_SQL,
     "op11_url_filters": URL_SQL,
     "op12_hard_negatives": NEGATIVES_SQL,
+    "op13_ranked_search": SEARCH_SQL,
     "word_count_rollup": WORD_COUNT_SQL,
     "rule_counts": RULE_COUNTS_SQL,
 }
