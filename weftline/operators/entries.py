@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as T
@@ -12,15 +17,14 @@ from ..functions import text as T
 ORDER = ["window_id", "ord"]
 
 
-def to_entries(messages: DataFrame, ids_per_window: bool = False) -> DataFrame:
-    """session_id, window_id, ord, role, text, tools, at, key, entry_id.
+def cleaned(messages: DataFrame) -> DataFrame:
+    """session_id, window_id, ord, role, text, tools, at, called: what is left of messages, without ids.
 
-    Summaries, user messages without own text and assistant messages with neither text nor calls go. A message with
-    calls is keyed by their ids. Any other is keyed by the texts since the last message with calls, so the same list
-    of messages gets the same ids again; ``ids_per_window`` tells equal beginnings of different lists apart.
+    Summaries, user messages without own text and assistant messages with neither text nor calls go. ``called`` is the ids of an
+    assistant message's calls, null without any.
     """
-    cleaned = T.sanitize(F.col("text"))
-    text = F.when(F.col("role") == "user", T.strip_wrappers(cleaned)).otherwise(T.trim_u(cleaned))
+    plain = T.sanitize(F.col("text"))
+    text = F.when(F.col("role") == "user", T.strip_wrappers(plain)).otherwise(T.trim_u(plain))
     tools = F.transform(
         "tool_uses",
         lambda u: F.struct(
@@ -30,23 +34,57 @@ def to_entries(messages: DataFrame, ids_per_window: bool = False) -> DataFrame:
             F.coalesce(u["is_error"], F.lit(False)).alias("is_error"),
         ),
     )
-    called = (F.col("role") == "assistant") & (F.size("tool_uses") > 0)
-    call_ids = F.when(called, F.concat(F.lit("a:"), F.array_join(F.transform("tool_uses", lambda u: u["tool_use_id"]), ",")))
-    rows = messages.where(~F.col("text").startswith(P.SENTINEL)).select("session_id", "window_id", "ord", "role", text.alias("text"), tools.alias("tools"), "at", call_ids.alias("_anchor"))
-    rows = rows.where((F.col("text") != "") | F.col("_anchor").isNotNull()).withColumn("tools", F.when(F.col("role") == "assistant", F.col("tools")).otherwise(F.slice("tools", 1, 0)))
-    own = F.md5(F.concat("role", F.lit("\n"), "text"))
-    session = Window.partitionBy("session_id", "window_id").orderBy("ord")
-    before = session.rowsBetween(Window.unboundedPreceding, -1)
-    # only hashes and ids go through the windows
-    chain = rows.select("session_id", "window_id", "ord", "role", "_anchor", own.alias("_own"))
-    chain = chain.withColumn("_last", F.coalesce(F.last("_anchor", ignorenulls=True).over(before), F.lit("")))
-    chain = chain.withColumn("_group", F.count("_anchor").over(session.rowsBetween(Window.unboundedPreceding, 0)))
-    since = Window.partitionBy("session_id", "window_id", "_group").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    texts = F.collect_list(F.when(F.col("_anchor").isNull(), F.col("_own"))).over(since)
-    start = [F.col("window_id").cast("string")] if ids_per_window else []
-    key = F.coalesce("_anchor", F.concat(F.substring("role", 1, 1), F.lit(":"), F.concat_ws("|", *start, F.col("_last"), texts)))
-    chain = chain.select("session_id", "window_id", "ord", key.alias("key"))
-    return rows.drop("_anchor").join(chain, ["session_id", "window_id", "ord"]).withColumn("entry_id", T.hash_id(F.col("key")))
+    calls = (F.col("role") == "assistant") & (F.size("tool_uses") > 0)
+    called = F.when(calls, F.array_join(F.transform("tool_uses", lambda u: u["tool_use_id"]), ","))
+    rows = messages.where(~F.col("text").startswith(P.SENTINEL)).select("session_id", "window_id", "ord", "role", text.alias("text"), tools.alias("tools"), "at", called.alias("called"))
+    rows = rows.where((F.col("text") != "") | F.col("called").isNotNull())
+    return rows.withColumn("tools", F.when(F.col("role") == "assistant", F.col("tools")).otherwise(F.slice("tools", 1, 0)))
+
+
+def first_key(window: int, ids_per_window: bool = False) -> str:
+    """What the chain of keys of a message list begins with."""
+    return f"{window}|" if ids_per_window else ""
+
+
+def next_key(before: str, role: str, called: str | None, own: str) -> str:
+    """A message's key: the ids of its calls, or else a hash of the key before it and its own text's hash."""
+    if called is not None:
+        return "a:" + called
+    return role[:1] + ":" + hashlib.md5(f"{before}\n{own}".encode(), usedforsecurity=False).hexdigest()
+
+
+def entry_id_of(key: str) -> str:
+    """The same id as in ``with_keys``."""
+    return hashlib.md5(key.encode(), usedforsecurity=False).hexdigest()[:12]
+
+
+def with_keys(rows: DataFrame, ids_per_window: bool = False) -> DataFrame:
+    """``cleaned`` rows with key and entry_id. A session's rows pass one task in order, which holds nothing but the key before."""
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, key = None, ""
+        for batch in batches:
+            keys = []
+            for session, window, role, called, own in zip(*(batch.column(c).to_pylist() for c in ("session_id", "window_id", "role", "called", "_own")), strict=True):
+                if (session, window) != place:
+                    place, key = (session, window), first_key(window, ids_per_window)
+                key = next_key(key, role, called, own)
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, "key"])
+
+    own = rows.withColumn("_own", F.md5("text")).repartition("session_id").sortWithinPartitions("session_id", *ORDER)
+    keyed = own.mapInArrow(chained, StructType([*own.schema.fields, StructField("key", StringType())]))
+    return keyed.drop("called", "_own").withColumn("entry_id", T.hash_id(F.col("key")))
+
+
+def to_entries(messages: DataFrame, ids_per_window: bool = False) -> DataFrame:
+    """session_id, window_id, ord, role, text, tools, at, key, entry_id.
+
+    A message with calls is keyed by their ids. Any other is keyed by a chain of hashes: of the key before and its own text. So the same list
+    of messages gets the same ids again, and equal texts after different ones get different ids; ``ids_per_window`` tells equal beginnings of
+    different lists apart.
+    """
+    return with_keys(cleaned(messages), ids_per_window)
 
 
 def indexed(entries: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -26,6 +26,12 @@ def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the tool log without ids, which most queries don't look at."""
+    return E.indexed(E.cleaned(S.tool_messages(spark, sf_dir)).drop("called"))
+
+
+def named_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the tool log with ids."""
     return E.indexed(E.to_entries(S.tool_messages(spark, sf_dir)))
 
 
@@ -59,9 +65,10 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRIES_SQL = rf"""
-WITH m AS (SELECT session_id, ord, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM ({A1})),
-k AS (SELECT *, row_number() OVER w - 1 AS index, substr(role, 1, 1) || ':|' || string_agg(md5(role || chr(10) || text), '|') OVER w AS key
-      FROM m WHERE text <> '' WINDOW w AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WITH RECURSIVE t AS (SELECT session_id, ord, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM ({A1})),
+m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ord) - 1 AS index FROM t WHERE text <> ''),
+k AS (SELECT *, substr(role, 1, 1) || ':' || md5(chr(10) || md5(text)) AS key FROM m WHERE index = 0
+  UNION ALL SELECT m.*, substr(m.role, 1, 1) || ':' || md5(k.key || chr(10) || md5(m.text)) FROM k JOIN m ON m.session_id = k.session_id AND m.index = k.index + 1)
 SELECT session_id, ord, role, text, index, substr(md5(key), 1, 12) AS entry_id FROM k
 """
 
@@ -78,7 +85,7 @@ ARCHIVE_SQL = f"SELECT session_id, entry_id, index, CASE WHEN ord <= 3 THEN 'arc
 
 def window_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the corpus whose key is in a live window that begins after the first ones."""
-    whole = work(spark, sf_dir)
+    whole = named_work(spark, sf_dir)
     return E.in_window(whole, whole.where("ord >= 20 and role = 'assistant'")).select("session_id", "ord", "role")
 
 
@@ -426,7 +433,7 @@ SELECT CAST(user_id AS STRING) || '/' || n AS query_id, kind, page, scope, term,
 
 def regex_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = R.routed(_asked(spark, sf_dir))
-    hits = R.regex_hits(R.documents(work(spark, sf_dir)), queries)
+    hits = R.regex_hits(R.documents(named_work(spark, sf_dir)), queries)
     return R.page_of(hits, [F.desc("doc_ord")], F.col("page")).select("query_id", F.col("doc_ord").alias("index"), "rank", "n_hits")
 
 
@@ -440,7 +447,7 @@ SELECT query_id, index, rank, n_hits FROM r WHERE rank <= 8
 
 
 def file_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.file_hits(work(spark, sf_dir), R.routed(_asked(spark, sf_dir)), CWD)
+    hits = R.file_hits(named_work(spark, sf_dir), R.routed(_asked(spark, sf_dir)), CWD)
     return R.page_of(hits, [F.desc("index")], F.col("page")).select("query_id", "index", "rank", "n_hits", "lines")
 
 
@@ -463,14 +470,16 @@ SELECT query_id, index, line_no, l[line_no] AS line FROM x WHERE lower(l[line_no
 
 
 def expanded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = work(spark, sf_dir)
+    whole = named_work(spark, sf_dir)
     items = whole.where("role = 'user'").select("session_id", F.col("index").alias("ord"), F.concat(F.lit("i"), F.col("index").cast("string")).alias("id"), F.array("entry_id").alias("sources"), F.lit(False).alias("dropped"))
     return R.expanded(whole, items, R.routed(_asked(spark, sf_dir)), CWD).select("query_id", "entry_id", "text", F.array_join("related", ",").alias("related"))
 
 
 _entry_ids = f"""
-SELECT *, substr(md5(CASE WHEN role = 'assistant' THEN 'a:' || tool_use_id ELSE 'u:' || coalesce(called, '') || '|' || string_agg(md5(role || chr(10) || text), '|') OVER (PARTITION BY session_id, n_calls ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END), 1, 12) AS entry_id
-FROM (SELECT *, last_value('a:' || tool_use_id IGNORE NULLS) OVER w AS called, CASE WHEN role = 'user' THEN count(tool_use_id) OVER w ELSE -ord END AS n_calls FROM ({A2}) WINDOW w AS (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WITH RECURSIVE m AS ({A2}),
+k AS (SELECT *, CASE WHEN role = 'assistant' THEN 'a:' || tool_use_id ELSE 'u:' || md5(chr(10) || md5(text)) END AS key FROM m WHERE ord = 0
+  UNION ALL SELECT m.*, CASE WHEN m.role = 'assistant' THEN 'a:' || m.tool_use_id ELSE 'u:' || md5(k.key || chr(10) || md5(m.text)) END FROM k JOIN m ON m.session_id = k.session_id AND m.ord = k.ord + 1)
+SELECT *, substr(md5(key), 1, 12) AS entry_id FROM k
 """
 EXPANDED_SQL = f"""
 SELECT session_id || '/3' AS query_id, entry_id, concat_ws(chr(10), '#12 [' || entry_id || '] ' || role, nullif(text, ''), chr(10) || '• ' || tool || ': ' || coalesce(command, replace(file_path, '/work/app/', '')) || CASE WHEN is_error THEN ' (error)' ELSE '' END,
@@ -486,7 +495,7 @@ def _remembered(entries: DataFrame) -> DataFrame:
 
 def recall_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The asked page of every text query on its session and scope, memory items before entries, each with a snippet."""
-    whole = cut(work(spark, sf_dir))
+    whole = cut(named_work(spark, sf_dir))
     docs = cut(R.documents(whole, _remembered(whole)))
     queries = cut(R.routed(_asked(spark, sf_dir)).where("kind = 'text'"))
     keys = ["session_id", "ref", "doc_ord"]

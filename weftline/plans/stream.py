@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -30,20 +30,32 @@ def _feed(rows: DataFrame, order: str, cuts: list, folder: str, begin: Callable[
         begin(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries that the stream has archived, numbered on from batch to batch."""
-    folder = _folder(spark, "stream-archive")
-    _feed(S.tool_messages(spark, sf_dir), "ord", [20, 40], folder, lambda stream: J.archive_stream(stream, f"{folder}/archive", f"{folder}/state"))
-    return spark.read.parquet(f"{folder}/archive").select("session_id", "entry_id", "role", "index")
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool log as message lists that begin anew at the fortieth message; the second one begins with the last calls of the first."""
+    rows = S.tool_messages(spark, sf_dir)
+    again = rows.where("ord between 36 and 39 and role = 'assistant'").withColumns({"window_id": F.lit(1), "ord": F.col("ord") - 36})
+    return rows.withColumns({"window_id": (F.col("ord") >= 40).cast("int"), "ord": F.when(F.col("ord") >= 40, F.col("ord") - 36).otherwise(F.col("ord"))}).union(again.select(rows.columns)).withColumn("at_ord", F.col("window_id") * 36 + F.col("ord"))
 
 
-#: Ids of user entries begin anew with each batch.
-ARCHIVE_SQL = f"""
-WITH a AS (SELECT *, CASE WHEN ord < 20 THEN 0 WHEN ord < 40 THEN 1 ELSE 2 END AS batch FROM ({A2})),
-c AS (SELECT *, last_value('a:' || tool_use_id IGNORE NULLS) OVER w AS called, CASE WHEN role = 'user' THEN count(tool_use_id) OVER w ELSE -ord END AS n_calls FROM a WINDOW w AS (PARTITION BY session_id, batch ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT session_id, role, ord AS index, substr(md5(CASE WHEN role = 'assistant' THEN 'a:' || tool_use_id
-  ELSE 'u:' || batch || '|' || coalesce(called, '') || '|' || string_agg(md5(role || chr(10) || text), '|') OVER (PARTITION BY session_id, batch, n_calls ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END), 1, 12) AS entry_id FROM c
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that the stream has archived, in batches that begin and end within lists."""
+    folder = _folder(spark, "stream-archive")
+    _feed(_lists(spark, sf_dir), "at_ord", [17, 50], folder, lambda stream: J.archive_stream(stream, f"{folder}/archive", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/archive").select("session_id", "window_id", "entry_id", "role", "index")
+
+
+#: Over all of the input: keys by recursion, each entry in the first list that has it.
+LISTS_SQL = f"""
+WITH RECURSIVE l AS (SELECT * REPLACE (CASE WHEN ord >= 40 THEN ord - 36 ELSE ord END AS ord), CASE WHEN ord >= 40 THEN 1 ELSE 0 END AS window_id FROM ({A2})
+  UNION ALL SELECT * REPLACE (ord - 36 AS ord), 1 AS window_id FROM ({A2}) WHERE ord BETWEEN 36 AND 39 AND role = 'assistant'),
+m AS (SELECT *, row_number() OVER (PARTITION BY session_id, window_id ORDER BY ord) - 1 AS n FROM l),
+k AS (SELECT *, CASE WHEN role = 'assistant' THEN 'a:' || tool_use_id ELSE 'u:' || md5(chr(10) || md5(text)) END AS key FROM m WHERE n = 0
+  UNION ALL SELECT m.*, CASE WHEN m.role = 'assistant' THEN 'a:' || m.tool_use_id ELSE 'u:' || md5(k.key || chr(10) || md5(m.text)) END FROM k JOIN m ON m.session_id = k.session_id AND m.window_id = k.window_id AND m.n = k.n + 1),
+f AS (SELECT *, substr(md5(key), 1, 12) AS entry_id, min(window_id) OVER (PARTITION BY session_id, key) = window_id AS fresh FROM k),
+i AS (SELECT *, row_number() OVER (PARTITION BY session_id, fresh ORDER BY window_id, ord) - 1 AS place FROM f)
+SELECT * EXCLUDE (place), CASE WHEN fresh THEN place ELSE min(CASE WHEN fresh THEN place END) OVER (PARTITION BY session_id, key) END AS index FROM i
 """
+ARCHIVE_SQL = f"SELECT session_id, CAST(window_id AS INTEGER) AS window_id, entry_id, role, index FROM ({LISTS_SQL}) WHERE fresh"
 
 
 def _stored(stream: DataFrame, folder: str) -> DataStreamWriter:
@@ -88,29 +100,16 @@ SELECT session_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS
 
 
 def stream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections merged from micro-batch to micro-batch."""
+    """Sections of each session up to its last list, fed in batches that begin and end within lists."""
     folder = _folder(spark, "stream-sections")
-
-    def load(sessions: DataFrame | None = None) -> DataFrame | None:
-        """The last stored sections of sessions, or of all."""
-        if not any_stored:
-            return None
-        rows = spark.read.parquet(f"{folder}/sections")
-        rows = rows if sessions is None else rows.join(sessions, "session_id", "left_semi")
-        newest = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("batch")))
-        return rows.withColumn("_n", newest).where("_n = 1").drop("_n", "batch")
-
-    def save(sections: DataFrame, batch: int) -> None:
-        sections.write.mode("overwrite").parquet(f"{folder}/sections/batch={batch}")
-        any_stored.append(batch)
-
-    any_stored: list[int] = []
-    _feed(S.tool_messages(spark, sf_dir), "ord", [30], folder, lambda stream: J.section_stream(stream, load, save, f"{folder}/state"))
-    return load().select("session_id", F.array_join("commits", "\n").alias("commits"), F.array_join("preferences", "\n").alias("preferences"), F.array_join("goals", "\n").alias("goals"), F.array_join("outstanding", "\n").alias("outstanding"), F.size("brief").alias("n_brief"))
+    _feed(_lists(spark, sf_dir), "at_ord", [45], folder, lambda stream: J.section_stream(stream, folder, f"{folder}/state"))
+    rows = J.latest_sections(spark, folder)
+    return rows.select("session_id", F.array_join("commits", "\n").alias("commits"), F.array_join("preferences", "\n").alias("preferences"), F.array_join("goals", "\n").alias("goals"), F.array_join("outstanding", "\n").alias("outstanding"), F.size("brief").alias("n_brief"))
 
 
-#: Entries of the second batch are numbered from 0.
-_steps = merged_sql(sections_sql(f"SELECT * FROM ({A2}) WHERE ord < 30"), sections_sql(f"SELECT * REPLACE (ord - 30 AS ord) FROM ({A2}) WHERE ord >= 30"))
+#: Over all of the input: the sections of both lists, whose entries have the numbers of the archive.
+_list = lambda n: f"SELECT * EXCLUDE (ord, index, key, entry_id, n, fresh, window_id), index AS ord FROM ({LISTS_SQL}) WHERE window_id = {n}"
+_steps = merged_sql(sections_sql(_list(0)), sections_sql(_list(1)))
 SECTIONS_SQL = f"SELECT session_id, {', '.join(f'array_to_string({c}, chr(10)) AS {c}' for c in ('commits', 'preferences', 'goals', 'outstanding'))}, len(brief) AS n_brief FROM ({_steps})"
 
 QUERIES = {"stream_archive": stream_archive, "stream_threshold": stream_threshold, "stream_sessions": stream_sessions, "stream_sections": stream_sections}
