@@ -36,8 +36,9 @@ BEAM = 128
 TERM = np.zeros(256, dtype=bool)
 TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Bits that are set in four, and in those below each of them.
-ONES = np.array([bin(m).count("1") for m in range(16)], dtype=np.int64)
-BELOW = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], dtype=np.int64)
+ONES = np.array([bin(m).count("1") for m in range(16)], dtype=np.int32)
+BELOW = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], dtype=np.int32)
+HAS = np.array([[m >> q & 1 == 1 for q in range(4)] for m in range(16)])
 RANGE = "n_docs int, levels int, n_all long, terms_all long, ids binary, sizes binary, terms binary, rows binary, dfs binary, masks binary, maxima binary, point_rows binary, point_cols binary, point_tfs binary"
 
 
@@ -149,12 +150,13 @@ class Treap:
         masks = np.frombuffer(r["masks"], dtype=np.uint8)
         single = masks == 0
         # one more cell, of no points, for what isn't there
-        self.none = len(masks)
-        self.mask = np.append(masks, 0).astype(np.int64)
-        self.first = np.concatenate([[1], 1 + np.cumsum(ONES[masks])])
-        self.value = np.zeros(len(masks) + 1, dtype=np.int64)
-        self.row, self.col = (np.full(len(masks) + 1, -1, dtype=np.int64) for _ in range(2))
-        cols = _unpack(r["point_cols"]).astype(np.int64)
+        self.none = np.int32(len(masks))
+        self.mask = np.append(masks, np.uint8(0))
+        self.first = np.ones(len(masks) + 1, dtype=np.int32)
+        np.cumsum(ONES[masks], out=self.first[1:])
+        self.first[1:] += 1
+        self.value, self.row, self.col = (np.full(len(masks) + 1, x, dtype=np.int32) for x in (0, -1, -1))
+        cols = _unpack(r["point_cols"])
         at = np.flatnonzero(single)
         self.row[at], self.col[at] = _unpack(r["point_rows"]), cols
         self.value[np.flatnonzero(~single)] = _unpack(r["maxima"])
@@ -163,24 +165,24 @@ class Treap:
     def places(self, terms: np.ndarray) -> np.ndarray:
         """The row of each term, or -1."""
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, self.rows[at].astype(np.int64), -1)
+        return np.where(self.terms[at] == terms, self.rows[at].astype(np.int32), -1)
 
     def children(self, cells: np.ndarray, level: np.ndarray, rows: np.ndarray, half: int) -> np.ndarray:
         """For each row (columns) of each frontier cell (lines), the cell of its quarter in one half of the documents."""
-        shift = (self.levels - 1 - level)[:, None]
+        shift = (self.levels - 1 - level)[:, None].astype(np.int32)
         quarter = ((rows >> shift) & 1) * 2 + half
         mask = self.mask[cells]
-        down = np.where((mask >> quarter) & 1 == 1, self.first[np.minimum(cells, self.none)] + BELOW[mask, quarter], self.none)
+        down = np.where(HAS[mask, quarter], self.first[cells] + BELOW[mask, quarter], self.none)
         out = np.where(mask > 0, down, np.where((self.col[cells] >> shift) & 1 == half, cells, self.none))
         # a lone point of another row
         return np.where((self.row[out] >= 0) & (self.row[out] != rows), self.none, out)
 
     def search(self, rows: np.ndarray, weights: np.ndarray, best: Best) -> int:
         """Put the documents that may be among the best into ``best``, the best bounds first; returns the number of cells opened."""
-        cells, level = np.zeros((1, len(rows)), dtype=np.int64), np.zeros(1, dtype=np.int64)
+        cells, level = np.zeros((1, len(rows)), dtype=np.int32), np.zeros(1, dtype=np.int64)
         if self.mask[0] == 0:
             cells[0, self.row[0] != rows] = self.none
-        bound = self.value[cells] @ weights
+        bound = self.value[cells].astype(np.int64) @ weights
         opened = 0
         while True:
             alive = bound >= max(1, best.floor[0])
@@ -199,7 +201,7 @@ class Treap:
                 now, later = np.arange(len(cells)), np.zeros(0, dtype=np.int64)
             opened += len(now)
             new = np.concatenate([self.children(cells[now], level[now], rows, half) for half in (0, 1)])
-            cells, level, bound = np.concatenate([cells[later], new]), np.concatenate([level[later], level[now] + 1, level[now] + 1]), np.concatenate([bound[later], self.value[new] @ weights])
+            cells, level, bound = np.concatenate([cells[later], new]), np.concatenate([level[later], level[now] + 1, level[now] + 1]), np.concatenate([bound[later], self.value[new].astype(np.int64) @ weights])
 
     def _score(self, cells: np.ndarray, weights: np.ndarray, best: Best) -> None:
         line, k = np.nonzero(cells != self.none)
