@@ -28,7 +28,7 @@ from .hard_negatives import NO_ID, Best
 from .workspace import cut, new_dir
 
 #: Documents and bytes of text in a range (a longer text is one by itself).
-DOCS, BYTES = 4096, 16 << 20
+DOCS, BYTES = 4096, 6 << 20
 #: Terms searched at once, on average.
 ASKED = 1 << 18
 #: Cells of an item's frontier that are opened at once.
