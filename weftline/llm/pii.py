@@ -72,6 +72,8 @@ DIGITS = ["phone", "ssn", "card"]
 NAMES = ["person", "name"]
 #: After so many attempts, and again each time, surrogates become longer, so that small spaces do not run out.
 WIDER = 2
+#: How many there are of the kinds that can't be made longer.
+SPACES = {"ssn": 10**9, "ip": 1 << 32}
 #: Syllables of names and their ends by gender.
 SYLLABLES = {
     "Cyrillic": (["ба", "ве", "го", "да", "до", "за", "ка", "ла", "ли", "ма", "ми", "на", "не", "но", "па", "ре", "ро", "са", "си", "та", "те", "ва", "ви", "ра"], {"m": "н", "f": "а", "n": "р"}),
@@ -196,13 +198,15 @@ def surrogate(kind: Column, form: Column, gender: Column, attempt: Column, noise
     card = F.concat(body, F.pmod(-luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     country, account = F.substr(form, F.lit(1), F.lit(2)), F.substr(mapped, F.lit(5))
     iban = F.concat(country, F.lpad((98 - mod_97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
+    # a short address has few of its shape
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.lpad(F.hex(_number(noise, i)), 4, "0"))), ":")
     hexes = F.array_join(F.transform(_chars(form), lambda c, i: F.when(c.between("a", "f"), F.char(F.lit(97) + _number(noise, i) % 6)).otherwise(_other(c, _number(noise, i)))), "")
     # country codes from 1 and 7 have one digit, most others two
     code = F.when(form.rlike("^[17]"), 1).otherwise(2)
     top = F.regexp_extract(form, r"\.[^.]+\z", 0)
     return (
         F.when(kind == "ip", octets)
-        .when(kind == "ip6", hexes)
+        .when(kind == "ip6", F.when(attempt < WIDER, hexes).otherwise(whole))
         .when(kind == "card", card)
         .when(kind == "phone", F.concat(F.substr(form, F.lit(1), code), F.char(F.lit(50) + _number(noise, F.lit(1)) % 8), F.substr(mapped, code + 2), digits))
         .when(kind == "iban", iban)
@@ -220,11 +224,16 @@ def surrogates(forms: DataFrame, key: str) -> DataFrame:
     that occurs.
 
     In each turn the first form of those that share a surrogate keeps it; the others, and those whose surrogate
-    occurs, make another attempt. It ends when nothing changes: names have syllables for over 60 times their number, addresses, secrets,
-    phone numbers and names become longer after ``WIDER`` attempts, and the other kinds have 10 ** 9 surrogates or more.
+    occurs, make another attempt. It ends when nothing changes, as each kind has room: names have syllables for over 60 times their number; addresses with @,
+    secrets, phone numbers and names become longer after ``WIDER`` attempts, and short network addresses become whole ones; keys, accounts and cards have
+    10 ** 11 surrogates or more. Where a kind of fixed length has more forms than half of its ``SPACES``, there can be no such surrogates, which is an error.
     """
     forms = cut(forms.select("kind", "form", F.col("gender") if "gender" in forms.columns else F.lit("n").alias("gender")))
-    names, syllables = forms.where("kind = 'name'").count(), 2
+    counts = {r["kind"]: r["count"] for r in forms.groupBy("kind").count().collect()}
+    for kind, space in SPACES.items():
+        if 2 * counts.get(kind, 0) > space:
+            raise ValueError(f"{counts[kind]} of the kind {kind} leave too few surrogates")
+    names, syllables = counts.get("name", 0), 2
     while 24**syllables < 64 * names:
         syllables += 1
 
@@ -319,5 +328,10 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     return out.select(*((F.col("new") if c == text_col else F.col("d").getField(c)).alias(c) for c in names), F.col("n").alias(count_col))
 
 
+def job_key(spark: SparkSession) -> str:
+    """The secret of a job, from ``spark.weftline.surrogates.key``; a known one where it isn't set, as in tests."""
+    return spark.conf.get("spark.weftline.surrogates.key", "surrogates-1")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), key="surrogates-1").select("doc_id", "text", "n_entities")
+    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), key=job_key(spark)).select("doc_id", "text", "n_entities")
