@@ -86,7 +86,7 @@ def prefix_size(n: int, lone: int, percent: int) -> int:
 
 
 def _groups(nodes: DataFrame, percent: int) -> DataFrame:
-    """id, node, n, bytes, group (hash of size and prefix), tokens (the prefix)."""
+    """id, place, node, n, bytes, group (hash of size and prefix), tokens (the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +97,11 @@ def _groups(nodes: DataFrame, percent: int) -> DataFrame:
                 tokens.append(head)
                 sizes.append(len(keys))
             yield pa.record_batch({
-                "id": batch.column("id"), "node": batch.column("node"), "n": batch.column("n"), "bytes": pa.array(sizes, pa.int64()),
+                "id": batch.column("id"), "place": batch.column("place"), "node": batch.column("node"), "n": batch.column("n"), "bytes": pa.array(sizes, pa.int64()),
                 "group": pa.array(groups, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64())),
             })
 
-    return nodes.select("id", "node", "n", "lone", "keys").mapInArrow(run, "id long, node long, n long, bytes long, group long, tokens array<long>")
+    return nodes.select("id", "place", "node", "n", "lone", "keys").mapInArrow(run, "id long, place long, node long, n long, bytes long, group long, tokens array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense: float = 0.02) -> np.ndarray:
@@ -194,27 +194,27 @@ def spanning(left: np.ndarray, right: np.ndarray, links: np.ndarray) -> list[tup
 
 
 def linked_sets(nodes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20, most_members: int = 1024) -> DataFrame:
-    """(node, low, comp) of sets (id, node, n, lone, keys), of which equal ones share a node: the smallest id of a node, and
-    the components of nodes at a Jaccard similarity of ``percent`` or more.
+    """(node, low, comp) of sets (id, place, node, n, lone, keys), of which equal ones share a node: the smallest id of a node, and
+    the components of nodes at a Jaccard similarity of ``percent`` or more. No two sets have one ``place``.
 
     Groups that share prefix shingles, directly or through others, are a family; links never leave one. A family is one
     unit of work up to ``most_tokens`` shingles and ``most_members`` members. A larger one is split by sizes (of steps in which
     the threshold spans one) and by hash, and each two parts near in size are a unit.
     """
     first = lambda c: F.first(c).alias(c)
-    by_node = cut(_groups(nodes, percent).groupBy("node").agg(F.min("id").alias("low"), *map(first, ("n", "bytes", "group", "tokens"))))
+    by_node = cut(_groups(nodes, percent).groupBy("node").agg(F.min(F.struct("id", "place")).alias("lowest"), *map(first, ("n", "bytes", "group", "tokens"))).withColumns({"low": F.col("lowest.id"), "place": F.col("lowest.place")}).drop("lowest"))
     postings = by_node.groupBy("group").agg(first("tokens")).select("group", F.explode("tokens").alias("token"))
     leads = postings.groupBy("token").agg(F.min("group").alias("lead"), F.max("group").alias("last")).where("lead < last").select("token", "lead")
     edges = postings.join(leads, "token").where("group != lead").select("group", "lead").distinct()
     families = components(edges, "group", "lead").select(F.col("node").alias("group"), F.col("component").alias("family"))
     several = by_node.groupBy("group").agg(F.count("*").alias("members")).where("members > 1").select("group", F.lit(True).alias("several"))
-    placed = by_node.select("node", "low", "group", "n", "bytes").join(families, "group", "left").join(several, "group", "left")
+    placed = by_node.select("node", "place", "group", "n", "bytes").join(families, "group", "left").join(several, "group", "left")
     placed = placed.where(F.col("family").isNotNull() | F.col("several"))
 
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     # a large family's rows meet its sizes in several tasks
     salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")
-    sized = cut(placed.select("node", "low", "group", F.coalesce("family", "group").alias("family"), "bytes", step.alias("step"), salt.alias("salt")))
+    sized = cut(placed.select("node", "place", "group", F.coalesce("family", "group").alias("family"), "bytes", step.alias("step"), salt.alias("salt")))
     parts_of = lambda: F.greatest(F.ceil(F.sum("bytes") / (8 * most_tokens)), F.ceil(F.count("*") / most_members)).cast("int")
     whole = sized.groupBy("family").agg(parts_of().alias("all_parts"))
     steps = cut(sized.groupBy("family", "step").agg(parts_of().alias("parts")).join(whole, "family"))
@@ -231,9 +231,9 @@ def linked_sets(nodes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20,
     lower = F.transform(upto(F.coalesce("below", F.lit(0))), lambda k: units(down, k, step_, part, F.lit(1)))
     alone = F.array(F.struct(F.col("family").cast("string").alias("unit"), none.alias("side")))
     near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sent = sized.join(near, ["family", "step", "salt"], "left").select("node", "low", "group", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(mine, higher, lower))).alias("to"))
-    # one row of each node brings its keys
-    full = nodes.select("node", F.col("id").alias("low"), "n", "lone", "keys").join(sent, ["node", "low"]).select("to.unit", "node", "group", "n", "lone", "keys", "to.side")
+    sent = sized.join(near, ["family", "step", "salt"], "left").select("node", "place", "group", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.concat(mine, higher, lower))).alias("to"))
+    # one row of each node brings its keys, also where an id repeats
+    full = nodes.select("node", "place", "n", "lone", "keys").join(sent, ["node", "place"]).select("to.unit", "node", "group", "n", "lone", "keys", "to.side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple[int, int]] = []
@@ -270,9 +270,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or empty text has an empty set and no link; texts may be of any length. Rows that share an id get the smallest classes and components of any of
     them; rows with a null id link nothing and get nulls. An empty table gives an empty result, other columns are ignored.
     """
-    sets = cut(_sets(docs, id_col, text_col, width, percent))
+    sets = cut(_sets(docs, id_col, text_col, width, percent).withColumn("place", F.monotonically_increasing_id()))
     nodes = sets.where("node is not null and id is not null")
-    lows = linked_sets(nodes.select("id", "node", F.col("n_shingles").alias("n"), "lone", "keys"), percent)
+    lows = linked_sets(nodes.select("id", "place", "node", F.col("n_shingles").alias("n"), "lone", "keys"), percent)
     lowest = lows.groupBy("comp").agg(F.min("low").alias("component"))
     by_node = lows.join(lowest, "comp").select("node", "low", "component")
     by_id = nodes.select("id", "node").join(by_node, "node").groupBy("id").agg(F.min("low").alias("class"), F.min("component").alias("component"))
