@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline.llm.decontamination import without_leaks
 from weftline.llm.near_dup import near_duplicates
 from weftline.llm.packing import pack
-from weftline.llm.pii import replace_pii
+from weftline.llm.pii import job_key, replace_pii
 from weftline.llm.quality import judge
 from weftline.llm.workspace import new_dir
 
@@ -44,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates, and the number of characters follows."""
-    replaced = replace_pii(docs, key="surrogates-1")
+    replaced = replace_pii(docs, key=job_key(spark))
     return replaced.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
