@@ -1,10 +1,14 @@
-"""Search over session history and memory: BM25, patterns, files, entries and ids, for a table of queries."""
+"""Search over session history and memory: BM25, patterns, files, entries and ids, for a table of queries.
+
+Postings of terms and of trigrams can be kept: each batch of documents adds its own, and searches then read no texts, or only those of candidates.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import matching as G
 from ..functions import patterns as P
 from ..functions import text as T
 from ..sources.checkpoints import cut
@@ -15,7 +19,10 @@ K1, B = 1.2, 0.75
 
 
 def routed(queries: DataFrame, raw: str = "raw") -> DataFrame:
-    """``queries`` with page, scope, kind (file, index, id, regex, text or error), term, entry and drill from the raw text."""
+    """``queries`` with page, scope, kind (file, index, id, regex, text or error), term, entry, drill and error (why a query is none) from the raw text.
+
+    A pattern that can't be read makes its query an error and no other.
+    """
     filters = [("page", "[0-9]+"), ("scope", "all|history|memory"), ("mode", "file|text|regex")]
     out = queries
     rest = T.trim_u(F.col(raw))
@@ -41,7 +48,9 @@ def routed(queries: DataFrame, raw: str = "raw") -> DataFrame:
         "entry": F.regexp_extract(q, r"^#([0-9]+)", 1).try_cast("long"),
         "drill": F.nullif(T.trim_u(F.regexp_extract(q, r"^#[0-9]+:([\s\S]+)\z", 1)), F.lit("")),
     })
-    return out.drop("_page", "_scope", "_mode", "_rest")
+    out = out.withColumn("_fault", G.pattern_fault(F.when(F.col("kind") == "regex", F.col("term"))))
+    out = out.withColumn("error", F.when(F.col("kind") == "error", "empty query").otherwise(F.col("_fault")))
+    return out.withColumn("kind", F.when(F.col("_fault").isNotNull(), "error").otherwise(F.col("kind"))).drop("_page", "_scope", "_mode", "_rest", "_fault")
 
 
 def documents(entries: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -62,9 +71,37 @@ def postings(docs: DataFrame, asked: DataFrame, keys: list[str], scope: list[str
     """(*keys, term, tf, dl) of the asked terms (*scope, term), and for each document of an asked scope a row with the empty term.
     Texts are read once; only what is asked for is shuffled."""
     asked = asked.select(*scope, "term").union(asked.select(*scope, F.lit(""))).distinct() if scope else asked.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct()
+    return _flat(docs, keys, text).join(asked, [*scope, "term"], "left_semi").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def _flat(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row for each occurrence of a term, and one of the empty term for each document."""
     tokens = docs.select(*keys, T.search_tokens(F.col(text)).alias("_t"))
-    flat = tokens.select(*keys, F.coalesce(F.size("_t"), F.lit(0)).alias("dl"), F.explode(F.array_append(F.coalesce("_t", F.expr(T.EMPTY)), F.lit(""))).alias("term"))
-    return flat.join(asked, [*scope, "term"], "left_semi").groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    return tokens.select(*keys, F.coalesce(F.size("_t"), F.lit(0)).alias("dl"), F.explode(F.array_append(F.coalesce("_t", F.expr(T.EMPTY)), F.lit(""))).alias("term"))
+
+
+def keep_postings(docs: DataFrame, path: str, batch: int, keys: list[str], scope: list[str], text: str = "text", removed: bool = False) -> None:
+    """Write what a batch of documents adds to the postings at ``path``, or takes from them where they are ``removed``: one row a term and document, and
+    for each scope the change of its number of documents and of their lengths. A batch that comes again is written over.
+
+    Postings lie by terms, so that a search skips what it doesn't ask for by the files' statistics.
+    """
+    spark, sign = docs.sparkSession, -1 if removed else 1
+    flat = cut(_flat(docs, keys, text).groupBy(*keys, "dl", "term").agg((sign * F.count("*")).alias("tf")))
+    rows = flat.where("term != ''").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", *scope).sortWithinPartitions("term", *scope)
+    rows.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    flat.where("term = ''").groupBy(*scope).agg((sign * F.count("*")).alias("n_docs"), (sign * F.sum("dl")).alias("terms")).write.mode("overwrite").parquet(f"{path}/sizes/batch={batch}")
+
+
+def bm25_kept(spark: SparkSession, path: str, queries: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
+    """As ``bm25``, from the postings at ``path``; no text is read."""
+    terms = queries.select("query_id", *scope, F.explode(F.array_distinct(T.search_tokens(F.col("term")))).alias("term"))
+    asked = terms.select(*scope, "term").distinct()
+    held = spark.read.parquet(f"{path}/postings").drop("batch").join(asked, [*scope, "term"], "left_semi")
+    held = cut(held.groupBy(*keys, "dl", "term").agg(F.sum("tf").alias("tf")).where("tf > 0"))
+    changes = spark.read.parquet(f"{path}/sizes").groupBy(*scope).agg(F.sum("n_docs").alias("n_docs"), F.sum("terms").alias("terms")).where("n_docs > 0")
+    mean = F.col("terms") / F.col("n_docs")
+    return _scored(held, changes.select(*scope, "n_docs", F.when(mean > 0, mean).otherwise(1.0).alias("mean")), terms, keys, scope)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], scope: list[str], text: str = "text") -> DataFrame:
@@ -77,13 +114,16 @@ def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], scope: list[str],
     held = cut(postings(docs, terms, keys, scope, text))
     mean = F.avg("dl")
     sizes = held.where("term = ''").groupBy(*scope).agg(F.count("*").alias("n_docs"), F.when(mean > 0, mean).otherwise(1.0).alias("mean"))
-    found = held.where("term != ''")
+    return _scored(held.where("term != ''"), sizes, terms, keys, scope)
+
+
+def _scored(found: DataFrame, sizes: DataFrame, terms: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
     df = found.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     hits = found.join(terms, [*scope, "term"]).join(df, [*scope, "term"])
     if scope:
         hits = hits.join(sizes, scope)
     else:
-        n, mean = sizes.first() or (0, 1.0)
+        n, mean = sizes.select("n_docs", "mean").first() or (0, 1.0)
         hits = hits.withColumns({"n_docs": F.lit(n), "mean": F.lit(mean)})
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
@@ -96,12 +136,21 @@ def top(hits: DataFrame, order: list[Column], most: int = P.PAGE_SIZE) -> DataFr
 
 
 def page_of(hits: DataFrame, order: list[Column], page: Column | int = 1, size: int = P.PAGE_SIZE) -> DataFrame:
-    """The hits of a page, with rank, n_hits and n_pages. Hits are kept, and counted apart from their order."""
-    hits = cut(hits)
+    """The hits of a page, with rank, n_hits and n_pages. Hits are kept, and counted apart from their order.
+
+    Queries go by the power of two that their page reaches up to, at most 31 of them. Each has a bound of its own, so every task keeps no more of a
+    query's hits than that before they meet.
+    """
+    page = (F.lit(page) if isinstance(page, int) else page).cast("long")
+    hits = cut(hits.withColumn("_page", page).withColumn("_reach", F.ceil(F.log2("_page")).cast("int")))
+    reaches = sorted(r[0] for r in hits.select("_reach").distinct().collect())
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    page = F.lit(page) if isinstance(page, int) else page
-    ranked = hits.withColumn("rank", rank).join(hits.groupBy("query_id").agg(F.count("*").alias("n_hits")), "query_id")
-    return ranked.where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size)).withColumn("n_pages", F.greatest(F.lit(1), F.ceil(F.col("n_hits") / size)))
+    ranked = None
+    for reach in reaches or [0]:
+        some = hits.where(F.col("_reach") == reach).withColumn("rank", rank).where(F.col("rank") <= min(size << reach, (1 << 31) - 1))
+        ranked = some if ranked is None else ranked.union(some)
+    ranked = ranked.where((F.col("rank") > (F.col("_page") - 1) * size) & (F.col("rank") <= F.col("_page") * size)).drop("_page", "_reach")
+    return ranked.join(hits.groupBy("query_id").agg(F.count("*").alias("n_hits")), "query_id").withColumn("n_pages", F.greatest(F.lit(1), F.ceil(F.col("n_hits") / size)))
 
 
 def first_hit(text: Column, query: Column) -> Column:
@@ -110,12 +159,55 @@ def first_hit(text: Column, query: Column) -> Column:
     return F.coalesce(F.get(places, F.lit(0)) - 1, F.lit(0))
 
 
-def regex_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Documents that match a query's pattern in its session and scope: query_id, session_id, ref, doc_ord, at, snippet."""
+def keep_grams(docs: DataFrame, path: str, batch: int) -> None:
+    """Write which trigrams of ASCII the lower-cased texts of a batch of documents hold, beside those of other batches: session_id, gram, ref, doc_ord."""
+    lower = F.lower("text")
+    grams = F.transform(F.sequence(F.lit(1), F.length(lower) - G.GRAM + 1), lambda i: F.substring(lower, i, F.lit(G.GRAM)))
+    rows = docs.where(F.length("text") >= G.GRAM).select("session_id", "ref", "doc_ord", F.explode(F.array_distinct(grams)).alias("gram")).where(r"gram rlike '^[\\x00-\\x7F]+\\z'")
+    spark = docs.sparkSession
+    rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id", "gram").sortWithinPartitions("session_id", "gram").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def candidates(grams: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, session_id, ref, doc_ord) of documents that hold all trigrams that a query's matches must hold. Queries without any are left out."""
+    asked = queries.where("kind = 'regex'").select("query_id", "session_id", F.explode(G.pattern_grams("term")).alias("gram"))
+    needed = asked.groupBy("query_id").agg(F.count("*").alias("_needed"))
+    found = grams.select("session_id", "gram", "ref", "doc_ord").join(asked, ["session_id", "gram"]).groupBy("query_id", "session_id", "ref", "doc_ord").agg(F.count("*").alias("_held"))
+    return found.join(needed, "query_id").where("_held = _needed").drop("_held", "_needed")
+
+
+def matches(docs: DataFrame, queries: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """(query_id, session_id, ref, doc_ord, page, at, snippet) of documents that match a query's pattern in its session and scope. A text whose match
+    took too long has a null ``at``.
+
+    With ``grams`` (see ``keep_grams``), only the texts of candidates are matched where a pattern has trigrams that all its matches hold.
+    """
     asked = queries.where("kind = 'regex'").select("query_id", "session_id", "term", "scope", "page")
-    both = docs.join(asked, "session_id").where((F.col("scope") == "all") | (F.col("memory") == (F.col("scope") == "memory")))
-    at = F.regexp_instr(F.col("text"), F.col("term")) - 1
-    return both.where(F.regexp_like("text", F.col("term"))).select("query_id", "session_id", "ref", "doc_ord", "page", at.alias("at"), T.snippet(F.col("text"), at).alias("snippet"))
+    in_scope = (F.col("scope") == "all") | (F.col("memory") == (F.col("scope") == "memory"))
+    if grams is None:
+        both = docs.join(asked, "session_id").where(in_scope)
+    else:
+        plain = F.size(G.pattern_grams("term")) == 0
+        keyed = cut(asked.withColumn("_plain", plain))
+        near = candidates(grams, queries).join(keyed.drop("session_id", "_plain"), "query_id")
+        both = docs.join(keyed.where("_plain").drop("_plain"), "session_id").select(*docs.columns, "query_id", "term", "scope", "page").union(docs.join(near, ["session_id", "ref", "doc_ord"]).select(*docs.columns, "query_id", "term", "scope", "page")).where(in_scope)
+    at = both.withColumn("at", G.match_place("text", "term")).where(F.col("at") != G.NOWHERE)
+    place = F.when(F.col("at") != G.GIVEN_UP, F.col("at"))
+    return at.select("query_id", "session_id", "ref", "doc_ord", "page", place.alias("at"), T.snippet(F.col("text"), place).alias("snippet"))
+
+
+def regex_hits(docs: DataFrame, queries: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """``matches`` that were found."""
+    return matches(docs, queries, grams).where("at is not null")
+
+
+def query_errors(queries: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, error) of queries that can't be answered, and of those of whose ``matches`` some took too long."""
+    out = queries.where("kind = 'error'").select("query_id", "error")
+    if found is None:
+        return out
+    late = found.where("at is null").groupBy("query_id").agg(F.count("*").alias("n"))
+    return out.union(late.select("query_id", F.concat(F.lit("pattern given up on "), F.col("n").cast("string"), F.lit(" texts"))))
 
 
 def file_hits(entries: DataFrame, queries: DataFrame, cwd: str | None = None) -> DataFrame:

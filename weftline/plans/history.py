@@ -14,7 +14,7 @@ from ..operators import search as R
 from ..operators import sections as X
 from ..operators import summary as Y
 from ..sources import tables as S
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import cut, new_folder
 
 CWD = "/work/app"
 A1 = S.MESSAGES_SQL.strip()
@@ -37,7 +37,19 @@ def named_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
-    hits = R.bm25(S.table(spark, sf_dir, "documents").select("doc_id", "text"), queries, ["doc_id"], [])
+    hits = R.bm25(S.spread(S.table(spark, sf_dir, "documents").select("doc_id", "text")), queries, ["doc_id"], [])
+    return R.top(hits, [F.desc("score"), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
+
+
+def bm25_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from postings that three batches have left; a fourth one has come and gone."""
+    docs = S.spread(S.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    queries = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
+    folder = new_folder(spark, "postings")
+    gone = docs.where("doc_id % 11 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    for batch, (part, removed) in enumerate([(docs.where("doc_id % 3 = 0"), False), (gone, False), (docs.where("doc_id % 3 = 1"), False), (docs.where("doc_id % 3 = 2"), False), (gone, True)]):
+        R.keep_postings(part, folder, batch, ["doc_id"], [], removed=removed)
+    hits = R.bm25_kept(spark, folder, queries, ["doc_id"], [])
     return R.top(hits, [F.desc("score"), F.col("doc_id")]).select("query_id", "doc_id", "score", "rank")
 
 
@@ -102,7 +114,7 @@ NEW_SQL = f"SELECT session_id, ord, entry_id FROM ({ENTRIES_SQL}) WHERE ord > 3"
 
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return S.table(spark, sf_dir, "documents").select(
+    return S.spread(S.table(spark, sf_dir, "documents")).select(
         "doc_id", T.estimate_tokens(t).alias("tokens"), T.has_cjk(t).alias("cjk"), T.clip(t, 100).alias("clipped"), T.clip_sentence(t, 200).alias("sentence"), T.clip_tokens(t, 50).alias("few_tokens"),
         T.first_line(t, 80).alias("first_line"), F.size(T.non_empty_lines(t)).alias("n_lines"), T.one_line(t).alias("one_line"), T.hash_id(t).alias("hash"), F.size(T.search_tokens(t)).alias("n_terms"),
     )
@@ -413,34 +425,46 @@ def compaction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries on every session of the tool log, as a user would write them."""
-    forms = ["retry loader page:1", "scope:history /error: case [0-9]+/", "mode:file src/m5.ts", "#12", "#3:module", "/NIGHTLY build/i", "mode:regex staging (bucket|bin)", "scope:memory loader", "0123456789ab", "  "]
+    forms = ["retry loader page:1", "scope:history /error: case [0-9]+/", "mode:file src/m5.ts", "#12", "#3:module", "/NIGHTLY build/i", "mode:regex staging (bucket|bin)", "scope:memory loader", "0123456789ab", "  ", "/foo(/"]
     sessions = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id")).distinct()
     rows = sessions.select("session_id", F.posexplode(F.array(*map(F.lit, forms))).alias("n", "raw"))
     return rows.withColumn("query_id", F.concat("session_id", F.lit("/"), F.col("n").cast("string")))
 
 
 def query_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.routed(_asked(spark, sf_dir)).select("query_id", "kind", "page", "scope", "term", "entry", "drill")
+    why = F.substring_index("error", ":", 1).alias("error")
+    return R.routed(_asked(spark, sf_dir)).select("query_id", "kind", "page", "scope", "term", "entry", "drill", why)
 
 
 ROUTES_SQL = """
-WITH r(n, kind, page, scope, term, entry, drill) AS (VALUES (0, 'text', 1, 'all', 'retry loader', NULL, NULL), (1, 'regex', 1, 'history', '(?i)error: case [0-9]+', NULL, NULL), (2, 'file', 1, 'all', 'src/m5.ts', NULL, NULL),
-  (3, 'index', 1, 'all', NULL, 12, NULL), (4, 'index', 1, 'all', NULL, 3, 'module'), (5, 'regex', 1, 'all', '(?i)NIGHTLY build', NULL, NULL), (6, 'regex', 1, 'all', '(?i)staging (bucket|bin)', NULL, NULL),
-  (7, 'text', 1, 'memory', 'loader', NULL, NULL), (8, 'id', 1, 'all', '0123456789ab', NULL, NULL), (9, 'error', 1, 'all', '', NULL, NULL))
-SELECT CAST(user_id AS STRING) || '/' || n AS query_id, kind, page, scope, term, CAST(entry AS BIGINT) AS entry, drill FROM (SELECT DISTINCT user_id FROM events), r
+WITH r(n, kind, page, scope, term, entry, drill, error) AS (VALUES (0, 'text', 1, 'all', 'retry loader', NULL, NULL, NULL), (1, 'regex', 1, 'history', '(?i)error: case [0-9]+', NULL, NULL, NULL), (2, 'file', 1, 'all', 'src/m5.ts', NULL, NULL, NULL),
+  (3, 'index', 1, 'all', NULL, 12, NULL, NULL), (4, 'index', 1, 'all', NULL, 3, 'module', NULL), (5, 'regex', 1, 'all', '(?i)NIGHTLY build', NULL, NULL, NULL), (6, 'regex', 1, 'all', '(?i)staging (bucket|bin)', NULL, NULL, NULL),
+  (7, 'text', 1, 'memory', 'loader', NULL, NULL, NULL), (8, 'id', 1, 'all', '0123456789ab', NULL, NULL, NULL), (9, 'error', 1, 'all', '', NULL, NULL, 'empty query'), (10, 'error', 1, 'all', '(?i)foo(', NULL, NULL, 'bad regex'))
+SELECT CAST(user_id AS STRING) || '/' || n AS query_id, kind, page, scope, term, CAST(entry AS BIGINT) AS entry, drill, error FROM (SELECT DISTINCT user_id FROM events), r
 """
 
 
 def regex_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = R.routed(_asked(spark, sf_dir))
-    hits = R.regex_hits(R.documents(named_work(spark, sf_dir)), queries)
+    """The asked page of every pattern on its session and scope, the newest entries first and memory items last; a bad pattern has none."""
+    whole = cut(named_work(spark, sf_dir))
+    hits = R.regex_hits(R.documents(whole, _remembered(whole)), R.routed(_asked(spark, sf_dir)))
+    return R.page_of(hits, [F.desc("doc_ord")], F.col("page")).select("query_id", F.col("doc_ord").alias("index"), "rank", "n_hits")
+
+
+def regex_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by trigrams that two batches of documents have left: only candidates are matched."""
+    whole = cut(named_work(spark, sf_dir))
+    docs, folder = cut(R.documents(whole, _remembered(whole))), new_folder(spark, "grams")
+    for batch, part in enumerate([docs.where("doc_ord < 30"), docs.where("doc_ord >= 30")]):
+        R.keep_grams(part, folder, batch)
+    hits = R.regex_hits(docs, R.routed(_asked(spark, sf_dir)), spark.read.parquet(folder))
     return R.page_of(hits, [F.desc("doc_ord")], F.col("page")).select("query_id", F.col("doc_ord").alias("index"), "rank", "n_hits")
 
 
 REGEX_SQL = f"""
 WITH h AS (SELECT session_id || '/1' AS query_id, ord FROM ({A2}) WHERE regexp_matches(coalesce(result, ''), 'error: case [0-9]+')
-  UNION ALL SELECT session_id || '/5', ord FROM ({A2}) WHERE text LIKE '%nightly build%'
-  UNION ALL SELECT session_id || '/6', ord FROM ({A2}) WHERE text LIKE '%staging bucket%'),
+  UNION ALL SELECT session_id || '/5', unnest([ord, ord - 1099511627776]) FROM ({A2}) WHERE text LIKE '%nightly build%'
+  UNION ALL SELECT session_id || '/6', unnest([ord, ord - 1099511627776]) FROM ({A2}) WHERE text LIKE '%staging bucket%'),
 r AS (SELECT query_id, ord AS index, row_number() OVER (PARTITION BY query_id ORDER BY ord DESC) AS rank, count(*) OVER (PARTITION BY query_id) AS n_hits FROM h)
 SELECT query_id, index, rank, n_hits FROM r WHERE rank <= 8
 """
@@ -523,12 +547,12 @@ SELECT r.session_id || '/' || no AS query_id, ref, rank, score, n_hits, trim(reg
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, entries, archive_corpus, new_entries, window_entries, text_scalars, marked_texts, token_report, noise_filtered, tool_one_liners, shell_features, shell_writes, tool_fold, brief_transcript, files_touched, open_errors, outstanding,
-    commits, session_goals, preferences, user_reports, last_state, current_state, sections_merge, session_summary, compaction_report, query_routes, regex_hits, file_hits, entry_lines, expanded_entries, recall_snippet,
+    bm25_topk, bm25_kept, entries, archive_corpus, new_entries, window_entries, text_scalars, marked_texts, token_report, noise_filtered, tool_one_liners, shell_features, shell_writes, tool_fold, brief_transcript, files_touched, open_errors, outstanding,
+    commits, session_goals, preferences, user_reports, last_state, current_state, sections_merge, session_summary, compaction_report, query_routes, regex_hits, regex_indexed, file_hits, entry_lines, expanded_entries, recall_snippet,
 )}
 ORACLE_SQL = {
-    "bm25_topk": BM25_SQL, "entries": ENTRIES_SQL, "archive_corpus": ARCHIVE_SQL, "new_entries": NEW_SQL, "window_entries": WINDOW_SQL, "text_scalars": SCALARS_SQL, "marked_texts": MARKED_SQL, "shell_writes": WRITES_SQL, "token_report": TOKENS_SQL, "noise_filtered": NOISE_SQL,
+    "bm25_topk": BM25_SQL, "bm25_kept": BM25_SQL, "entries": ENTRIES_SQL, "archive_corpus": ARCHIVE_SQL, "new_entries": NEW_SQL, "window_entries": WINDOW_SQL, "text_scalars": SCALARS_SQL, "marked_texts": MARKED_SQL, "shell_writes": WRITES_SQL, "token_report": TOKENS_SQL, "noise_filtered": NOISE_SQL,
     "tool_one_liners": LINERS_SQL, "shell_features": SHELL_SQL, "tool_fold": FOLD_SQL, "files_touched": FILES_SQL, "open_errors": ERRORS_SQL, "outstanding": OUTSTANDING_SQL, "commits": COMMITS_SQL, "session_goals": GOALS_SQL,
-    "preferences": PREFERENCES_SQL, "user_reports": REPORTS_SQL, "last_state": STATE_SQL, "query_routes": ROUTES_SQL, "regex_hits": REGEX_SQL, "brief_transcript": BRIEF_SQL, "current_state": CURRENT_SQL, "sections_merge": MERGE_SQL, "session_summary": SUMMARY_SQL, "compaction_report": COMPACTION_SQL,
+    "preferences": PREFERENCES_SQL, "user_reports": REPORTS_SQL, "last_state": STATE_SQL, "query_routes": ROUTES_SQL, "regex_hits": REGEX_SQL, "regex_indexed": REGEX_SQL, "brief_transcript": BRIEF_SQL, "current_state": CURRENT_SQL, "sections_merge": MERGE_SQL, "session_summary": SUMMARY_SQL, "compaction_report": COMPACTION_SQL,
     "expanded_entries": EXPANDED_SQL, "recall_snippet": RECALL_SQL, "file_hits": FILE_SQL, "entry_lines": LINES_SQL,
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..sources import tables as S
-from ..sources.checkpoints import shared_dir
+from ..sources.checkpoints import new_folder
 from ..streaming import jobs as J
 from .history import A2, merged_sql, sections_sql
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def _feed(rows: DataFrame, order: str, cuts: list, folder: str, begin: Callable[[DataFrame], DataStreamWriter]) -> None:
     """Append ``rows`` to the stream's input in parts that end before each of ``cuts`` of a column; after each part the stream is begun anew on
     its old state and takes the part as one micro-batch."""
@@ -39,7 +34,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that the stream has archived, in batches that begin and end within lists."""
-    folder = _folder(spark, "stream-archive")
+    folder = new_folder(spark, "stream-archive")
     _feed(_lists(spark, sf_dir), "at_ord", [17, 50], folder, lambda stream: J.archive_stream(stream, f"{folder}/archive", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/archive").select("session_id", "window_id", "entry_id", "role", "index")
 
@@ -64,7 +59,7 @@ def _stored(stream: DataFrame, folder: str) -> DataStreamWriter:
 
 def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 50 tokens or more of each session's entries, not within six hours of a failed command; state is kept from batch to batch."""
-    folder = _folder(spark, "stream-threshold")
+    folder = new_folder(spark, "stream-threshold")
     tokens = F.ceil((F.length("text") + F.length(F.coalesce("result", F.lit("")))) / 4)
     failed = F.coalesce(F.col("is_error") & (F.col("tool") == "Bash"), F.lit(False))
     rows = S.tool_log(spark, sf_dir).select("session_id", F.col("ord").cast("long").alias("ord"), tokens.alias("tokens"), F.unix_seconds(F.col("at_ts").cast("timestamp")).alias("at_s"), failed.alias("failed"))
@@ -83,7 +78,7 @@ SELECT session_id, from_ord, ord AS to_ord, held AS tokens FROM r WHERE held >=
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user that an idle gap of a day has closed by the end of the stream."""
-    folder = _folder(spark, "stream-sessions")
+    folder = new_folder(spark, "stream-sessions")
     rows = S.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("at"))
     closing = rows.agg(F.lit("end").alias("session_id"), (F.max("at") + F.expr("interval 40 days")).alias("at"))
     first, last = rows.agg(F.min("at"), F.max("at")).first()
@@ -101,7 +96,7 @@ SELECT session_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s, count(*) AS
 
 def stream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of each session up to its last list, fed in batches that begin and end within lists."""
-    folder = _folder(spark, "stream-sections")
+    folder = new_folder(spark, "stream-sections")
     _feed(_lists(spark, sf_dir), "at_ord", [45], folder, lambda stream: J.section_stream(stream, folder, f"{folder}/state"))
     rows = J.latest_sections(spark, folder)
     return rows.select("session_id", F.array_join("commits", "\n").alias("commits"), F.array_join("preferences", "\n").alias("preferences"), F.array_join("goals", "\n").alias("goals"), F.array_join("outstanding", "\n").alias("outstanding"), F.size("brief").alias("n_brief"))

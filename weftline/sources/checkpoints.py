@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the shared folder."""
     shared_dir(df.sparkSession)

@@ -71,6 +71,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in no fewer partitions than there are cores: a small file has few row groups, and texts are dear to take apart. Large tables
+    stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def adapted(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """The result of ``sql`` over the named tables, which stay out of the catalog."""
     for name in names:
