@@ -30,8 +30,8 @@ def tool_folds(entries: DataFrame) -> DataFrame:
     return folded.select("session_id", "island", line.alias("line"), "n", "failed")
 
 
-def brief(entries: DataFrame) -> DataFrame:
-    """session_id, brief: what was said, a line a turn, with folded calls between."""
+def brief_lines(entries: DataFrame) -> DataFrame:
+    """session_id, island, part, line: what was said, a line a turn (part 0), with folded calls between (part 1)."""
     so_far = Window.partitionBy("session_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     speaks = (F.col("role") == "user") | (F.col("text") != "")
     user = T.one_turn(F.regexp_replace("text", P.SKILL_BLOCK, "[skill: $1]"), P.BRIEF_USER_TOKENS)
@@ -39,17 +39,36 @@ def brief(entries: DataFrame) -> DataFrame:
     mark = F.when(F.col("index").isNotNull(), F.concat(F.lit(" #"), F.col("index").cast("string"))).otherwise("")
     turns = entries.withColumn("island", F.sum(speaks.cast("int")).over(so_far)).where(speaks)
     turns = turns.select("session_id", "island", F.lit(0).alias("part"), F.concat(F.lit("["), "role", mark, F.lit("] "), said).alias("line"))
-    lines = turns.union(tool_folds(entries).select("session_id", "island", F.lit(1), "line"))
+    return turns.union(tool_folds(entries).select("session_id", "island", F.lit(1), "line"))
+
+
+def _in_order(lines: DataFrame) -> DataFrame:
     return lines.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("island", "part", "line"))), lambda x: x["line"]).alias("brief"))
 
 
-def capped(lines: Column, most: int = P.BRIEF_LINES) -> Column:
-    """The last lines, from the first turn among them on, after a note of how many are left out."""
-    tail = F.slice(lines, -most, most)
+def brief(entries: DataFrame) -> DataFrame:
+    """session_id, brief: the whole transcript."""
+    return _in_order(brief_lines(entries))
+
+
+def brief_tail(entries: DataFrame, most: int = P.BRIEF_LINES) -> DataFrame:
+    """``capped`` transcripts of sessions of any length: lines are ranked from the end, and no task gathers more of a session than ``most``."""
+    lines = brief_lines(entries)
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("island"), F.desc("part")))
+    tails = _in_order(lines.withColumn("_back", back).where(F.col("_back") <= most))
+    counts = lines.groupBy("session_id").agg(F.count("*").alias("_n"))
+    return tails.join(counts, "session_id").select("session_id", capped(F.col("brief"), most, F.col("_n")).alias("brief"))
+
+
+def capped(lines: Column, most: int = P.BRIEF_LINES, n: Column | None = None) -> Column:
+    """The last lines, from the first turn among them on, after a note of how many are left out. With ``n``, the number of all
+    lines, ``lines`` are only the last ``most``."""
+    tail = F.slice(lines, -most, most) if n is None else lines
+    n = F.size(lines) if n is None else n
     turn = F.array_position(F.transform(tail, lambda x: x.rlike(r"^\[(user|assistant)")), True).cast("int")
     kept = F.when(turn > 1, F.slice(tail, turn, F.lit(most))).otherwise(tail)
-    note = F.concat(F.lit("...("), (F.size(lines) - F.size(kept)).cast("string"), F.lit(" earlier lines omitted)"))
-    return F.when(F.size(lines) <= most, lines).otherwise(F.concat(F.array(note), kept))
+    note = F.concat(F.lit("...("), (n - F.size(kept)).cast("string"), F.lit(" earlier lines omitted)"))
+    return F.when(n <= most, lines).otherwise(F.concat(F.array(note), kept))
 
 
 def _thin(text: Column) -> Column:

@@ -96,6 +96,11 @@ def format_summary(sections: DataFrame, memory: DataFrame | None = None, instruc
     return rows.where(~is_empty() | F.coalesce(T.trim_u(kept) != "", F.lit(False))).select("session_id", F.concat_ws("\n\n---\n\n", *parts).alias("summary"))
 
 
+def handed_back(sessions: DataFrame, summaries: DataFrame) -> DataFrame:
+    """session_id of the sessions whose sections say nothing and that have no memory: they are left to the host."""
+    return sessions.select("session_id").distinct().join(summaries.select("session_id"), "session_id", "left_anti")
+
+
 def with_previous(sections: DataFrame, stored: DataFrame, summaries: DataFrame) -> DataFrame:
     """``sections`` merged under the stored ones whose hash is that of the session's last summary (session_id, summary).
     Where it isn't, the beginning of the last summary goes before the transcript."""

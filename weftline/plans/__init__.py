@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, memory, stream
+from . import history, limits, memory, stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = history.QUERIES | memory.QUERIES | stream.QUERIES
-ORACLE_SQL: dict[str, str] = history.ORACLE_SQL | memory.ORACLE_SQL | stream.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = history.QUERIES | memory.QUERIES | limits.QUERIES | stream.QUERIES
+ORACLE_SQL: dict[str, str] = history.ORACLE_SQL | memory.ORACLE_SQL | limits.ORACLE_SQL | stream.ORACLE_SQL

@@ -218,7 +218,7 @@ FROM g
 
 
 def brief_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.brief(work(spark, sf_dir)).select("session_id", F.array_join(B.capped(F.col("brief")), "\n").alias("brief"))
+    return B.brief_tail(work(spark, sf_dir)).select("session_id", F.array_join("brief", "\n").alias("brief"))
 
 
 #: Sessions are shorter than the caps on lines.
