@@ -1,6 +1,8 @@
 """Search, the memory ledger, retention, streams, and all queries against SQL."""
 
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +148,28 @@ def test_worker_usage(spark):
     assert tuple(M.worker_usage(log).first()) == ("s", 2, 1, 5, 1, 30, 2, 15.0)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_chunks_in_blocks_are_those_of_one_pass(spark, block):
+    rng = random.Random(block)
+    lengths = {"a": 60, "b": 1, "c": 25, "d": 200}
+    rows = [(s, i * 10 // (n + 1) // 5, i, rng.choice([0, 1, 5, 30, 99, 150])) for s, n in lengths.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "session_id string, window_id int, ord long, tokens long")
+    got = {}
+    for r in M.chunks(frame, 100, block).collect():
+        got.setdefault(r.session_id, []).append((r.window_id, r.ord, r.chunk_no))
+    for s in lengths:
+        own = sorted((w, o, t) for x, w, o, t in rows if x == s)
+        assert [c for *_, c in sorted(got[s])] == M.chunk_numbers([t for *_, t in own], 100)
+
+
+def test_replies_are_read_as_by_the_longest_span(spark):
+    replies = ['{"a": 1} and {"b": 2}', 'Sure:\n```json\n{"a": [1, 2]}\n``` done', '[{"a": "x}"}] }', "none", "", None, '{"a": 1', '{x} {"a": 1}', '{"a": NaN}', '{"a": 1, "a": 2}', "say [1", '{"k": {"a": "b"}}}', "{'a': 1}", '{"é": "ü\\n"} ]']
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string").select("i", M.reply_json(F.col("reply")).alias("json"), "reply").collect()
+    for r in got:
+        want = M.first_json(r.reply)
+        assert (r.json and json.loads(r.json)) == (want and json.loads(want)), r.reply
+
+
 QUERIES = sorted(n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline")
 
 

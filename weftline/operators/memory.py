@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,9 +120,9 @@ def backlog(pending_: DataFrame, least: int = P.OBSERVE_AFTER) -> DataFrame:
     return pending_.groupBy("session_id").agg(F.count("*").alias("n_entries"), F.sum("tokens").alias("tokens")).where(F.col("tokens") >= least)
 
 
-def chunk_numbers(tokens: list[int], most: int) -> list[int]:
-    """Greedy chunks in order: a chunk takes the next row while it fits, and at least one."""
-    out, chunk, held = [], 0, 0
+def chunk_numbers(tokens: list[int], most: int, held: int = 0, chunk: int = 0) -> list[int]:
+    """Greedy chunks in order: a chunk takes the next row while it fits, and at least one. ``held`` tokens are in the chunk already."""
+    out = []
     for n in tokens:
         if held and held + n > most:
             chunk, held = chunk + 1, 0
@@ -130,16 +131,79 @@ def chunk_numbers(tokens: list[int], most: int) -> list[int]:
     return out
 
 
-def chunks(pending_: DataFrame, most: int = P.CHUNK_TOKENS) -> DataFrame:
-    """``pending_`` with chunk_no; only numbers go through the sequential step."""
+def block_ends(tokens: list[int], most: int) -> tuple[list[int], list[int], list[int]]:
+    """What greedy chunks make of a block of rows, however full the chunk is that they begin in.
+
+    A chunk with ``h`` tokens takes rows up to the first one that doesn't fit; from there all is fixed. For each row that this can be (and for
+    none), in order: the tokens before it, and the chunks closed and the tokens held at the block's end if it opens one.
+    """
+    sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+    n = len(tokens)
+    # the row at which a chunk that opens at each row no longer takes all
+    full = np.searchsorted(sums, sums[:-1] + most, "right") - 1
+    closed, held = np.zeros(n, dtype=np.int64), sums[n] - sums[:-1]
+    for i in range(n - 1, -1, -1):
+        if full[i] < n:
+            # a chunk without tokens takes any row
+            after = full[i] + (sums[full[i]] == sums[i])
+            if after < n:
+                closed[i], held[i] = closed[after] + 1, held[after]
+    reach = min(n, int(np.searchsorted(sums, most, "right")))
+    return sums[: reach + 1].tolist(), (closed[:reach] + 1).tolist(), held[:reach].tolist()
+
+
+def through_block(held: int, before: list[int], closed: list[int], held_after: list[int], most: int, total: int) -> tuple[int, int]:
+    """Chunks closed in a block that begins with ``held`` tokens in a chunk, and the tokens held after it."""
+    if not held:
+        return (closed[0] - 1, held_after[0]) if closed else (0, total)
+    for first in range(len(closed)):
+        if held + before[first + 1] > most:
+            return closed[first], held_after[first]
+    return 0, held + total
+
+
+#: Places of a session's rows that are numbered in one task.
+BLOCK = 1 << 15
+
+
+def chunks(pending_: DataFrame, most: int = P.CHUNK_TOKENS, block: int = BLOCK) -> DataFrame:
+    """``pending_`` with chunk_no; only numbers go through the sequential step.
+
+    A session's rows are numbered in blocks of ``block`` places. Of longer sessions, each block is first reduced to what it does to
+    the chunk that it begins in, whatever that holds; these are applied one after another, a row a block, so that all blocks can be numbered
+    by themselves.
+    """
+    keys = ["session_id", "window_id", "_block"]
+    narrow = pending_.select("session_id", *ORDER, F.col("tokens").cast("long"), F.floor(F.col("ord") / block).cast("long").alias("_block"))
+    several = narrow.groupBy(*keys).agg(F.lit(1).alias("_one")).groupBy("session_id").agg(F.count("*").alias("_blocks")).where("_blocks > 1").select("session_id")
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens = pdf.sort_values(ORDER)["tokens"].tolist()
+        before, closed, held = block_ends(tokens, most)
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in keys}, "total": [sum(tokens)], "before": [before], "closed": [closed], "held": [held]})
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk, held, begin = 0, 0, []
+        pdf = pdf.sort_values(["window_id", "_block"])
+        for r in pdf.itertuples():
+            begin.append((chunk, held))
+            more, held = through_block(held, list(r.before), list(r.closed), list(r.held), most, r.total)
+            chunk += more
+        return pdf[keys].assign(_chunk=[c for c, _ in begin], _held=[h for _, h in begin])
+
+    parts = narrow.join(several, "session_id", "left_semi").groupBy(*keys).applyInPandas(reduced, "session_id string, window_id int, _block long, total long, before array<long>, closed array<long>, held array<long>")
+    begins = parts.groupBy("session_id").applyInPandas(carried, "session_id string, window_id int, _block long, _chunk long, _held long")
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDER)
-        return pdf.assign(chunk_no=chunk_numbers(pdf["tokens"].tolist(), most))
+        chunk, held = int(pdf["_chunk"].iloc[0]), int(pdf["_held"].iloc[0])
+        return pdf[["session_id", *ORDER]].assign(chunk_no=chunk_numbers(pdf["tokens"].tolist(), most, held, chunk))
 
-    narrow = pending_.select("session_id", *ORDER, F.col("tokens").cast("long"))
-    numbered = narrow.groupBy("session_id").applyInPandas(number, Y.StructType([*narrow.schema.fields, Y.StructField("chunk_no", Y.LongType())]))
-    return pending_.join(numbered.select("session_id", *ORDER, "chunk_no"), ["session_id", *ORDER])
+    placed = narrow.join(begins.withColumnsRenamed({"_block": "_b", "window_id": "_w"}), (narrow["session_id"] == begins["session_id"]) & (F.col("window_id") == F.col("_w")) & (F.col("_block") == F.col("_b")), "left").select(
+        narrow["session_id"], *ORDER, "tokens", "_block", F.coalesce("_chunk", F.lit(0)).cast("long").alias("_chunk"), F.coalesce("_held", F.lit(0)).cast("long").alias("_held")
+    )
+    schema = Y.StructType([*(f for f in narrow.schema.fields if f.name in ("session_id", *ORDER)), Y.StructField("chunk_no", Y.LongType())])
+    return pending_.join(placed.groupBy(*keys).applyInPandas(number, schema), ["session_id", *ORDER])
 
 
 def observer_prompts(chunks_: DataFrame, items: DataFrame) -> DataFrame:
@@ -168,9 +232,17 @@ def classifier_prompts(items: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), rendered()).alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
 
 
+#: A fenced block in a reply.
+FENCED = r"```(?:json)?\s*([\s\S]*?)```"
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def first_json(reply: str | None) -> str | None:
     """The first JSON object or array in a reply, the longest span that parses; None if there is none."""
-    text = re.sub(r"```(?:json)?\s*([\s\S]*?)```", r"\1", reply or "")
+    text = re.sub(FENCED, r"\1", reply or "")
     start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
     if start < 0:
         return None
@@ -178,7 +250,7 @@ def first_json(reply: str | None) -> str | None:
     end = text.rfind(close)
     while end > start:
         try:
-            return json.dumps(json.loads(text[start : end + 1]), ensure_ascii=False)
+            return json.dumps(json.loads(text[start : end + 1], parse_constant=_no_number), ensure_ascii=False)
         except ValueError:
             end = text.rfind(close, 0, end)
     return None
@@ -190,8 +262,12 @@ def first_json_of(replies: pd.Series) -> pd.Series:
 
 
 def reply_json(reply: Column) -> Column:
-    """As ``first_json``. The engine's own parsers take what follows a value for nothing, so the span is found in Python."""
-    return first_json_of(reply)
+    """As ``first_json``. The engine's parser reads one value and leaves what follows, so a value that is whole where the first bracket opens is
+    found without Python; what it refuses, such as keys that repeat, is looked at there, and all other rows come as nulls."""
+    text = F.regexp_replace(reply, FENCED, "$1")
+    start = F.regexp_instr(text, F.lit(r"[{\[]"))
+    told = F.to_json(F.try_parse_json(F.substring(text, start, F.length(text))))
+    return F.coalesce(told, first_json_of(F.when((start > 0) & told.isNull(), reply)))
 
 
 def observations(replies: DataFrame, chunks_: DataFrame) -> DataFrame:
