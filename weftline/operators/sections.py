@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +45,24 @@ def goals(entries: DataFrame) -> DataFrame:
 
 def first_unseen(candidates: DataFrame) -> DataFrame:
     """From candidate lines (session_id, window_id, ord, line_no, line) each entry's first one that no earlier entry of
-    the session took, without regard to case. Sequential by nature, so it runs per session, on candidates only."""
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        kept = []
-        for _, own in pdf.sort_values([*ORDER, "line_no"]).groupby(ORDER, sort=False):
-            for i, line in own["line"].items():
-                if line.lower() not in seen:
+    the session took, without regard to case. Sequential by nature: a session's candidates pass one task in order, which holds its lines taken."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, entry, seen = None, None, set()
+        for batch in batches:
+            kept = []
+            for s, *place, line in zip(*(batch.column(c).to_pylist() for c in ("session_id", *ORDER, "line")), strict=True):
+                if s != session:
+                    session, entry, seen = s, None, set()
+                fresh = place != entry and line.lower() not in seen
+                if fresh:
+                    entry = place
                     seen.add(line.lower())
-                    kept.append(i)
-                    break
-        return pdf.loc[kept]
+                kept.append(fresh)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return candidates.groupBy("session_id").applyInPandas(take, candidates.schema)
+    ordered = candidates.repartition("session_id").sortWithinPartitions("session_id", *ORDER, "line_no")
+    return ordered.mapInArrow(take, candidates.schema)
 
 
 def _lines(entries: DataFrame) -> DataFrame:
