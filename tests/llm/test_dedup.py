@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftline.llm import words as W
 from weftline.llm.multiplicity import chunked, grade, replies, shape, with_grades
@@ -232,3 +233,12 @@ def test_overlaps_count_dense_and_sparse_shingles_alike():
 def test_spanning_links_join_what_links_join():
     links = np.array([[1, 0, 0], [1, 1, 0], [0, 0, 0]], dtype=bool)
     assert spanning(np.array([5, 6, 7]), np.array([1, 2, 3]), links) == [(2, 1), (5, 1), (6, 1)]
+
+
+def test_rows_repeated_under_one_id_are_one_node(spark):
+    """20,000 equal rows are compared once."""
+    base = shared(60, 11)
+    near = " ".join([*base[:30], "other", *base[31:]])
+    rows = spark.range(20_000, numPartitions=4).select(F.lit(5).cast("long").alias("doc_id"), F.lit(" ".join(base)).alias("text")).union(spark.createDataFrame([(3, near), (9, " ".join(base))], "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in near_duplicates(rows).collect())
+    assert got == {(5, 56, 5, 3): 20_000, (9, 56, 5, 3): 1, (3, 56, 3, 3): 1}

@@ -541,3 +541,19 @@ def test_pipeline_with_odd_rows_and_columns(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, folder)
         assert out.count() == 0 and (name == "packing" or out.columns == columns)
+
+
+def test_every_short_shape_of_a_network_address_has_surrogates(spark):
+    """All addresses of the shapes d:d:: and d::d:1, and as many of others."""
+    texts = [f"from {a}:{b}:: on" for a in range(10) for b in range(10)] + [f"to {a}::{b}:1 too" for a in range(10) for b in range(10)] + [f"at {a:x}:{b:x}::1" for a in range(16) for b in range(16)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.replace_pii(rows, "k").collect()
+    news = [r.text.split()[1] for r in out]
+    assert len(set(news)) == len(texts) and not {t.split()[1] for t in texts} & set(news) and all(r.n_entities == 1 for r in out)
+    assert all(regex.fullmatch(rf"(?:{pii.PATTERNS['ip6']})", x) for x in news)
+
+
+def test_spaces_that_are_too_small_are_an_error(spark, monkeypatch):
+    monkeypatch.setitem(pii.SPACES, "ssn", 3)
+    with pytest.raises(ValueError, match="kind ssn"):
+        pii.surrogates(spark.createDataFrame([("ssn", "123456789"), ("ssn", "123456788")], "kind string, form string"), "k")
