@@ -77,3 +77,21 @@ def test_ids_of_long_sessions(spark):
     began = time.time()
     found = E.to_entries(rows).agg(F.countDistinct("entry_id").alias("ids"), F.max(F.length("key")).alias("longest")).first()
     assert (found.ids, found.longest) == (n, 34) and time.time() - began < 30
+
+
+def test_a_session_that_falls_silent_is_due_after_the_wait(spark, tmp_path):
+    folder, shape = f"file://{tmp_path}", "session_id string, ord long, tokens long, failed boolean"
+    rows = [("quiet", 0, 3, True), ("quiet", 1, 9, False), ("due", 0, 12, False), ("due", 1, 11, False), ("low", 0, 4, True)]
+    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{folder}/in")
+    due = J.threshold_by_clock(spark.readStream.schema(shape).parquet(f"{folder}/in"), 10, 4)
+    query = due.withColumn("at", F.current_timestamp()).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
+    out = lambda: spark.read.schema("session_id string, from_ord long, to_ord long, tokens long, at timestamp").parquet(f"{folder}/out").collect()
+    try:
+        end = time.time() + 90
+        while time.time() < end and (not (tmp_path / "out" / "_spark_metadata").exists() or len(out()) < 3):
+            time.sleep(1)
+    finally:
+        query.stop()
+    got = {(r.session_id, r.from_ord, r.to_ord, r.tokens): r["at"] for r in out()}
+    assert set(got) == {("due", 0, 0, 12), ("due", 1, 1, 11), ("quiet", 0, 1, 12)}
+    assert (got["quiet", 0, 1, 12] - got["due", 0, 0, 12]).total_seconds() >= 3

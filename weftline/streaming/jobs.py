@@ -174,3 +174,56 @@ def threshold_stream(rows: DataFrame, least: int = P.OBSERVE_AFTER, wait_s: int
         yield pd.DataFrame(out, columns=["session_id", "from_ord", "to_ord", "tokens"])
 
     return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, from_ord long, to_ord long, tokens long", "tokens long, first long, failed_at long", "append", GroupStateTimeout.NoTimeout)
+
+
+class Waiting(StatefulProcessor):
+    """Stretches of a session's tokens that are due by the clock: at once, or when the wait after a failed call is over."""
+
+    def __init__(self, least: int, wait_s: int):
+        self.least, self.wait_ms = least, 1000 * wait_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "tokens long, first long, last long, failed_ms long")
+
+    def _due(self, key: tuple, now: int, state: tuple) -> tuple[list[tuple], tuple]:
+        """What is emitted, and the state after it; a stretch that has to wait gets a timer."""
+        tokens, first, last, failed = state
+        if tokens < self.least:
+            return [], state
+        if failed >= 0 and now - failed < self.wait_ms:
+            self.handle.registerTimer(failed + self.wait_ms)
+            return [], state
+        return [(key[0], first, last, tokens)], (0, -1, -1, failed)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        state, out = self.held.get() if self.held.exists() else (0, -1, -1, -1), []
+        for r in pd.concat(list(rows)).sort_values("ord").itertuples():
+            tokens, first, _, failed = state
+            found, state = self._due(key, now, (tokens + int(r.tokens), int(r.ord) if first < 0 else first, int(r.ord), now if r.failed else failed))
+            out += found
+        self.held.update(state)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.held.exists():
+            out, state = self._due(key, timerValues.getCurrentProcessingTimeInMs(), self.held.get())
+            self.held.update(state)
+        yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["session_id", "from_ord", "to_ord", "tokens"]).astype({"from_ord": "int64", "to_ord": "int64", "tokens": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def threshold_by_clock(rows: DataFrame, least: int = P.OBSERVE_AFTER, wait_s: int = P.RETRY_WAIT_S) -> DataFrame:
+    """As ``threshold_stream`` for rows (session_id, ord, tokens, failed) as they happen: failures are as old as their arrival, and what
+    has to wait is emitted by a timer when the wait is over, also where the session falls silent."""
+    spark = rows.sparkSession
+    if spark.conf.get(PROVIDER) != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    return rows.groupBy("session_id").transformWithStateInPandas(Waiting(least, wait_s), "session_id string, from_ord long, to_ord long, tokens long", "Append", "ProcessingTime")
