@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .workspace import cut
+from .workspace import cut, spread
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks"]
 #: What the forest splits on: shares, and the mean length of a word. A text's length alone is no fault, and lines that repeat are
@@ -221,13 +221,13 @@ def threshold(scored: DataFrame, good_lost: float) -> float:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = judge(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", "anomaly")
 
 
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of the rules without the forest, which SQL can express."""
-    found = measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = measure(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return found.select("doc_id", *COUNTS[:5], failed.alias("base_failed"))
 

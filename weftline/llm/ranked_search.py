@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .hard_negatives import NO_ID, Best
-from .workspace import cut, new_dir
+from .workspace import cut, new_dir, spread
 
 #: Documents and bytes of text in a range (a longer text is one by itself).
 DOCS, BYTES = 4096, 6 << 20
@@ -339,7 +339,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id_col: str = "item_
 
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = build_index(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_dir(spark, "ranked-search"))
+    index = build_index(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), new_dir(spark, "ranked-search"))
     return search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

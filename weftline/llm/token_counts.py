@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import cut, new_dir
+from .workspace import cut, new_dir, spread
 
 LEDGER = "doc_id long, version string, source string, lang string, tokens long, sign long, bucket int"
 DELTAS = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -165,7 +165,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     rollup = TokenRollup(spark, new_dir(spark, "token-counts"))
-    facts = cut(bpe_counts(_word_facts(spark.read.parquet(f"{sf_dir}/documents.parquet")), public_tokenizers.path("word_bpe_49k.json"), name="bpe"))
+    facts = cut(bpe_counts(_word_facts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))), public_tokenizers.path("word_bpe_49k.json"), name="bpe"))
     counted = facts.select(*_change("insert", "word_bpe_49k-1", "bpe"))
     inserted, deleted, revised = change_log(facts)
     for batch, changes in enumerate((inserted, counted, deleted, revised), 1):
@@ -177,7 +177,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with word counts alone, which SQL can express."""
     rollup = TokenRollup(spark, new_dir(spark, "token-counts"), compact_every=2)
-    facts = cut(_word_facts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text"))
+    facts = cut(_word_facts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("text"))
     for batch, changes in enumerate(change_log(facts), 1):
         rollup.commit(batch, changes)
     return rollup.totals()
