@@ -497,6 +497,19 @@ def test_a_batch_reads_the_buckets_that_it_touches(spark):
     assert files and "PartitionFilters" in plan and "bucket" in plan and 0 < rollup.current([3]).count() < 60
 
 
+def test_buckets_grow_with_the_ledger(spark, monkeypatch):
+    """A small batch reads few files of a large base, and totals are the same as with one file a folder."""
+    monkeypatch.setattr(token_counts, "ROWS", 20)
+    rollup = token_counts.TokenRollup(spark, new_dir(spark, "counts"), buckets=512, compact_every=2)
+    rollup.commit(1, changes(spark, [(k, "insert", "v1", "a", "en", 1, 0) for k in range(5000)]))
+    rollup.commit(2, changes(spark, [(k, "revise", "v1", "a", "en", 3, 0) for k in range(10)]))
+    assert [parts for _, parts in rollup._folders("ledger")] == [250] and totals(rollup) == {("a", "en", "v1"): (5000, 5020)}
+    scan = rollup.current([5, 300])
+    assert scan.count() < 60 and scan._jdf.queryExecution().toString().count("bucket") > 0
+    rollup.commit(3, changes(spark, [(k, "delete", None, None, None, None, 0) for k in range(4990, 5000)]))
+    assert [parts for _, parts in rollup._folders("ledger")] == [250, 1] and totals(rollup) == {("a", "en", "v1"): (4990, 5010)}
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 

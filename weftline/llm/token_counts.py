@@ -2,7 +2,7 @@
 
 A batch of changes inserts, deletes or revises counts of documents. Against the ledger of what counts
 now it becomes signed rows; their sums are the batch's deltas, and totals are the sums of all
-deltas. The ledger lies in buckets of documents, and a batch reads those that it touches. Ledger rows and deltas
+deltas. The ledger lies in buckets of documents, as many in each folder as its rows ask for, and a batch reads those that it touches. Ledger rows and deltas
 are written to folders of the batch and count only when its commit is there too: a batch that was lost half way
 is written over, and one that is committed is never applied again. Every so many commits, ledger and deltas
 are summed up to a base, so what a batch reads, and the number of folders, do not grow with the number of batches.
@@ -21,7 +21,9 @@ from .workspace import cut, new_dir, spread
 
 LEDGER = "doc_id long, version string, source string, lang string, tokens long, sign long, bucket int"
 DELTAS = "source string, lang string, version string, n_docs long, n_tokens long"
-COMMITS = "n long, batch long"
+COMMITS = "n long, batch long, parts int"
+#: Ledger rows in one file, on average.
+ROWS = 50_000
 STATE = ["doc_id", "version", "source", "lang", "tokens"]
 
 
@@ -35,11 +37,11 @@ class TokenRollup:
     only ever inserted, as a document of its own. Null tokens count as 0, null sources and languages are groups of their own.
     Repeated changes count once, an empty batch is committed and changes nothing, other columns are ignored.
 
-    ``buckets`` of the ledger hold documents by hash; ``compact_every`` is the number of commits from one base to the next. Folders of
+    ``buckets`` of the ledger hold documents by hash; a folder of few rows has runs of them in one file (see ``ROWS``); ``compact_every`` is the number of commits from one base to the next. Folders of
     batches that a base sums up are no longer read and may be deleted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, compact_every: int = 16):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 4096, compact_every: int = 16):
         self.spark, self.folder, self.buckets, self.compact_every = spark, folder, buckets, compact_every
 
     def _bucket(self) -> Column:
@@ -54,36 +56,40 @@ class TokenRollup:
                 raise
             return self.spark.createDataFrame([], COMMITS)
 
-    def _mark(self, kind: str, n: int, batch: int | None) -> None:
-        self.spark.createDataFrame([(n, batch)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/{kind}")
+    def _mark(self, kind: str, n: int, batch: int | None, parts: int) -> None:
+        self.spark.createDataFrame([(n, batch, parts)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/{kind}")
 
     def committed(self, batch: int) -> bool:
         return not self._commits("commits").where(F.col("batch") == batch).isEmpty()
 
-    def _folders(self, kind: str) -> list[str]:
-        """The last base and the batches since, at most ``compact_every`` of them."""
-        base = self._commits("bases").agg(F.max("n")).first()[0] or 0
-        since = self._commits("commits").where(F.col("n") > base).select("batch").collect()
-        return [f"{self.folder}/{kind}/base-{base}"] * (base > 0) + [f"{self.folder}/{kind}/batch-{r.batch}" for r in since]
+    def _folders(self, kind: str) -> list[tuple[str, int]]:
+        """The last base and the batches since, at most ``compact_every`` of them, and the parts that each one's ledger has."""
+        base = self._commits("bases").orderBy(F.desc("n")).first()
+        since = self._commits("commits").where(F.col("n") > (base.n if base else 0)).select("batch", "parts").collect()
+        return ([(f"{self.folder}/{kind}/base-{base.n}", base.parts)] if base else []) + [(f"{self.folder}/{kind}/batch-{r.batch}", r.parts) for r in since]
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        """Each folder is read as a table of its own, with its buckets."""
-        out = self.spark.createDataFrame([], schema)
-        for path in self._folders(kind):
-            out = out.union(self.spark.read.schema(schema).parquet(path).select(*out.columns))
-        return out
+    def _part(self, bucket: Column | int, parts: int) -> Column | int:
+        """Which of a folder's parts a bucket is in."""
+        return bucket * parts // self.buckets if isinstance(bucket, int) else F.floor(bucket * parts / self.buckets).cast("int")
 
     def current(self, touched: list[int] | None = None) -> DataFrame:
         """What counts now, of all or some buckets: doc_id, version, source, lang, tokens."""
-        rows = self._read("ledger", LEDGER)
-        rows = rows if touched is None else rows.where(F.col("bucket").isin(touched))
+        rows = self.spark.createDataFrame([], LEDGER).select(*STATE, "sign")
+        for path, parts in self._folders("ledger"):
+            held = self.spark.read.schema(LEDGER).parquet(path)
+            if touched is not None:
+                held = held.where(F.col("bucket").isin(sorted({self._part(x, parts) for x in touched})) & self._bucket().isin(touched))
+            rows = rows.union(held.select(*STATE, "sign"))
         return rows.groupBy(*STATE).agg(F.sum("sign").alias("n")).where("n > 0").select(*STATE)
 
-    def _write_ledger(self, rows: DataFrame, name: str) -> str:
+    def _write_ledger(self, rows: DataFrame, name: str, parts: int) -> str:
         path = f"{self.folder}/ledger/{name}"
-        rows.select(*STATE, F.col("sign").cast("long").alias("sign"), self._bucket().alias("bucket")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.select(*STATE, F.col("sign").cast("long").alias("sign"), self._part(self._bucket(), parts).alias("bucket")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         return path
 
+    def _parts(self, n: int) -> int:
+        return max(1, min(self.buckets, -(-n // ROWS)))
+
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Apply a batch; False if it was applied before."""
         if self.committed(batch):
@@ -100,25 +106,31 @@ class TokenRollup:
         now, of = self.current(touched).alias("now"), latest.select("doc_id", "version").alias("of")
         changed = now.join(of, (F.col("now.doc_id") == F.col("of.doc_id")) & F.col("now.version").eqNullSafe(F.col("of.version")), "left_semi")
         minus = changed.union(now.join(barrier, "doc_id", "left_semi").select(*STATE)).distinct()
-        written = self._write_ledger(minus.withColumn("sign", F.lit(-1)).union(plus.withColumn("sign", F.lit(1))), f"batch-{batch}")
+        parts = self._parts(changes.count())
+        written = self._write_ledger(minus.withColumn("sign", F.lit(-1)).union(plus.withColumn("sign", F.lit(1))), f"batch-{batch}", parts)
         signed = self.spark.read.schema(LEDGER).parquet(written).select(*STATE, "sign").union(unnamed)
         sums = signed.groupBy("source", "lang", "version").agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).alias("n_tokens"))
         sums.write.mode("overwrite").parquet(f"{self.folder}/deltas/batch-{batch}")
         n = 1 + (self._commits("commits").agg(F.max("n")).first()[0] or 0)
-        self._mark("commits", n, batch)
+        self._mark("commits", n, batch, parts)
         if n % self.compact_every == 0:
             self._compact(n)
         return True
 
     def _compact(self, n: int) -> None:
         """Sum up what the commits to the n-th have written."""
-        self._write_ledger(self.current().withColumn("sign", F.lit(1)), f"base-{n}")
+        now = cut(self.current())
+        parts = self._parts(now.count())
+        self._write_ledger(now.withColumn("sign", F.lit(1)), f"base-{n}", parts)
         self.totals().write.mode("overwrite").parquet(f"{self.folder}/deltas/base-{n}")
-        self._mark("bases", n, None)
+        self._mark("bases", n, None, parts)
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; groups in which nothing counts any more are left out."""
-        sums = self._read("deltas", DELTAS).groupBy("source", "lang", "version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        rows = self.spark.createDataFrame([], DELTAS)
+        for path, _ in self._folders("deltas"):
+            rows = rows.union(self.spark.read.schema(DELTAS).parquet(path))
+        sums = rows.groupBy("source", "lang", "version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs != 0 or n_tokens != 0")
 
 
