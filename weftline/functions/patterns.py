@@ -107,3 +107,17 @@ HOST_FOLDERS = [".claude"]
 HARNESS_PATH = rf"^/(?:Users|home)/[^/]+/(?:{'|'.join(map(re.escape, HOST_FOLDERS))})/"
 NOTIFICATION = java(r"^\s*<task-notification>")
 SKILL_BLOCK = r"<skill[^>]*name=\"([^\"]+)\"[\s\S]*?</skill>"
+
+# Patterns of shell commands.
+HEREDOC = re.compile(r"<<-?\s*(['\"]?)(\w+)\1")
+ASSIGNMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
+#: A mark that sends output, but not that of errors, and a file that may be joined to it.
+REDIRECT = re.compile(r"[013-9]?(?:>>?|&>)(?P<file>.*)", re.S)
+#: Neither another stream nor the null device.
+OUTPUT_FILE = re.compile(r"(?!&|/dev/null\Z).*", re.S)
+IN_PLACE = re.compile(r"-[a-zA-Z]*i")
+SUBCOMMAND = re.compile(r"[a-z][\w:-]*", re.A)
+WRITES_IN_CODE = re.compile(r"\.write_text\(|\bopen\([^)]*['\"][wa]['\"]")
+PATH_IN_CODE = re.compile(r"\b(?:Path|open)\(\s*(['\"])([^'\"]+)\1")
+#: A path that stands for itself and is of the work: with a slash or a dot, without marks that a shell expands, no option and not the host's.
+PLAIN_PATH = re.compile(rf"(?!-|/dev/null\Z|{HARNESS_PATH})(?=[^/.]*[/.])[^$*?{{}}()<>`|\\]{{2,}}")
