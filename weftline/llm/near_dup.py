@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents link when 100 * intersection >= percent * union of their sets of distinct ``width``-word shingles. A null
     or empty text has an empty set and no link; texts may be of any length. Rows that share an id get the smallest classes and components of any of
-    them; rows with a null id link nothing and get nulls. An empty table gives an empty result, other columns are ignored.
+    them; rows with a null id link nothing and get nulls. Ids are whole numbers. An empty table gives an empty result, other columns are ignored.
     """
     sets = cut(_sets(docs, id_col, text_col, width, percent).withColumn("place", F.monotonically_increasing_id()))
     nodes = sets.where("node is not null and id is not null")

@@ -3,7 +3,8 @@
 Every window of ``width`` words of every text is hashed; the hashes are counted over the whole
 corpus (``multiplicity``), those that occur again once more by other hashes, and words in a window that occurs again by
 both merge into maximal intervals to remove. Windows are judged on the input. Of n windows, about n * n / 2**65 pairs of different
-ones agree in the first hash; that one of those agrees in the second too has a chance of about n * n / 2**129.
+ones agree in the first hash by chance, which the second one tells. Both are made of the same 64-bit hashes of words: two words that agree
+in theirs are one word to both, and w different words have about w * w / 2**65 such pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text has no words. Repeated rows are separate documents, so each of them is
     all repeats if it has ``width`` words. An empty table gives an empty result; other columns are
-    ignored. A text with fewer words than ``width`` is kept whole.
+    ignored. A text with fewer words than ``width`` is kept whole. Ids are whole numbers.
     """
 
     def hashed(texts: pa.ChunkedArray) -> list[tuple]:

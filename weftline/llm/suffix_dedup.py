@@ -227,7 +227,7 @@ class Contexts:
 def neighbour_matches(rows: DataFrame, span: int, least: int, most: int) -> DataFrame:
     """Matches of neighbours in the order of the seeds and the words after and before them, and the repeated runs of seeds that
     have three contexts or more. A range of the order is a task's; the first and last rows of the ranges are compared once
-    more among themselves."""
+    more among themselves, two a range, in one task."""
     keys = ["seed", "after", "before", "id", "text", "pos"]
     ordered = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
@@ -291,7 +291,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Whole texts are searched; equal texts are repeats of each other. A null or empty text and one of fewer words than
     ``least`` have no passage. Repeated rows (equal id and text) are separate texts that repeat each other; their
     passages are given once. An empty table gives an empty result; other columns are ignored. A task holds ``most_contexts``
-    contexts of a seed at most; the result does not depend on it.
+    contexts of a seed at most; the result does not depend on it. Ids are whole numbers.
     """
     span = least - seed + 1
     rows = cut(suffixes(docs, id_col, text_col, seed, span, least))
