@@ -71,3 +71,9 @@ def test_snippets_are_cut_on_both_sides(spark):
 ])
 def test_shell_features(command, want):
     assert features(command) == want
+
+
+def test_first_lines_are_those_of_all_lines(spark):
+    texts = ["", None, " \n\t", "a", " \n  b c 　\nd", "\r\nx y z \r\n", " \n﻿ q", "é" * 300, "one\n\ntwo", "x \n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.first_line(F.col("t"), 50).alias("one"), F.coalesce(F.get(T.non_empty_lines(F.col("t")), F.lit(0)), F.lit("")).alias("all")).collect()
+    assert all(r.one == (r["all"] if len(r["all"]) <= 50 else r["all"][:49] + "…") for r in rows)

@@ -34,7 +34,8 @@ def non_empty_lines(c: Column) -> Column:
 
 
 def first_line(c: Column, most: int) -> Column:
-    return clip(F.coalesce(F.get(non_empty_lines(c), F.lit(0)), F.lit("")), most)
+    """The first of ``non_empty_lines``; what follows it is not looked at."""
+    return clip(F.coalesce(F.regexp_extract(c, rf"([^{P.BLANK}](?:[^\n]*[^{P.BLANK}])?)", 1), F.lit("")), most)
 
 
 def cjk_chars(c: Column) -> Column:
