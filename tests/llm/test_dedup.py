@@ -1,6 +1,7 @@
 """Operators 2, 8 and 10 against brute force."""
 
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
-from weftline.llm.multiplicity import chunked, grade, replies, shape, with_grades
+from weftline.llm.multiplicity import Grades, chunked, grade, replies, shape, with_grades
 from weftline.llm.near_dup import linked_sets, near_duplicates, overlaps, spanning
 from weftline.llm.substring_dedup import remove_repeats
 from weftline.llm.suffix_dedup import minimisers, repeated_passages
@@ -102,6 +103,30 @@ def test_chance_collisions_are_told_by_other_keys(spark):
     assert {r.id for r in out.collect() if r.again} == {k for k, t in rows if t == "word1"}
 
 
+def test_grades_of_a_large_chunk_take_no_longer_than_a_few_sorts():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 2**64, 1 << 20, dtype=np.uint64)
+    keys[::7] = keys[0]
+    own, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    answer = pa.table({"part": pa.array([0], pa.int32()), "grades": pa.array([grade(counts).tobytes()], pa.binary())})
+
+    def least(make):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            out = make()
+            took.append(time.process_time() - began)
+        return min(took), out
+
+    sorts, _ = least(lambda: np.unique(keys, return_inverse=True))
+    took, found = least(lambda: Grades(keys, answer).of(keys))
+    assert (found == grade(counts)[where]).all()
+    assert (Grades(keys, answer).keys == own).all()
+    assert took < 6 * sorts
+    none = Grades(keys[:0], pa.table({"part": pa.array([], pa.int32()), "grades": pa.array([], pa.binary())}))
+    assert len(none.keys) == len(none.of(keys[:0])) == 0
+
+
 def test_packed_rows_grow_with_the_chunks():
     for n in (200, 1000, 10_000, 1_000_000, 5_000_000):
         levels, fan = shape(n, 256)
