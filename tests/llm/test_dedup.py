@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import words as W
+from weftline.llm.components import components
 from weftline.llm.multiplicity import Grades, chunked, grade, replies, shape, with_grades
 from weftline.llm.near_dup import linked_sets, near_duplicates, overlaps, spanning
 from weftline.llm.substring_dedup import remove_repeats
@@ -247,6 +248,22 @@ def test_large_families_are_split_and_stay_whole(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_links_that_fit_a_task_are_joined_in_one_step(spark):
+    """Steps over few links, each of several joins, took the driver's memory."""
+    rng = np.random.default_rng(5)
+    rows = [(k, k + 1) for k in range(-300, 300)] + [(int(a), int(b)) for a, b in rng.integers(1000, 3000, (900, 2))] + [(7, None), (None, 8), (5000, 5000), (9001, 9000)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few-links", "")
+    got = components(links).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few-links"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6
+    assert {r.component for r in got if r.node < 1000} == {-300} and {(r.node, r.component) for r in got if r.node > 4000} == {(9000, 9000), (9001, 9000)}
+    assert sorted(got) == sorted(components(links, whole=0).collect())
+    assert components(links.where("a > 10000")).collect() == []
+
+
 def test_overlaps_count_dense_and_sparse_shingles_alike():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60 if k % 2 else 4000, 80)) for k in range(30)]

@@ -252,9 +252,8 @@ def linked_sets(nodes: DataFrame, percent: int = 75, most_tokens: int = 1 << 20,
 
     # a unit's rows lie together
     together = full.repartition(shuffle_partitions(nodes.sparkSession), "unit").sortWithinPartitions("unit")
-    links = cut(together.mapInArrow(run, "a long, b long"))
-    found = components(links)
-    return by_node.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("comp"))
+    found = components(together.mapInArrow(run, "a long, b long"))
+    return cut(by_node.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("comp")))
 
 
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
