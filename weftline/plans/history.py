@@ -454,7 +454,7 @@ def regex_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by trigrams that two batches of documents have left: only candidates are matched."""
     whole = cut(named_work(spark, sf_dir))
-    docs, folder = cut(R.documents(whole, _remembered(whole))), new_folder(spark, "grams")
+    docs, folder = R.documents(whole, _remembered(whole)), new_folder(spark, "grams")
     for batch, part in enumerate([docs.where("doc_ord < 30"), docs.where("doc_ord >= 30")]):
         R.keep_grams(part, folder, batch)
     hits = R.regex_hits(docs, R.routed(_asked(spark, sf_dir)), spark.read.parquet(folder))
