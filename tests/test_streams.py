@@ -3,6 +3,7 @@
 import hashlib
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,63 @@ def test_a_session_that_falls_silent_is_due_after_the_wait(spark, tmp_path):
     got = {(r.session_id, r.from_ord, r.to_ord, r.tokens): r["at"] for r in out()}
     assert set(got) == {("due", 0, 0, 12), ("due", 1, 1, 11), ("quiet", 0, 1, 12)}
     assert (got["quiet", 0, 1, 12] - got["due", 0, 0, 12]).total_seconds() >= 3
+
+
+class _Held:
+    """A state of one key, and how often it is asked."""
+
+    def __init__(self, of):
+        self.of, self.value, self.rows = of, None, {}
+
+    def exists(self):
+        self.of.asked += 1
+        return self.value is not None
+
+    def get(self):
+        self.of.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.of.asked, self.value = self.of.asked + 1, value
+
+    def containsKey(self, key):
+        self.of.asked += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        self.of.asked += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.of.asked += 1
+        self.rows[key] = value
+
+
+class _Handle:
+    asked = 0
+
+    def getValueState(self, *_):
+        return _Held(self)
+
+    getMapState = getValueState
+
+
+def test_ids_of_a_session_are_read_and_written_together():
+    """A round trip for each row took most of a batch's time; entries are those of ids looked up one by one, whatever the buckets hold."""
+    rows = [(w, k, "user", None, f"{k % 11 if w == 1 else k}", "{}") for w in range(3) for k in range(60)]
+    got = []
+    for size in (256, 3, 1):
+        job, handle, out = J.Numbering(bucket=size), _Handle(), []
+        job.init(handle)
+        for low, high in ((0, 50), (40, 130), (130, 180)):
+            asked = handle.asked
+            part = pd.DataFrame(rows[low:high], columns=["window_id", "ord", "role", "called", "own", "rest"])
+            out += [tuple(r) for frame in job.handleInputRows(("s",), iter([part]), None) for r in frame.itertuples(index=False)]
+            assert size < 256 or handle.asked - asked <= 5
+        got.append(out)
+    assert got[0] == got[1] == got[2] and len(got[0]) == 180
+    first: dict = {}
+    for _, window, _, _, _, entry_id, index, fresh, _ in got[0]:
+        known = first.setdefault(entry_id, (window, index))
+        assert fresh == (known[0] == window) and (fresh or index == known[1])
+    assert 60 < len(first) < 180

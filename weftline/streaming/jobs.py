@@ -3,6 +3,7 @@ over when the batch comes again; results are those of one batch over all of the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,19 +29,26 @@ NUMBERED = "session_id string, window_id int, ord long, role string, key string,
 class Numbering(StatefulProcessor):
     """Keys, ids and numbers of a session's entries, in the order of their message lists.
 
-    State of a session is the place and key of its last message, the number of its entries, and for each id its list
-    and number, which are looked up one by one: a batch costs in proportion to its own rows.
+    State of a session is the place and key of its last message, the number of its entries and ids, and for each id its list
+    and number. Ids lie in buckets of at most about ``bucket``, each read and written whole, as every access asks the engine: a batch costs in proportion to its
+    own rows, and a short session's ids are read and written at once. Buckets double with the ids.
     """
 
-    def __init__(self, ids_per_window: bool = False):
-        self.ids_per_window = ids_per_window
+    def __init__(self, ids_per_window: bool = False, bucket: int = 256):
+        self.ids_per_window, self.bucket = ids_per_window, bucket
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "window_id int, ord long, key string, count long")
-        self.known = handle.getMapState("known", "entry_id string", "window_id int, index long")
+        self.last = handle.getValueState("last", "window_id int, ord long, key string, count long, ids long, buckets int")
+        self.known = handle.getMapState("known", "bucket int", "ids string")
+
+    def _read(self, bucket: int) -> dict[str, list[int]]:
+        held = self.known.getValue((bucket,))
+        return json.loads(held[0]) if held else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        window, at, before, count = self.last.get() if self.last.exists() else (None, -1, "", 0)
+        old = self.last.get() if self.last.exists() else None
+        window, at, before, count, n_ids, buckets = old or (None, -1, "", 0, 0, 1)
+        read, changed = {} if old else {0: {}}, set()
         out = []
         for r in pd.concat(list(rows)).sort_values(["window_id", "ord"], kind="stable").itertuples():
             if window is not None and (r.window_id, r.ord) <= (window, at):
@@ -50,15 +58,30 @@ class Numbering(StatefulProcessor):
             window, at = int(r.window_id), int(r.ord)
             before = E.next_key(before, r.role, r.called if isinstance(r.called, str) else None, r.own)
             entry_id = E.entry_id_of(before)
-            held = self.known.getValue((entry_id,)) if self.known.containsKey((entry_id,)) else None
+            place = int(entry_id, 16) % buckets
+            if place not in read:
+                read[place] = self._read(place)
+            held = read[place].get(entry_id)
             # what an earlier list has is the same entry; repeats within one list are entries of their own
             fresh = held is None or held[0] == window
             out.append((key[0], window, at, r.role, before, entry_id, count if fresh else held[1], fresh, r.rest))
             if held is None:
-                self.known.updateValue((entry_id,), (window, count))
+                read[place][entry_id] = [window, count]
+                changed.add(place)
+                n_ids += 1
             count += fresh
+        if n_ids > self.bucket * buckets:
+            every = [x for k in range(buckets) for x in (read[k] if k in read else self._read(k)).items()]
+            while n_ids > self.bucket * buckets:
+                buckets *= 2
+            read = {k: {} for k in range(buckets)}
+            for entry_id, held in every:
+                read[int(entry_id, 16) % buckets][entry_id] = held
+            changed = set(read)
+        for k in changed:
+            self.known.updateValue((k,), (json.dumps(read[k]),))
         if out:
-            self.last.update((window, at, before, count))
+            self.last.update((window, at, before, count, n_ids, buckets))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in NUMBERED.split(", ")])
 
     def close(self) -> None:
