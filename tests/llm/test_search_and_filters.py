@@ -205,3 +205,16 @@ def test_queries_agree_with_sql(spark, name):
     names = [d[0] for d in out.description]
     assert set(names) <= set(frame.columns)
     assert Counter(tuple(r) for r in frame.select(*(F.col(c) for c in names)).collect()) == Counter(out.fetchall())
+
+
+def test_ranges_are_written_in_groups_of_bounded_size(spark, tmp_path, monkeypatch):
+    """All ranges of a task were one group of rows, which a search read at once."""
+    import pyarrow.parquet as pq
+
+    from weftline.llm import ranked_search
+
+    monkeypatch.setattr(ranked_search, "GROUP", 1)
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 5} common") for i in range(24)], "doc_id long, text string").coalesce(1)
+    index = ranked_search.build_index(docs, f"file://{tmp_path}/index", most_docs=2)
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in (tmp_path / "index").glob("*.parquet")]
+    assert sum(groups) >= 12 and index.count() == 12

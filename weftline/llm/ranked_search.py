@@ -28,7 +28,9 @@ from .hard_negatives import NO_ID, Best
 from .workspace import cut, new_dir, spread
 
 #: Documents and bytes of text in a range (a longer text is one by itself).
-DOCS, BYTES = 4096, 6 << 20
+DOCS, BYTES = 4096, 3 << 20
+#: Bytes of ranges that are written and read together, about.
+GROUP = 8 << 20
 #: Terms searched at once, on average.
 ASKED = 1 << 18
 #: Cells of an item's frontier that are opened at once.
@@ -256,7 +258,8 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             if made:
                 yield pa.RecordBatch.from_pylist([made], schema=ARROW)
 
-    rows.mapInArrow(build, RANGE).write.parquet(path)
+    # a range weighs megabytes: the writer looks at its size after each, so that neither it nor a reader holds many at once
+    rows.mapInArrow(build, RANGE).write.options(**{"parquet.block.size": GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}).parquet(path)
     return docs.sparkSession.read.schema(RANGE).parquet(path)
 
 
